@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _work, decontam, exact_index, html_extract, lang_id, mixing, quality_cnn, token_rollup
+from . import _work, decontam, exact_index, html_extract, hyperminhash, lang_id, mixing, pst, quality_cnn, recompress, token_rollup
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -39,6 +39,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality_cnn.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.substring_dedup(_read(spark, sf_dir, "documents"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pst.score(_read(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return out.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -74,6 +83,10 @@ def domain() -> Column:
     return F.when(n < 10, "web").when(n < 15, "books").otherwise("reference")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), domain(), WEIGHTS, FRACTION_PCT, MAX_EPOCHS, SEED)
 
@@ -83,7 +96,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_quality, op6_decontaminate, op7_token_counts, op9_mix, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_html_text, op3_quality, op4_substring_dedup, op5_lm_score, op6_decontaminate, op7_token_counts, op8_near_dedup, op9_mix, op10_exact_dedup,
+    )}
 
 
 def _share_sql(child: str, parent: str, name: str) -> str:
@@ -136,6 +151,13 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+        "op4_substring_dedup": """
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT r, p, hash(array_to_string(w[p : p + 34], ' ')) AS h, sha256(array_to_string(w[p : p + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM doc WHERE len(w) >= 35)),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h, s) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM again),
+kept AS (SELECT doc.r, string_agg(w[q], ' ' ORDER BY q) AS body, count(*) AS n FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS q FROM doc) doc ANTI JOIN gone ON doc.r = gone.r AND doc.q = gone.q GROUP BY doc.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (r)""",
         "op9_mix": _op9_sql(),
         "op10_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {lower} AS body FROM documents)
