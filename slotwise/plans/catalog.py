@@ -118,9 +118,8 @@ def current_since(spark, d):
     return history.current_since(views.observations(spark, d))
 
 
-@query(f"""WITH {OBSERVATIONS_SQL} SELECT id, source_id, observed_at, title, url, ok, error FROM obs
-QUALIFY row_number() OVER w = 1 OR coalesce(lag(title) OVER w, '') <> coalesce(title, '') OR coalesce(lag(url) OVER w, '') <> coalesce(url, '') OR lag(ok) OVER w <> ok OR coalesce(lag(error) OVER w, '') <> coalesce(error, '')
-WINDOW w AS (PARTITION BY source_id ORDER BY observed_at, id)""")
+@query(f"""WITH {OBSERVATIONS_SQL} SELECT id, source_id, observed_at, title, url, ok, error FROM obs WINDOW w AS (PARTITION BY source_id ORDER BY observed_at, id)
+QUALIFY row_number() OVER w = 1 OR coalesce(lag(title) OVER w, '') <> coalesce(title, '') OR coalesce(lag(url) OVER w, '') <> coalesce(url, '') OR lag(ok) OVER w <> ok OR coalesce(lag(error) OVER w, '') <> coalesce(error, '')""")
 def cdc_changed_only(spark, d):
     return history.changed_only(views.observations(spark, d), ["title", "url", "ok", "error"]).select("id", "source_id", "observed_at", "title", "url", "ok", "error")
 
@@ -196,7 +195,7 @@ def orphan_items(spark, d):
 
 
 @query(f"""WITH {OBSERVATIONS_SQL} SELECT source_id, time_bucket(INTERVAL '5 minutes', observed_at) AS bucket, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok,
-  arg_max(url, (observed_at, id)) FILTER (WHERE slot_key = 'hero:1') AS hero_url, max(observed_at) AS ts FROM obs GROUP BY ALL""")
+  arg_max_null(url, (observed_at, id)) FILTER (WHERE slot_key = 'hero:1') AS hero_url, max(observed_at) AS ts FROM obs GROUP BY ALL""")
 def frames_5min(spark, d):
     o = views.observations(spark, d)
     w = F.window("observed_at", "5 minutes")
@@ -206,7 +205,7 @@ def frames_5min(spark, d):
 
 @query(f"""WITH {OBSERVATIONS_SQL}, f AS (SELECT *, CASE WHEN k < 30 THEN 'run:' || (k % 7) || '-' || strftime(observed_at, '%Y-%m-%d') ELSE 'bucket:' || strftime(time_bucket(INTERVAL '5 minutes', observed_at), '%Y-%m-%d %H:%M:%S') END AS frame FROM obs)
 SELECT source_id, frame, max(observed_at) AS ts, count(*) AS n_rows, arg_max(title, (observed_at, id)) FILTER (WHERE slot_key = 'hero:1') AS hero_title,
-  coalesce(string_agg(slot_key || '=' || id, ',' ORDER BY CAST(substr(slot_key, 7) AS INT), observed_at, id) FILTER (WHERE slot_key <> 'hero:1'), '') AS top10 FROM f GROUP BY source_id, frame""")
+  coalesce(string_agg(slot_key || '=' || id, ',' ORDER BY TRY_CAST(substr(slot_key, 7) AS INT), observed_at, id) FILTER (WHERE slot_key <> 'hero:1'), '') AS top10 FROM f GROUP BY source_id, frame""")
 def snapshot_frames(spark, d):
     o = views.observations(spark, d).withColumn("run_id", F.when(F.col("k") < 30, F.concat((F.col("k") % 7).cast("string"), F.lit("-"), F.date_format("observed_at", "yyyy-MM-dd"))))
     out = frames.frames(o.withColumn("fingerprint", F.lit(None).cast("string")))
@@ -590,7 +589,7 @@ def age_buckets(spark, d):
     return views.observations(spark, d).select("id", (F.greatest(seconds, F.lit(0).cast("long")) > 86400).alias("old"), story.short_duration(seconds).alias("age"))
 
 
-@query(f"""WITH {OBSERVATIONS_SQL} SELECT id, epoch_ms(observed_at) AS ms, strftime(observed_at - INTERVAL 8 HOURS, '%b %-d, %-I:%M %p') || ' PT' AS pacific, 'src_' || replace(replace(strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%gZ'), ':', '-'), '.', '-') AS run_id FROM obs""")
+@query(f"""WITH {OBSERVATIONS_SQL} SELECT id, epoch_us(observed_at) // 1000 AS ms, strftime(observed_at - INTERVAL 8 HOURS, '%b %-d, %-I:%M %p') || ' PT' AS pacific, 'src_' || replace(replace(strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%gZ'), ':', '-'), '.', '-') AS run_id FROM obs""")
 def time_formats(spark, d):
     at = F.col("observed_at").cast("timestamp")
     iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -611,8 +610,7 @@ def ranked_event_rows(spark, d):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = streams.read_events(spark, f"{sf_dir}/events.parquet", views.table(spark, sf_dir, "events").schema)
-    return raw
+    return streams.read_events(spark, sf_dir, views.table(spark, sf_dir, "events").schema, only="events.parquet")
 
 
 def _as_observations(e: DataFrame) -> DataFrame:

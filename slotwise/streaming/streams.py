@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 WATERMARK = "1 day"
 
 
-def read_events(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, path: str, schema, per_trigger: int | None = None, only: str | None = None) -> DataFrame:
+    """A stream over the files of a folder, those that match `only` if given."""
     reader = spark.readStream.schema(schema)
+    reader = reader.option("pathGlobFilter", only) if only else reader
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
 
 
