@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def slot_key(source_id: Column) -> Column:
     return F.substring(F.sha1(F.concat(F.coalesce(source_id, F.lit("")), F.lit("|top")).cast("binary")), 1, 12)
 
 
+def slot_key_of(source_id: str) -> str:
+    """The same for one id, on the driver."""
+    return hashlib.sha1(f"{source_id}|top".encode()).hexdigest()[:12]
+
+
 def story(url: Column, title: Column, slot_rank: Column | None = None) -> Column:
     """canonical_url, title_norm, fingerprint, keywords, slot_rank. A null rank stays null."""
     u, t = urls.normalize_url(url), text.normalize_title(title)

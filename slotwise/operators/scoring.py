@@ -34,6 +34,12 @@ TITLES: dict[str, tuple] = {
 }
 #: Least score of a pick.
 LEAST = {"guardian1": -10, "usat1": -20}
+#: How a site orders what it scored: by score, then top_y where it is known; latimes1 and cbs1 take the topmost or the first instead.
+TOPMOST, FIRST = ("latimes1",), ("cbs1",)
+POSITIVE = ("bbc1", "fox1", "yahoo1", "npr1", "ap1", "latimes1")
+#: Base scores that fall with the position: by site the first, the step and the least.
+ORDINAL = {"abc1": (1500.0, 28.0, 0.0), "cnn1": (11000.0, 3.0, 0.0)}
+LEAD_BASE, LEAD_FALL, LEAD_STEP = 260.0, 180.0, 6.0
 #: Document order against the last navigation link.
 AFTER_NAV, NEAR_NAV, BEFORE_NAV = 220, 120, -320
 WINDOW_BELOW, CLUSTER, LIVE_MARGIN = 900, 80, 25
@@ -107,3 +113,53 @@ def widest_source(srcset: Column) -> Column:
     entries = F.filter(F.transform(F.split(F.coalesce(srcset, F.lit("")), r",\s+|,$"), lambda x: F.trim(x)), lambda x: x != "")
     parsed = F.transform(entries, lambda x, i: F.struct(F.coalesce(F.regexp_extract(x, r"\s(\d+)w$", 1).try_cast("int"), F.lit(0)).alias("w"), (-i).alias("i"), F.regexp_extract(x, r"^(\S+)", 1).alias("u")))
     return F.array_max(parsed)["u"]
+
+
+def hero(site: str, candidates: DataFrame) -> DataFrame:
+    """A site's lead for each page. candidates: page_id, pos, title, url, top_y, and any of the site's features as boolean columns;
+    boundary_y and a `lead` flag for the sites that cut at a boundary, is_live, live_badge and is_article for the one that weighs live stories, nav_last
+    for those that go by document order. A page on which nothing scores enough has no row."""
+    features = {n: F.coalesce(F.col(n), F.lit(False)) for n in WEIGHTS.get(site, {}) if n in candidates.columns}
+    score = additive(site, features, F.col("title"), F.col("top_y")) if site in WEIGHTS else F.lit(0.0)
+    if site in ORDINAL:
+        score = score + ordinal(ORDINAL[site][0], F.col("pos"), *ORDINAL[site][1:])
+    if site == "cnn1":
+        score = score - F.least(F.lit(260.0), F.coalesce("top_y", F.lit(0.0)) / 8)
+    if site == "ap1" and "boundary_y" in candidates.columns:
+        below = F.greatest(F.lit(0.0), F.col("top_y") - F.col("boundary_y")) / LEAD_STEP
+        score = F.when(F.col("top_y") >= F.col("boundary_y"), score + LEAD_BASE - F.least(F.lit(LEAD_FALL), below)).otherwise(score)
+    if "nav_last" in candidates.columns:
+        score = score + after_nav(F.col("pos"), F.col("nav_last"))
+    c = first_by_url(candidates.withColumn("score", score))
+    if site in POSITIVE:
+        c = c.where("score > 0")
+    elif site in LEAST:
+        c = c.where(F.col("score") > LEAST[site])
+    if site in ("nbc1", "guardian1") and "boundary_y" in c.columns:
+        return boundary_pick(c, "lead" if site == "nbc1" and "lead" in c.columns else None)
+    if site == "bbc1" and {"is_live", "live_badge", "is_article"} <= set(c.columns):
+        return live_or_article(c)
+    if site in FIRST:
+        return pick(c, ["pos"])
+    if site in TOPMOST:
+        c = c.where(~F.coalesce("in_chrome", F.lit(False))) if "in_chrome" in c.columns else c
+        return pick(c, [F.asc_nulls_last("top_y"), F.desc("score"), "pos"])
+    return pick(c, [F.desc("score"), F.asc_nulls_last("top_y"), "pos"])
+
+
+def first_available(picks: list[DataFrame], page: str = "page_id") -> DataFrame:
+    """A chain of fallbacks: for each page the row of the first list that has one, with its place in the chain as `tier`."""
+    rows = None
+    for i, p in enumerate(picks):
+        p = p.withColumn("tier", F.lit(i))
+        rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
+    return pick(rows, ["tier", "pos"], page)
+
+
+def banner(candidates: DataFrame, payload: DataFrame) -> DataFrame:
+    """Candidates with the title of the payload story of the same comparison key, unless that names a section only; `title` stays where there is none."""
+    from ..functions import text, urls
+
+    best = payload.withColumn("_key", urls.compare_key(F.col("url"))).where(~text.section_title(F.col("title")) & (F.length("title") >= text.SHORTEST_TITLE))
+    best = best.groupBy("_key").agg(F.max_by("title", F.struct(F.length("title"), "title")).alias("_title"))
+    return candidates.withColumn("_key", urls.compare_key(F.col("url"))).join(best, "_key", "left").withColumn("title", F.coalesce("_title", "title")).drop("_key", "_title")

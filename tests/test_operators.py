@@ -7,8 +7,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from slotwise.functions import story
 from slotwise.operators import diff, extract, frames, history, matching, scoring
-from slotwise.plans import catalog
+from slotwise.plans import catalog, publish
 from slotwise.sources import readers, registry, sinks
 
 ITEMS = "source_id string, run_id string, observed_at timestamp_ntz, rank int, title string, url string, fingerprint string"
@@ -144,6 +145,44 @@ def test_live_or_article(spark):
     assert {r.page_id: r.pos for r in scoring.live_or_article(df).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_heroes_of_all_sites(spark):
+    rows = [(1, 0, "A nav link that is long enough", "https://x/n", 20.0, 100.0, False, True, False), (1, 1, "The leading story of this very day", "https://x/a", 150.0, 100.0, True, False, True),
+            (1, 2, "The leading story once again here", "https://x/a", 160.0, 100.0, True, False, False), (1, 3, "A lesser story further down", "https://x/b", 2000.0, 100.0, True, False, False)]
+    df = spark.createDataFrame(rows, "page_id int, pos int, title string, url string, top_y double, boundary_y double, in_main boolean, in_chrome boolean, headline boolean")
+    df = df.withColumn("is_live", F.lit(False)).withColumn("live_badge", F.lit(False)).withColumn("is_article", F.col("in_main")).withColumn("in_lead", F.col("headline")).withColumn("in_story", F.col("in_main")).withColumn("in_h1", F.col("headline"))
+    for site in scoring.WEIGHTS:
+        got = [(r.page_id, r.pos) for r in scoring.hero(site, df).collect()]
+        assert got == [(1, 0 if site in ("abc1",) else 1)] or site == "yahoo1", site
+    ordered = df.withColumn("nav_last", F.lit(0))
+    assert [r.pos for r in scoring.hero("fox1", ordered).collect()] == [1] == [r.pos for r in scoring.hero("yahoo1", ordered).collect()]
+    assert [r.pos for r in scoring.hero("cbs1", df).collect()] == [0]
+
+
+def test_fallbacks(spark):
+    a = spark.createDataFrame([(1, 3, "x")], "page_id int, pos int, title string")
+    b = spark.createDataFrame([(1, 0, "y"), (2, 1, "z")], "page_id int, pos int, title string")
+    assert {r.page_id: (r.title, r.tier) for r in scoring.first_available([a, b]).collect()} == {1: ("x", 0), 2: ("z", 1)}
+
+
+def test_banner_title(spark):
+    c = spark.createDataFrame([(1, 0, "Live", "https://x.org/a/?q=1"), (1, 1, "Own", "https://x.org/b")], "page_id int, pos int, title string, url string")
+    p = spark.createDataFrame([("A refined headline", "https://x.org/a"), ("Politics", "https://x.org/b")], "title string, url string")
+    assert {r.pos: r.title for r in scoring.banner(c, p).collect()} == {0: "A refined headline", 1: "Own"}
+
+
+def test_publish(spark, tmp_path):
+    o = obs(spark, [(0, "https://x/a", "A", None, True), (1, None, None, None, False), (2, "https://x/b", "B", None, True)]).withColumn("slot_key", F.lit("hero:1")).withColumn("error", F.lit(None).cast("string"))
+    items = spark.createDataFrame(run("r1", 0, ("a", "A"), ("b", "B")) + run("r2", 5, ("b", "B")), ITEMS)
+    publish.publish_all(o, items, "2026-02-01 13:00:00", str(tmp_path))
+    read = lambda n: spark.read.json(str(tmp_path / n)).collect()
+    assert read("unified")[0].url == "https://x/b" and read("current")[0].slot_key == story.slot_key_of("s")
+    assert [r.seen_count for r in sorted(read("history"), key=lambda r: r.island)] == [1, 1]
+    assert len(read("timeline")) == 3 and len(read("top10_history")) == 3 and len(read("top10_latest")) == 1
+    assert {r.event_type for r in read("top10_events_24h")} == {"ENTER", "EXIT", "MOVE"}
+    publish.publish_all(o.drop("ok"), items, "2026-02-01 13:00:00", str(tmp_path / "bad"))
+    assert spark.read.json(str(tmp_path / "bad" / "failure")).first().ok is False
+
+
 BASE = "https://news.example/"
 
 
