@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(1)
+def _trim() -> Callable:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with the memory that a batch took given back to the system after it: Python workers are kept for later tasks, and share their executor's memory."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                pa.default_memory_pool().release_unused()
+                _trim()(0)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return tidied
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

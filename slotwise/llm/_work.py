@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Let the session send texts to Python in batches of at most so many rows and bytes; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key, str(most)))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def settle(df: DataFrame, path: str, **options) -> DataFrame:
     """Write df as a table at path and read it back: its lineage ends there, and a lost executor costs no rerun of what made it."""
     df.write.options(**options).mode("overwrite").parquet(path)

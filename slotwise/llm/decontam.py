@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tokens import ALNUM, Words, slices, texts_of
+from ._tokens import ALNUM, Words, slices, texts_of, tidy
 
 WINDOW = 13
 #: Words of items in one automaton: about 300 bytes each in a worker.
@@ -203,7 +203,7 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     schema = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in out.columns) + ", n_words long, marks binary, items array<string>"
     first = True
     for group in item_groups(items, item_id, item_text, max_item_words):
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(Automaton(group, window)), first), schema)
+        out = out.mapInArrow(tidy(_marker(spark.sparkContext.broadcast(Automaton(group, window)), first)), schema)
         first = False
     return out if not first else out.mapInArrow(_marker(spark.sparkContext.broadcast(Automaton([], window)), True), schema)
 
@@ -276,5 +276,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
     plain = docs.toDF(*inner)
     marked = mark(plain, items, inner[at], window=window, carry=[c for c in inner if c != inner[at]], **options)
     schema = ", ".join(f"`{inner[i]}` {plain.schema[inner[i]].dataType.simpleString()}" for i in order)
-    out = marked.mapInArrow(_cutter(len(names) - 1, max_span if max_span is not None else 1 << 62, max_percent), schema)
+    out = marked.mapInArrow(tidy(_cutter(len(names) - 1, max_span if max_span is not None else 1 << 62, max_percent)), schema)
     return out.select(*[F.col(inner[i]).alias(names[i]) for i in range(len(names))])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tokens import slices, texts_of
+from ._tokens import slices, texts_of, tidy
 
 WIDTH, STRIDE, CHUNK, STEP, FILTERS = 8, 2, 128, 96, 16
 #: Labelled rows of each label that training takes, at most.
@@ -97,12 +97,17 @@ def features(z: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.concatenate([np.add.reduceat(z, edge, axis=0) / count[:, None], np.maximum.reduceat(z, edge, axis=0), np.minimum.reduceat(z, edge, axis=0)], 1)
 
 
+def shortness(texts: list[bytes]) -> np.ndarray:
+    """How much of one chunk a text leaves empty: a maximum over few positions is low for that reason alone."""
+    return np.array([[max(0.0, 1 - len(t) / CHUNK)] for t in texts])
+
+
 def score(texts: list[bytes], net: Net, tables: np.ndarray | None = None) -> np.ndarray:
     tables = net.tables() if tables is None else tables
     out = []
     for a, b in slices([len(t) for t in texts], BLOCK_BYTES):
         z, count, _ = pooled(texts[a:b], tables)
-        f = (features(np.tanh(z + net.bias), count) - net.center) / net.scale
+        f = (np.concatenate([features(np.tanh(z + net.bias), count), shortness(texts[a:b])], 1) - net.center) / net.scale
         out.append(1 / (1 + np.exp(-np.clip(f @ net.unit + net.offset, -50, 50))))
     return np.concatenate(out) if out else np.zeros(0)
 
@@ -112,7 +117,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 5
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, float)
     F_ = FILTERS
-    net = Net(rng.normal(0, 0.15, (WIDTH, 256, F_)).astype(np.float32), np.zeros(F_, np.float32), np.zeros(3 * F_), 0.0, np.zeros(3 * F_), np.ones(3 * F_))
+    net = Net(rng.normal(0, 0.15, (WIDTH, 256, F_)).astype(np.float32), np.zeros(F_, np.float32), np.zeros(3 * F_ + 1), 0.0, np.zeros(3 * F_ + 1), np.ones(3 * F_ + 1))
     if len(set(labels.tolist())) < 2:
         net.offset = 20.0 if not len(labels) or labels[0] > 0 else -20.0
         return net
@@ -154,7 +159,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 5
     rows = []
     for a, b in slices([len(t) for t in texts], BLOCK_BYTES):
         z, count, _ = pooled(texts[a:b], tables)
-        rows.append(features(np.tanh(z + net.bias), count))
+        rows.append(np.concatenate([features(np.tanh(z + net.bias), count), shortness(texts[a:b])], 1))
     f = np.concatenate(rows)
     net.center, net.scale = f.mean(0), f.std(0) + 1e-3
     f = (f - net.center) / net.scale
@@ -206,11 +211,11 @@ def predict(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "
     """id_col and score (0 to 1) of every row. Null counts as the empty text, which the network scores as a few zero bytes."""
     b = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    return rows.mapInArrow(_scorer(b, 1, "score", 0.0), "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(_scorer(b, 1, "score", 0.0)), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, as they are."""
     b = docs.sparkSession.sparkContext.broadcast(net)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(_scorer(b, docs.columns.index(text_col), "keep", threshold), plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(_scorer(b, docs.columns.index(text_col), "keep", threshold)), plain.schema).toDF(*docs.columns)

@@ -13,6 +13,7 @@ TOKENIZER = "byte_bpe_50k"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    _work.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sieve, _work
-from ._tokens import SPACED, Words, mix, slices, texts_of
+from ._tokens import SPACED, Words, mix, slices, texts_of, tidy
 
 WINDOW, LEVELS = 35, 4
 #: Bytes of text whose windows are compared before they are dealt out.
@@ -288,8 +288,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, levels: int = LEVELS)
     """rows: key, body. Returns (key, a, b): spans of words, which may overlap, that cover all windows that also start anywhere else."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = rows.select("key", "body").mapInArrow(_packer(window, levels, 4 * parts), "bucket int, blob binary")
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_finder(window), "key long, a long, b long")
+    packed = rows.select("key", "body").mapInArrow(tidy(_packer(window, levels, 4 * parts)), "bucket int, blob binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_finder(window)), "key long, a long, b long")
 
 
 def _remover(with_text: bool):
@@ -340,4 +340,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = flagged.where("maybe").join(covered, "key", "left").select("id", "body", "spans")
     whole = flagged.where("not maybe").select("id", "body", F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return whole.unionByName(cut).mapInArrow(_remover(with_text), schema).withColumnRenamed("id", id_col)
+    return whole.unionByName(cut).mapInArrow(tidy(_remover(with_text)), schema).withColumnRenamed("id", id_col)
