@@ -8,6 +8,7 @@ and epoch that is taken.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotwise.llm import _sieve, _work, decontam, exact_index, hyperminhash, mixing, quality_cnn
 from slotwise.llm.queries import FRACTION_PCT, MAX_EPOCHS, SEED, WEIGHTS, domain, fold
@@ -15,23 +16,28 @@ from slotwise.llm.queries import FRACTION_PCT, MAX_EPOCHS, SEED, WEIGHTS, domain
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold go. The network learns from labelled rows outside the held-out fold."""
+    _work.small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_cnn.keep_good(docs, quality_cnn.fit(docs, labels, fold("doc_id", 5) != 0))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of rows that repeat its doc_id too, one. Groups of null ids only stay."""
+    _work.small_batches(spark)
     work = _work.shared_dir(spark)
     result = _work.settle(exact_index.exact_dedup(docs).where("group_size > 1 and doc_id is not null"), f"{work}/exact")
     kept = result.where("kept").groupBy("doc_id").count()
     singles = _sieve.without(docs, "doc_id", result.select("doc_id"))
-    many = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    once = _sieve.flag(docs, docs["doc_id"].cast("long"), kept.where("count = 1").select("doc_id"), "__maybe").where("__maybe").drop("__maybe").join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    return singles.unionByName(once).unionByName(many).select(*docs.columns)
+    some = kept.select("doc_id", (F.col("count") > 1).alias("__many"))
+    found = _sieve.flag(docs, F.col("doc_id").cast("long"), some.select("doc_id"), "__maybe").where("__maybe").drop("__maybe").join(some, "doc_id")
+    found = _work.settle(found, f"{work}/found")
+    once, many = found.where("not __many").drop("__many"), found.where("__many").drop("__many").dropDuplicates(["doc_id", "text"])
+    return singles.unionByName(once.select(*docs.columns)).unionByName(many.select(*docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts the document with the smallest id stays."""
+    _work.small_batches(spark)
     work = _work.shared_dir(spark)
     gone = _work.settle(hyperminhash.near_dedup(docs).where("not kept").select("doc_id"), f"{work}/gone")
     return _sieve.without(docs, "doc_id", gone)
@@ -39,6 +45,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth or more go; the others stay as they are."""
+    _work.small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

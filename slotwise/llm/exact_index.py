@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _work
-from ._tokens import texts_of
+from . import _sieve, _work
+from ._tokens import texts_of, tidy
 
 #: Keys in a bucket before it splits.
 CAPACITY = 50_000
-#: log2 of the bits of the map that spares texts of unique keys a shuffle: 8 MB, whatever the input's size.
-MAP_BITS = 26
 #: Directory entries that may be broadcast (about 24 bytes each).
 BROADCAST_ENTRIES = 250_000
 
@@ -103,8 +101,8 @@ def _link_rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64, map_bits: int = MAP_BITS) -> DataFrame:
-    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256, bucket, chain_place.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
+    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256, chain_place.
 
     Texts are equal when their bytes are, after lower-casing A-Z. Null counts as the empty text, so all null and empty texts
     form one group. The largest id stays; null ids rank lowest, and a group of null ids only keeps them all (keep_id null).
@@ -114,7 +112,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     work = _work.shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    keys = _work.settle(rows.mapInArrow(_keyer(hash_bits, False), "id long, h long, sha binary"), f"{work}/keys")
+    keys = _work.settle(rows.mapInArrow(tidy(_keyer(hash_bits, False)), "id long, h long, sha binary"), f"{work}/keys")
     entries = _work.settle(keys.groupBy("h", "sha").agg(F.count("*").alias("n"), F.max("id").alias("keep")), f"{work}/entries")
     depth, buckets = directory(entries, capacity, hash_bits)
     slots = [(q, i) for i, (p, d) in enumerate(buckets) for q in range(p << (depth - d), (p + 1) << (depth - d))]
@@ -128,18 +126,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = entries.withColumn("slot", slot).join(table, "slot").drop("slot").repartition(owners, "bucket").sortWithinPartitions("bucket", "h", "sha")
     index = _work.settle(index, f"{work}/index")
 
-    # Keys of more than one row, or of more than one text, are to be compared. The bit map is of fixed size: it spares most
-    # other texts the shuffle, and the join behind it decides.
+    # Keys of more than one row, or of more than one text, are to be compared. A bit map of bounded size spares
+    # most other texts the shuffle, and the join behind it decides.
     repeated = index.groupBy("h", "bucket").agg(F.sum("n").alias("m")).where("m > 1").select("h", "bucket")
-    bit = F.pmod("h", F.lit(1 << map_bits))
-    chunk, place = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
-    bits = repeated.groupBy(chunk.alias("chunk")).agg(F.bitmap_construct_agg(place).alias("bits"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    texts = rows.mapInArrow(_keyer(hash_bits, True), "id long, h long, sha binary, body binary")
-    texts = texts.withColumn("chunk", chunk).withColumn("place", place).join(F.broadcast(bits), "chunk").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) != 0)
+    texts = rows.mapInArrow(tidy(_keyer(hash_bits, True)), "id long, h long, sha binary, body binary")
+    texts = _sieve.flag(texts, F.col("h"), repeated.select("h")).where("maybe")
     compared = texts.select("id", "h", "sha", "body").join(repeated, "h").groupBy("bucket", "h", "sha", "body").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
     chained = compared.repartition(owners, "bucket").sortWithinPartitions("bucket", "h", "sha").select("h", "sha", "body", "keep", "n")
-    links = _work.settle(chained.mapInArrow(_chains, "h long, place int, sha binary, keep_id long, n long"), f"{work}/links")
+    links = _work.settle(chained.mapInArrow(tidy(_chains), "h long, place int, sha binary, keep_id long, n long"), f"{work}/links")
 
     out = keys.join(links, ["h", "sha"], "left")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
