@@ -2,13 +2,20 @@
 
 A document is the set of 64-bit hashes of its distinct word shingles. Documents with equal sets make a class, and the class's
 smallest id stands for it. A class's sketch has one register for each of 128 buckets of hash space: the number of leading zeros
-of the bucket's smallest hash and the ten bits behind its first one (0: nothing fell there). Registers are banded by four;
-classes that agree on a band are candidates. A band's members are first compared with its smallest member only; what is linked
-so makes components, and then members of one band that are still in different components are compared with each other, so no
-candidate link between components goes untested. A pair's Jaccard similarity is first estimated from its registers, corrected
-for registers that agree by chance, and what may reach the threshold is confirmed on the full sets of both texts.
+of the bucket's smallest hash and the ten bits behind its first one (0: nothing fell there). Registers are cut into
+bands, and classes that agree on a band are candidates.
 
-With 32 bands, a pair at the threshold of 0.8 shares none with probability (1 - 0.8 ** 4) ** 32, about 5e-8.
+At a similarity of t = 0.8, sets of up to n shingles differ in at most D = (1 - t) / t * n of them, and each of these spoils one
+band. Small sets get about 1.25 * (D + 1) wide bands, by classes of size, so one filled band at least is left as it is and no pair
+is lost (empty bands serve too where fewer than D + 1 are filled). Sets of more than about 100 shingles get 32 bands of four
+registers, of which two at least must be filled; there a pair at the threshold shares none with a probability of about
+(1 - 0.8 ** 4) ** 32, 5e-8, or less.
+
+A band's members are first compared with its smallest member only, and what is linked makes components. Members outside the
+smallest one's component are then compared with other members of it, one for each band they share, in a few rounds; at last all
+members of one band that are still in different components are compared by their registers, in blocks, and only pairs that may
+be links become rows; so no candidate link between components goes untested. A pair's Jaccard similarity is first estimated from its registers, corrected for registers that agree
+by chance, and what may reach the threshold is confirmed on the full sets of both texts.
 """
 
 from __future__ import annotations
@@ -22,15 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _graph, _sieve, _work
-from ._tokens import SPACED, Words, mix, slices, texts_of
+from ._tokens import SPACED, Words, mix, slices, texts_of, tidy
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
+#: Rounds of comparisons with other members before all that are left in different components are compared.
+ROUNDS = 2
+#: Members of a band that are compared in one block of memory.
+BLOCK = 2048
 SHINGLE, THRESHOLD_PCT = 4, 80
 #: Standard deviations below the threshold at which an estimate still goes to verification.
 SLACK = 6.0
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+_PLACE = mix(np.arange(BUCKETS, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -91,16 +103,45 @@ def _sketcher(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["id", "n", "key", "sketch"])
 
 
-def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _K[0]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(-1, BANDS)
-        band = mix(raw + salt).view(np.int64)
-        row, _ = filled = np.nonzero(raw)
-        rep, n = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(band[filled]), pa.array(rep[row]), pa.array(n[row])], ["band", "rep", "n"])
+def plan_bands(n: int, threshold_pct: int = THRESHOLD_PCT) -> list[tuple[int, int, int]]:
+    """(class, bands, most differences) of the bandings in which a set of n shingles takes part: its own class of size and the next, class -1 for all large ones."""
+    ratio = 100 / threshold_pct
+    own, out = 0, []
+    while ratio ** (own + 1) <= n:
+        own += 1
+    for c in (own, own + 1):
+        most = int((ratio - 1) * ratio ** (c + 1))
+        bands = -(-5 * (most + 1) // 4)
+        out.append((c, bands, most) if bands < BANDS else (-1, BANDS, 0))
+    return sorted(set(out))
+
+
+def band_keys(sketch: np.ndarray, n: int, threshold_pct: int = THRESHOLD_PCT) -> list[int]:
+    out = []
+    for c, bands, most in plan_bands(n, threshold_pct):
+        edges = np.arange(bands) * BUCKETS // bands
+        filled = np.add.reduceat((sketch > 0).astype(np.int64), edges)
+        value = np.add.reduceat(mix(sketch.astype(np.uint64) + np.uint64(1)) * _PLACE, edges)
+        key = mix(value + mix(np.arange(bands, dtype=np.uint64) + np.uint64((c + 2) * 1000)))
+        use = filled >= 2 if c < 0 else filled > 0
+        if c >= 0 and int(use.sum()) <= most:
+            use[:] = True
+        out += key[use].view(np.int64).tolist()
+    return out
+
+
+def _bander(threshold_pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, sizes, keys = [], [], []
+            for rep, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = band_keys(np.frombuffer(sketch, np.uint16), n, threshold_pct)
+                keys += own
+                reps += [rep] * len(own)
+                sizes += [n] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64())], ["band", "rep", "n"])
+
+    return run
 
 
 def _likely(threshold_pct: int):
@@ -118,6 +159,48 @@ def _likely(threshold_pct: int):
     return run
 
 
+def _in_blocks(threshold_pct: int):
+    """Rows (band, lo, hi, chunk, rep, n, comp, main, sketch) come block by block. Pairs of a block that are in different components
+    and whose estimate may reach the threshold leave; no others are ever made into rows."""
+    t = threshold_pct / 100
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        lo, hi = rows[0][1], rows[0][2]
+        chunk, rep, n, comp, main = (np.array([r[i] for r in rows]) for i in range(3, 8))
+        out = np.flatnonzero(comp != main)
+        if not len(out):
+            return
+        sketch = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, BUCKETS)
+        size = n.astype(float)
+        for i in out.tolist():
+            other = (comp != comp[i]) & ((comp == main) | (rep < rep[i])) & (100 * np.minimum(n, n[i]) >= threshold_pct * np.maximum(n, n[i]))
+            other &= (chunk == lo) if lo == hi else (chunk != chunk[i])
+            at = np.flatnonzero(other)
+            if len(at):
+                j, k = estimate(sketch[at], sketch[i][None, :], size[at], np.full(len(at), size[i]))
+                for x in rep[at[j >= t - SLACK * np.sqrt(t * (1 - t) / k)]].tolist():
+                    yield max(x, int(rep[i])), min(x, int(rep[i]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block and row[:3] != block[0][:3]:
+                    found += compare(block)
+                    block = []
+                block.append(row)
+            yield _pair_rows(found)
+        if block:
+            yield _pair_rows(list(compare(block)))
+
+    return run
+
+
+def _pair_rows(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+
 def _confirmer(size: int, threshold_pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -147,44 +230,66 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     work = _work.shared_dir(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    sketched = _work.settle(rows.mapInArrow(lambda it: _sketcher(it, size), "id long, n long, key binary, sketch binary"), f"{work}/sketched")
+    sketched = _work.settle(rows.mapInArrow(tidy(lambda it: _sketcher(it, size)), "id long, n long, key binary, sketch binary"), f"{work}/sketched")
     reps = sketched.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = _work.settle(reps, f"{work}/reps")
-    bands = _work.settle(reps.select("rep", "n", "sketch").mapInArrow(_bander, "band long, rep long, n long"), f"{work}/bands")
+    bands = _work.settle(reps.select("rep", "n", "sketch").mapInArrow(tidy(_bander(threshold_pct)), "band long, rep long, n long"), f"{work}/bands")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) of representatives that are links."""
         a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        likely = pairs.join(a, "a").join(b, "b").mapInArrow(_likely(threshold_pct), "a long, b long")
+        likely = pairs.join(a, "a").join(b, "b").mapInArrow(tidy(_likely(threshold_pct)), "a long, b long")
         likely = _work.settle(likely, f"{work}/{name}_likely")
         ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
         # An id stands for one text: a repeated id with other texts is told by the class it represents.
         near = _sieve.flag(rows, F.col("id"), ids).where("maybe").drop("maybe").join(ids, "id", "left_semi")
         near = _work.settle(near.groupBy("id").agg(F.min("body").alias("body")), f"{work}/{name}_texts")
         ta, tb = near.select(F.col("id").alias("a"), F.col("body").alias("ta")), near.select(F.col("id").alias("b"), F.col("body").alias("tb"))
-        found = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_confirmer(size, threshold_pct), "a long, b long")
+        found = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_confirmer(size, threshold_pct)), "a long, b long")
         return _work.settle(found, f"{work}/{name}")
 
-    leaders = bands.groupBy("band").agg(F.min("rep").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
+    near_size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * threshold_pct
+    leaders = bands.groupBy("band").agg(F.min_by(F.struct("rep", "n"), "rep").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
     shared = bands.join(leaders, "band")
-    first = _work.settle(shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), f"{work}/first_pairs")
-    links = confirmed(first, "first")
-    comps = _graph.components(links, f"{work}/first_comps")
-
-    labelled = bands.join(leaders.select("band"), "band", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    labelled = _work.settle(labelled, f"{work}/labelled")
-    open_ = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = labelled.join(open_, "band", "left_semi")
-    x = rest.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    y = rest.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    near_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold_pct
-    second = x.join(y, "band").where((F.col("b") < F.col("a")) & (F.col("ca") != F.col("cb")) & near_size).select("a", "b").distinct()
-    second = _work.settle(second.join(first, ["a", "b"], "left_anti"), f"{work}/second_pairs")
-    if not second.isEmpty():
-        links = links.unionByName(confirmed(second, "second"))
-        comps = _graph.components(links, f"{work}/second_comps")
+    tested = shared.where((F.col("rep") != F.col("lead.rep")) & near_size("n", "lead.n")).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
+    tested = _work.settle(tested, f"{work}/pairs0")
+    links = confirmed(tested, "links0")
+    comps = _graph.components(links, f"{work}/comps0")
+    grouped = _work.settle(shared.select("band", "rep", "n"), f"{work}/grouped")
+    last = False
+    for i in range(1, ROUNDS + 2):
+        last = last or i > ROUNDS
+        rows_ = grouped.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = rows_.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rep").alias("main")).where("lo <> hi").select("band", "main")
+        grouped = _work.settle(rows_.join(mixed, "band"), f"{work}/mixed{i}")  # bands of one component are done
+        if grouped.isEmpty():
+            break
+        inside, outside = F.col("comp") == F.col("main"), F.col("comp") != F.col("main")
+        if not last:
+            probe = grouped.where(inside).groupBy("band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("band", "rep", F.lit(i))).alias("lead"))
+            pairs = grouped.where(outside).join(probe, "band").where(near_size("n", "lead.n")).select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b"))
+        else:
+            chunks = grouped.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+            rows_ = grouped.join(chunks, "band").join(reps.select("rep", "sketch"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+            rows_ = rows_.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+            rows_ = rows_.select("band", F.least("chunk", "j").alias("lo"), F.greatest("chunk", "j").alias("hi"), "chunk", "rep", "n", "comp", "main", "sketch")
+            blocks = rows_.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+            pairs = blocks.mapInArrow(tidy(_in_blocks(threshold_pct)), "a long, b long")
+        pairs = _work.settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"{work}/pairs{i}")
+        grouped = grouped.select("band", "rep", "n")
+        found = None if pairs.isEmpty() else confirmed(pairs, f"links{i}")
+        tested = tested.unionByName(pairs)
+        if found is not None and not found.isEmpty():
+            links = links.unionByName(found)
+            comps = _graph.components(links, f"{work}/comps{i}")
+        elif not last:
+            last = True  # probing has nothing more to tell
+            continue
+        if last:
+            break
 
     classes = reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     out = sketched.select("id", "n", "key").join(classes, "key", "left")

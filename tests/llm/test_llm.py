@@ -144,6 +144,39 @@ def test_near_dedup_chain(spark):
     assert rows(hyperminhash.near_dedup(table(spark, data))) == brute_near(data)
 
 
+def test_near_dedup_many_near_copies(spark):
+    """One large group whose members differ from each other about as much as the threshold allows, beside texts that share a passage only."""
+    rng = np.random.default_rng(5)
+    base = [f"a{i}" for i in range(150)]
+    data = []
+    for i in range(150):
+        own = list(base)
+        for k in rng.choice(150, 4, False):
+            own[k] = f"z{i}x{k}"
+        data.append((i, " ".join(own), "en", "s", 1))
+    line = " ".join(f"l{i}" for i in range(12))
+    for i in range(150, 300):
+        data.append((i, line + " " + " ".join(f"o{i}x{k}" for k in range(int(rng.integers(3, 60)))), "en", "s", 1))
+    assert rows(hyperminhash.near_dedup(table(spark, data))) == brute_near(data)
+
+
+def test_no_pair_of_small_sets_is_lost():
+    """Pigeonhole: whatever differs, sets at the threshold share a band."""
+    rng = np.random.default_rng(9)
+    for n in [*range(4, 40), 50, 64, 80, 90, 97]:
+        for _ in range(60):
+            most = int(n * 0.25)
+            cut = int(rng.integers(0, most + 1))
+            add = 0
+            while 100 * (n - cut) >= 80 * (n + add + 1):
+                add += 1
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            y = np.unique(np.concatenate([x[cut:] if rng.random() < 0.5 else rng.permutation(x)[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, add + 1))).astype(np.uint64) * np.uint64(2)]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                assert set(hyperminhash.band_keys(hyperminhash.registers(x), len(x))) & set(hyperminhash.band_keys(hyperminhash.registers(y), len(y)))
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)) for _ in range(300)]
