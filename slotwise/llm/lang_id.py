@@ -215,6 +215,8 @@ class Scorer:
             self.used += len(part)
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.model.langs:
+            return [("und", 0.0)] * len(texts)
         found = [words_of(t) if t else [] for t in texts]
         every = set().union(*found)
         if missing := every - self.row.keys():
@@ -222,7 +224,7 @@ class Scorer:
         get, table = self.row.__getitem__, self.table
         out = []
         for words in found:
-            if not words or not self.model.langs:
+            if not words:
                 out.append(("und", 0.0))
                 continue
             total = table[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
