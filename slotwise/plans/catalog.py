@@ -12,7 +12,7 @@ from ..operators import diff, extract, frames, history, matching, scoring
 from ..sources import readers, registry, sinks
 from ..streaming import streams
 from . import views
-from .views import CANDIDATES_SQL, HEADLINES_SQL, OBSERVATIONS_SQL, PAGE_STORIES_SQL, SNAPSHOTS_SQL
+from .views import CANDIDATES_SQL, HEADLINES_SQL, OBSERVATIONS_SQL, PAGE_STORIES_SQL, SNAPSHOTS_SQL, WHOLE_TEXTS_SQL
 
 NOW = "2024-01-30 00:00:00"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,22 +316,43 @@ def clean_text(spark, d):
     return views.headlines(spark, d).select("id", text.clean_text(F.col("title")).alias("title"))
 
 
+@query(f"WITH {WHOLE_TEXTS_SQL} SELECT id, {_clean('title')} AS title FROM head")
+def clean_text_whole(spark, d):
+    return views.whole_texts(spark, d).select("id", text.clean_text(F.col("title")).alias("title"))
+
+
 @query(f"WITH {HEADLINES_SQL}, n AS (SELECT id, title || ' - 2024-01-05T10:11:12Z 5 mins ago | ' AS title FROM head) SELECT id, {_noise('title')} AS title FROM n")
 def strip_noise(spark, d):
     h = views.headlines(spark, d).withColumn("title", F.concat("title", F.lit(" - 2024-01-05T10:11:12Z 5 mins ago | ")))
     return h.select("id", text.strip_noise(F.col("title")).alias("title"))
 
 
+@query(f"WITH {WHOLE_TEXTS_SQL}, n AS (SELECT id, title || ' - 2024-01-05T10:11:12Z 5 mins ago | ' AS title FROM head) SELECT id, {_noise('title')} AS title FROM n")
+def strip_noise_whole(spark, d):
+    h = views.whole_texts(spark, d).withColumn("title", F.concat("title", F.lit(" - 2024-01-05T10:11:12Z 5 mins ago | ")))
+    return h.select("id", text.strip_noise(F.col("title")).alias("title"))
+
+
 @query(f"WITH {HEADLINES_SQL} SELECT id, {_normal('title')} AS title_norm FROM head")
 def normalize_title(spark, d):
     return views.headlines(spark, d).select("id", text.normalize_title(F.col("title")).alias("title_norm"))
 
 
+@query(f"WITH {WHOLE_TEXTS_SQL} SELECT id, {_normal('title')} AS title_norm FROM head")
+def normalize_title_whole(spark, d):
+    return views.whole_texts(spark, d).select("id", text.normalize_title(F.col("title")).alias("title_norm"))
+
+
 @query(f"WITH {HEADLINES_SQL}, n AS (SELECT id, {_normal('title')} AS t FROM head) SELECT id, array_to_string({_keywords('t')}, ' ') AS keywords FROM n")
 def title_keywords(spark, d):
     return views.titled(views.headlines(spark, d)).select("id", F.array_join("keywords", " ").alias("keywords"))
 
 
+@query(f"WITH {WHOLE_TEXTS_SQL}, n AS (SELECT id, {_normal('title')} AS t FROM head) SELECT id, array_to_string({_keywords('t')}, ' ') AS keywords FROM n")
+def title_keywords_whole(spark, d):
+    return views.titled(views.whole_texts(spark, d)).select("id", F.array_join("keywords", " ").alias("keywords"))
+
+
 @query(f"""WITH {PAGE_STORIES_SQL}, src AS (SELECT * FROM story), u AS ({_url_parts()}), n AS (SELECT page_id, {_NORMAL} AS cu, {_normal('title')} AS tn FROM u)
 SELECT page_id, nullif(cu, '') AS canonical_url, nullif(tn, '') AS title_norm, sha1(CASE WHEN cu <> '' AND tn <> '' THEN cu || '|' || tn WHEN cu <> '' THEN cu WHEN tn <> '' THEN tn ELSE 'unknown' END) AS fingerprint, substr(sha1(page_id || '|top'), 1, 12) AS slot_key FROM n""")
 def fingerprints(spark, d):
@@ -365,6 +386,11 @@ def title_reject(spark, d):
     return views.headlines(spark, d).select("id", text.title_rejected(F.col("title")).alias("rejected"), text.section_title(F.col("title")).alias("section"))
 
 
+@query(f"WITH {WHOLE_TEXTS_SQL} SELECT id, length(title) < 12 OR regexp_matches(lower(title), '{text.REFUSED_TITLE}') AS rejected, regexp_matches(title, '{text.SECTION_TITLE}') AS section FROM head")
+def title_reject_whole(spark, d):
+    return views.whole_texts(spark, d).select("id", text.title_rejected(F.col("title")).alias("rejected"), text.section_title(F.col("title")).alias("section"))
+
+
 @query(f"""WITH {OBSERVATIONS_SQL}, s AS (SELECT id, k, CASE WHEN k % 3 = 0 THEN '<html><title> Error code 522 </title><body>x</body></html>' WHEN k % 3 = 1 THEN '<p>fetch   failed</p>' ELSE 'status=' || (400 + k) END AS m FROM obs)
 SELECT id, CASE WHEN regexp_extract(m, '(?i)<title>([^<]+)</title>', 1) <> '' THEN trim(regexp_extract(m, '(?i)<title>([^<]+)</title>', 1)) ELSE left(trim(regexp_replace(regexp_replace(m, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 220) END AS summary,
   (400 + k) IN ({', '.join(map(str, text.TRANSIENT_STATUS))}) OR {' OR '.join(f"contains(lower(m), '{t}')" for t in text.TRANSIENT_TEXT)} AS transient, {' OR '.join(f"contains(lower(m), '{t}')" for t in text.OUTAGE_TEXT)} AS outage FROM s""")
@@ -388,6 +414,15 @@ def keyword_similarity(spark, d):
     return matching.similar(h, h.where("id % 20 = 0"))
 
 
+@query(f"""WITH {WHOLE_TEXTS_SQL}, n AS (SELECT id, {_normal('title')} AS t FROM head), h AS (SELECT id, {_keywords('t')} AS kw FROM n),
+m AS (SELECT a.id, b.id AS anchor, round(ov / un, 9) AS score FROM (SELECT a, b, len(list_intersect(a.kw, b.kw)) AS ov, len(list_distinct(list_concat(a.kw, b.kw))) AS un FROM h a, h b WHERE b.id % 20 = 0 AND a.id <> b.id) WHERE {_MATCH})
+SELECT id, count(*) AS n_anchors, arg_max(anchor, (score, -anchor)) AS best_anchor, max(score) AS best_score FROM m GROUP BY id""")
+def keyword_similarity_whole(spark, d):
+    """Every whole text against the anchors: those whose id is divisible by 20."""
+    h = views.titled(views.whole_texts(spark, d)).select("id", "keywords")
+    return matching.similar(h, h.where("id % 20 = 0"))
+
+
 @query(f"""WITH {PAGE_STORIES_SQL}, src AS (SELECT * FROM story), u AS ({_url_parts()}), n AS (SELECT page_id, {_NORMAL} AS cu, {_normal('title')} AS tn FROM u), s AS (SELECT *, {_keywords('tn')} AS kw, sha1(cu || '|' || tn) AS fp FROM n),
 x AS (SELECT a, b, len(list_intersect(a.kw, b.kw)) AS ov, greatest(len(list_distinct(list_concat(a.kw, b.kw))), 1) AS un FROM s a, (SELECT * FROM s ORDER BY page_id LIMIT 1) b)
 SELECT a.page_id AS page_id, a.cu = b.cu AS by_url, a.fp = b.fp AS by_fingerprint, {_MATCH} AS by_keywords FROM x WHERE a.cu = b.cu OR a.fp = b.fp OR {_MATCH}""")

@@ -67,6 +67,15 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADLINES_SQL = "head AS (SELECT doc_id AS id, source AS source_id, substr(coalesce(text, ''), 1, 80) AS title FROM documents)"
 
 
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document as a headline of its source."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.coalesce("text", F.lit("")).alias("title"))
+
+
+WHOLE_TEXTS_SQL = "head AS (SELECT doc_id AS id, source AS source_id, coalesce(text, '') AS title FROM documents)"
+
+
 def page_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their URL and the title element, read by a pattern."""
     p = table(spark, sf_dir, "pages")
