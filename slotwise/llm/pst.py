@@ -2,10 +2,10 @@
 
 Tokens are words and one end for each text. Two trees share the work. One spells a word by its bytes and a closing space, the
 other predicts a word's class (2**CLASS_BITS classes by the word or, for long ones, its ending; the end is a class of its own)
-from the class before it. Contexts of the first have up to DEPTH bytes and are kept if they are common enough (a share of MIN_SHARE
-of all symbols, so there are at most DEPTH / MIN_SHARE whatever the corpus' size). In both trees a context is kept only if its
-next-symbol distribution diverges from that of the next shorter one; distributions are smoothed by those of the shorter context,
-and scoring follows the longest suffix that is a state. Together, with counts over all training words:
+from the class before it. Contexts of the first have up to DEPTH bytes. In both trees a context is kept if, and only if, its count
+times the divergence of its next-symbol distribution from that of the next shorter one reaches DIVERGENCE, however rare it is and
+however many there are; distributions are smoothed by those of the shorter context, and scoring follows the longest suffix that is
+a state. Together, with counts over all training words:
 
     P(word | before) = (1 - share) * P(class | before) * count(word) / count(class) + share * spelled(word)
     P(end | before) = (1 - share) * P(end's class | before)
@@ -27,10 +27,8 @@ from . import _work
 from ._tokens import SPACED, Words, mix, slices, texts_of, tidy
 
 DEPTH = 4
-MIN_SHARE = 2e-5
 #: A context is kept if its count times its divergence from the shorter one (in nats) reaches this.
 DIVERGENCE = 20.0
-MAX_STATES = 20_000
 #: Weight of the shorter context's distribution, in counts.
 SMOOTH = 4.0
 CLASS_BITS = 11
@@ -80,22 +78,32 @@ def grams(raw: np.ndarray, offset: np.ndarray, depth: int = DEPTH) -> tuple[np.n
 class Tree:
     """States with their next states and log10 probabilities by symbol. Symbol 0 stands for bytes that training never showed."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, divergence: float = DIVERGENCE, max_states: int = MAX_STATES):
-        codes = codes.astype(np.uint64)
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int = DEPTH, divergence: float = DIVERGENCE):
+        order = np.argsort(codes.astype(np.uint64))
+        codes, counts = codes.astype(np.uint64)[order], np.asarray(counts, float)[order]
         length, context, byte = (codes >> np.uint64(56)).astype(int), (codes & np.uint64(0xFFFFFFFFFFFFFF)) >> np.uint64(8), (codes & np.uint64(255)).astype(int)
         used = np.unique(byte[length == 0])
         self.symbol = np.zeros(256, np.int64)
         self.symbol[used] = np.arange(1, len(used) + 1)
         width = len(used) + 1
         other = max(1, 256 - len(used))
+        heads = np.flatnonzero(np.diff(codes >> np.uint64(8), prepend=np.uint64(1 << 56))) if len(codes) else np.zeros(0, int)
+        ends = np.append(heads, len(codes))[1:]
+        gain = self._gains(codes, counts, length, heads, ends)
+        # A state's prefixes and suffixes are states too: each is reached from its prefix, and falls back to its suffix.
+        states = {(0, 0), (1, SPACE)}
+        for i in heads[gain >= divergence].tolist():
+            n = int(length[i])
+            whole = int(context[i]).to_bytes(n, "big")
+            states.update((j - i, int.from_bytes(whole[i:j], "big")) for i in range(n) for j in range(i + 1, n + 1))
+        listed = sorted(states)
         found: dict[tuple[int, int], np.ndarray] = {}
-        order = np.lexsort((context, length))
-        length, context, byte, counts = length[order], context[order], byte[order], np.asarray(counts, float)[order]
-        heads = np.flatnonzero(np.diff(length, prepend=-1).astype(bool) | np.concatenate(([True], context[1:] != context[:-1]))) if len(codes) else []
-        for a, b in zip(heads, [*heads[1:], len(codes)], strict=False):
-            own = np.zeros(width)
-            own[self.symbol[byte[a:b]]] = counts[a:b]
-            found[int(length[a]), int(context[a])] = own
+        for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
+            key = int(length[a]), int(context[a])
+            if key in states:
+                own = np.zeros(width)
+                own[self.symbol[byte[a:b]]] = counts[a:b]
+                found[key] = own
         uniform = np.full(width, 1 / 256)
         uniform[0] = other / 256
         smooth: dict[tuple[int, int], np.ndarray] = {}
@@ -109,18 +117,6 @@ class Tree:
                 got = smooth[key] = below if own is None else (own + SMOOTH * below) / (own.sum() + SMOOTH)
             return got
 
-        gain = {}
-        for (n, c), own in found.items():
-            if n:
-                below, p = distribution((n - 1, c & ((1 << 8 * (n - 1)) - 1))), own / own.sum()
-                gain[n, c] = own.sum() * float((p[p > 0] * np.log(p[p > 0] / below[p > 0])).sum())
-        kept = sorted((k for k, g in gain.items() if g >= divergence), key=lambda k: (-gain[k], k))[:max_states]
-        # A state's prefixes and suffixes are states too: each is reached from its prefix, and falls back to its suffix.
-        states = {(0, 0), (1, SPACE)}
-        for n, c in kept:
-            whole = c.to_bytes(n, "big")
-            states.update((j - i, int.from_bytes(whole[i:j], "big")) for i in range(n) for j in range(i + 1, n + 1))
-        listed = sorted(states)
         number = {k: i for i, k in enumerate(listed)}
         self.next = np.zeros((len(listed), width), np.int32)
         self.log = np.empty((len(listed), width))
@@ -141,6 +137,20 @@ class Tree:
                         self.next[i, s] = to
         self.start = number[1, SPACE]
 
+    @staticmethod
+    def _gains(codes: np.ndarray, counts: np.ndarray, length: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each context's count times its divergence from the next shorter one; 0 for the empty one. From sorted codes, without a table of contexts by bytes."""
+        each = np.repeat(np.arange(len(heads)), ends - heads)
+        total = np.bincount(each, counts, len(heads))[each]
+        below, p = np.full(len(codes), 1 / 256), np.zeros(len(codes))
+        for n in range(int(length.max()) + 1 if len(codes) else 0):
+            own = np.flatnonzero(length == n)
+            if n:
+                shorter = codes[own] & np.uint64((1 << 8 * n) - 1) | np.uint64(n - 1) << np.uint64(56)
+                below[own] = p[np.searchsorted(codes, shorter)]  # what follows a context follows its suffix
+            p[own] = (counts[own] + SMOOTH * below[own]) / (total[own] + SMOOTH)
+        return np.where(length[heads] > 0, np.bincount(each, counts * np.log(counts / total / below), len(heads)), 0.0)
+
     def log10(self, words: Words, rows: np.ndarray) -> np.ndarray:
         """log10 probability of the spelling of the given words."""
         raw = np.frombuffer(words.data, np.uint8)
@@ -247,18 +257,15 @@ def _sum_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"before": table.column("n")[:1], "blob": pa.array([total.tobytes()], pa.binary())})
 
 
-def fit(rows: DataFrame, work: str, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE, max_states: int = MAX_STATES) -> tuple[Tree, Classes, int, int, float]:
+def fit(rows: DataFrame, work: str, depth: int = DEPTH, divergence: float = DIVERGENCE) -> tuple[Tree, Classes, int, int, float]:
     """From training texts (one column): both trees, N, the number of texts, and the share of spelled words."""
     tallied = _work.settle(rows.mapInArrow(tidy(_tally(depth)), "code long, n long, blob binary"), f"{work}/tally")
     counted = _work.settle(tallied.where("blob is null").groupBy("code").agg(F.sum("n").alias("n")), f"{work}/grams")
     top, low = F.shiftrightunsigned("code", 56), F.col("code").bitwiseAND((1 << 56) - 1)
     extra = counted.where(top == 255).agg(F.sum(F.when(low == 0, F.col("n"))), F.sum(F.when(low == 1, F.col("n"))), F.count("*")).first()
     tokens, ends, sampled = int(extra[0] or 0), int(extra[1] or 0), max(0, int(extra[2]) - 2) * SAMPLED
-    own = counted.where(top < 254).withColumn("context", F.shiftright("code", 8))
-    symbols = int(own.where(top == 0).agg(F.sum("n")).first()[0] or 0)
-    common = own.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(1.0, min_share * symbols)).select("context")
-    kept = own.join(common, "context").select("code", "n").toPandas()  # at most 256 rows for each of (depth + 1) / min_share contexts
-    tree = Tree(kept["code"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64), depth, divergence, max_states)
+    own = counted.where(top < 254).select("code", "n").toArrow()  # a row for each context of up to `depth` bytes within words and the byte behind it
+    tree = Tree(own["code"].to_numpy().view(np.uint64), own["n"].to_numpy(), depth, divergence)
     pairs = np.zeros((END + 1, END + 1), np.int64)
     for r in tallied.where("blob is not null").groupBy("code").applyInArrow(_sum_pairs, "before long, blob binary").toLocalIterator():  # one row for each class
         pairs[r.before] = np.frombuffer(r.blob, np.int64)

@@ -284,6 +284,27 @@ def test_tree_distributions_sum_to_one():
     assert len(tree.log) > 10
 
 
+def test_tree_keeps_all_divergent_contexts():
+    """More than 20,000 of them, each with ten occurrences."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123", np.uint8)
+    a, b, c = (x.ravel() for x in np.meshgrid(*[np.arange(30)] * 3, indexing="ij"))
+    words = letters[np.stack([a, b, c, (7 * a + 11 * b + 13 * c + a * b * c) % 30], 1)]
+    w = Words([b" ".join(x.tobytes() for x in words)], SPACED)
+    tree = pst.Tree(*pst.grams(*pst.spelled(w, np.repeat(np.arange(len(w)), 10))))
+    assert len(tree.log) > 27_000
+    step = tree.start
+    for x in b"abc":
+        step = tree.next[step, tree.symbol[x]]
+    assert 10 ** tree.log[step, tree.symbol[letters[(11 + 26 + 0) % 30]]] > 0.3
+
+
+def test_rare_contexts_are_kept(spark, tmp_path):
+    """A context of 7 occurrences, less than 2e-5 of all symbols, that says what comes next."""
+    rows = spark.createDataFrame([(LONG + " " + " ".join(f"qj{i}" for i in range(7)),)], "body string")
+    tree = pst.fit(rows, f"file://{tmp_path}")[0]
+    assert 10 ** tree.log[tree.next[tree.start, tree.symbol[ord("q")]], tree.symbol[ord("j")]] > 0.5
+
+
 # ---- decontamination
 
 
