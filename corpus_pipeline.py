@@ -7,6 +7,8 @@ and epoch that is taken.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of rows that repeat its doc_id too, one. Groups of null ids only stay."""
+    """Of equal texts the row with the largest doc_id stays; of rows that repeat its doc_id too, one. Groups of null ids only stay. A row is told by its doc_id, null too, and its text."""
     _work.small_batches(spark)
     work = _work.shared_dir(spark)
-    result = _work.settle(exact_index.exact_dedup(docs).where("group_size > 1 and doc_id is not null"), f"{work}/exact")
-    kept = result.where("kept").groupBy("doc_id").count()
-    singles = _sieve.without(docs, "doc_id", result.select("doc_id"))
-    some = kept.select("doc_id", (F.col("count") > 1).alias("__many"))
-    found = _sieve.flag(docs, F.col("doc_id").cast("long"), some.select("doc_id"), "__maybe").where("__maybe").drop("__maybe").join(some, "doc_id")
-    found = _work.settle(found, f"{work}/found")
-    once, many = found.where("not __many").drop("__many"), found.where("__many").drop("__many").dropDuplicates(["doc_id", "text"])
-    return singles.unionByName(once.select(*docs.columns)).unionByName(many.select(*docs.columns))
+    result = _work.settle(exact_index.exact_dedup(docs).where("group_size > 1 and keep_id is not null"), f"{work}/exact")
+    verdict = result.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    key = lambda i, sha: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), sha)
+    own = F.col("doc_id").cast("long")
+    rows = docs.withColumn("__sha", F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), 256))
+    flagged = _sieve.flag(rows, key(own, F.col("__sha")), verdict.select(key(F.col("__id"), F.col("__text")).alias("__key")), "__maybe")
+    met = flagged.where("__maybe").join(verdict, own.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__text")), "left").where("coalesce(__kept, true)")
+    met = _work.settle(met.drop("__maybe", "__id", "__text", "__kept"), f"{work}/met")
+    once, many = met.where("coalesce(__n, 1) = 1"), met.where("__n > 1").dropDuplicates(["doc_id", "__sha"])
+    return flagged.where("not __maybe").select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(many.select(*docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,5 +89,12 @@ def test_stages_take_odd_rows(spark):
     assert p.near(spark, df.limit(0), MEDIUM).collect() == []
 
 
+def test_exact_stage_tells_rows_by_id_and_text(spark):
+    """Null ids that copy a row with one, ids with two texts, and null ids only."""
+    data = [(None, "One text"), (5, "one TEXT"), (7, "only here"), (7, "Shared"), (9, "shared"), (9, "last"), (9, "last"), (None, "shared"), (None, "nulls"), (None, "nulls")]
+    got = [(r.doc_id, r.text) for r in p.exact(spark, table(spark, [(i, t, "en", "src0", 1) for i, t in data]), MEDIUM).collect()]
+    assert sorted(got, key=str) == sorted([(5, "one TEXT"), (7, "only here"), (9, "shared"), (9, "last"), (None, "nulls"), (None, "nulls")], key=str)
+
+
 def test_stages_are_registered():
     assert [n for n, _ in p.STAGES] == ["quality", "exact", "near", "benchmark", "mixture"]
