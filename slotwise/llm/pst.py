@@ -357,8 +357,8 @@ def _scorer(shipped):
             rate = (c[inverse] / np.maximum(classes.count[own], 1.0)) if tokens else np.zeros(len(own))
             with np.errstate(divide="ignore"):
                 token = np.log10(p)
-                known = np.log10(p[place] * rate + spell[inverse])
-            token[place] = np.where(c[inverse] > 0, known, np.log10(share if tokens else 0.5) + log[inverse])
+                seen = np.log10(p[place] * rate + spell[inverse])
+            token[place] = np.where(c[inverse] > 0, seen, np.log10(share if tokens else 0.5) + log[inverse])
             edge = w.first + np.arange(len(w.first))  # first tokens of texts
             total = np.concatenate(([0.0], np.cumsum(token)))
             sums = [np.concatenate(([0.0], np.cumsum(x[inverse]))) for x in (np.log10(c + 0.1), (c > 0).astype(float))]

@@ -264,6 +264,18 @@ def test_lm_cases(spark, block):
     assert {r.train_tokens for r in none} == {0} and all(math.isfinite(r.score) and r.n_known == 0 for r in none)
 
 
+def test_lm_blocks_of_many_slices(spark):
+    """A block of texts beyond 6 MB, which a task takes in several slices."""
+    long = " ".join(f"v{i % 30_000}x{i % 7}" for i in range(150_000))
+    data = [(i, f"{long} u{i}", "en", "s", 1) for i in range(1, 6)] + [(i, f"short text {i}", "en", "s", 1) for i in range(6, 40)]
+    got = pst.score(table(spark, data), queries.fold("doc_id", 10) != 0, block_bytes=1 << 30).collect()
+    want = brute_base(data)
+    assert len(got) == len(data)
+    for r in got:
+        assert math.isfinite(r.score) and r.score <= 0 and (not r.train or r.n_known == r.n_tokens)
+        assert math.isclose(r.base_score, want[r.doc_id, r.n_tokens, r.n_known, r.train_tokens], rel_tol=1e-9)
+
+
 def test_class_distributions_sum_to_one():
     w = Words([b"a b c a b", b"", b"b a b a b a b a"], SPACED)
     to, before, place = pst.sequence(w)
