@@ -13,13 +13,14 @@ def _state(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def components(links: DataFrame, work: str, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, work: str) -> DataFrame:
     """(node, comp) for every node of `links` (a, b: longs): comp is the smallest node that can be reached. Nodes without links are left out."""
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = _work.settle(edges, f"{work}/0")
-    before = _state(edges)
-    for i in range(1, most_rounds + 1):
+    before, i = _state(edges), 0
+    while before[0]:
+        i += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -31,6 +32,4 @@ def components(links: DataFrame, work: str, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -11,11 +11,11 @@ is lost (empty bands serve too where fewer than D + 1 are filled). Sets of more
 registers, of which two at least must be filled; there a pair at the threshold shares none with a probability of about
 (1 - 0.8 ** 4) ** 32, 5e-8, or less.
 
-A band's members are first compared with its smallest member only, and what is linked makes components. Members outside the
-smallest one's component are then compared with other members of it, one for each band they share, in a few rounds; at last all
-members of one band that are still in different components are compared by their registers, in blocks, and only pairs that may
-be links become rows; so no candidate link between components goes untested. A pair's Jaccard similarity is first estimated from its registers, corrected for registers that agree
-by chance, and what may reach the threshold is confirmed on the full sets of both texts.
+No pair ever becomes a row. Members of a band are compared in memory by their sketches: a pair's Jaccard similarity is estimated,
+corrected for registers that agree by chance, and what may reach the threshold is joined; only a spanning forest of these joins
+leaves the task, fewer rows than the band has members. Its components are clusters. Each class then takes its full set to its
+cluster once, and there pairs that may be links are verified by counting common shingles, again joined as a forest. Groups
+beyond a block's size are compared in two rounds, see `_forest`.
 """
 
 from __future__ import annotations
@@ -33,11 +33,9 @@ from ._tokens import SPACED, Words, mix, slices, texts_of, tidy
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
-#: Rounds of comparisons with other members before all that are left in different components are compared.
-ROUNDS = 2
-#: Members of a band that are compared in one block of memory.
-BLOCK = 2048
-SHINGLE, THRESHOLD_PCT = 4, 80
+#: Members of a band, and bytes of the sets of a cluster, that are compared in one block of memory.
+BLOCK_MEMBERS, BLOCK_BYTES = 4096, 8 << 20
+SHINGLE, THRESHOLD_PCT = 5, 80
 #: Standard deviations below the threshold at which an estimate still goes to verification.
 SLACK = 6.0
 
@@ -133,163 +131,212 @@ def band_keys(sketch: np.ndarray, n: int, threshold_pct: int = THRESHOLD_PCT) ->
 def _bander(threshold_pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, sizes, keys = [], [], []
+            reps, keys = [], []
             for rep, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = band_keys(np.frombuffer(sketch, np.uint16), n, threshold_pct)
                 keys += own
                 reps += [rep] * len(own)
-                sizes += [n] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64())], ["band", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64())], ["grp", "node"])
 
     return run
 
 
-def _likely(threshold_pct: int):
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows come sorted by their first `keys` columns (longs); yields one table for each value of these, groups of one row left out."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == 0 and held and last != key[0].tolist():
+                if sum(h.num_rows for h in held) > 1:
+                    yield pa.Table.from_batches(held)
+                held = []
+            if b < batch.num_rows:
+                if held or b - a > 1:
+                    yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+                held = []
+            else:
+                held.append(batch.slice(a, b - a))
+        last = key[-1].tolist()
+    if sum(h.num_rows for h in held) > 1:
+        yield pa.Table.from_batches(held)
+
+
+class _Sketches:
+    """Which of some members may be linked with one of them, by their sketches."""
+
+    def __init__(self, table: pa.Table, threshold_pct: int):
+        self.pct, self.t = threshold_pct, threshold_pct / 100
+        self.n = table.column("n").to_numpy()
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+    def near(self, one: int, left: np.ndarray) -> np.ndarray:
+        n = self.n[left]
+        out = 100 * np.minimum(n, self.n[one]) >= self.pct * np.maximum(n, self.n[one])
+        at = np.flatnonzero(out)
+        if len(at):
+            j, k = estimate(self.sketch[left[at]], self.sketch[one][None, :], n[at].astype(float), np.full(len(at), float(self.n[one])))
+            out[at] = j >= self.t - SLACK * np.sqrt(self.t * (1 - self.t) / k)
+        return out
+
+
+class _Sets(_Sketches):
+    """The same, verified on the full sets."""
+
+    def __init__(self, table: pa.Table, threshold_pct: int):
+        super().__init__(table, threshold_pct)
+        every, code = np.unique(np.frombuffer(b"".join(table.column("set").to_pylist()), np.uint64), return_inverse=True)
+        self.codes = np.split(code.astype(np.int32), np.cumsum(self.n)[:-1])
+        self.marks = np.zeros(len(every), np.uint8)
+
+    def near(self, one: int, left: np.ndarray) -> np.ndarray:
+        out = super().near(one, left)
+        at = np.flatnonzero(out)
+        if len(at):
+            self.marks[self.codes[one]] = 1
+            own = left[at]
+            edge = np.cumsum(self.n[own]) - self.n[own]
+            common = np.add.reduceat(self.marks[np.concatenate([self.codes[i] for i in own.tolist()])].astype(np.int64), edge)
+            self.marks[self.codes[one]] = 0
+            out[at] = 100 * common >= self.pct * (self.n[own] + self.n[one] - common)
+        return out
+
+
+def _joins(node: np.ndarray, comp: np.ndarray, near) -> Iterator[tuple[int, int]]:
+    """A spanning forest, as pairs of nodes, of what `near` joins; members of one comp count as joined already."""
+    left = np.lexsort((node, comp))
+    while len(left):
+        queue = [int(left[0])]
+        left = left[1:]
+        while queue and len(left):
+            one = queue.pop()
+            known = comp[left] == comp[one]
+            hit = np.zeros(len(left), bool)
+            other = np.flatnonzero(~known)
+            if len(other):
+                hit[other] = near(one, left[other])
+                for i in left[hit].tolist():
+                    yield int(node[i]), int(node[one])
+            new = known | hit
+            queue += left[new].tolist()
+            left = left[~new]
+
+
+def _joiner(kind: type, threshold_pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = threshold_pct / 100
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sa", "sb"))
-            nx, ny = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            j, k = estimate(x, y, nx, ny)
-            keep = (j >= t - SLACK * np.sqrt(t * (1 - t) / k)) & (100 * np.minimum(nx, ny) >= threshold_pct * np.maximum(nx, ny))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+        found: list[tuple[int, int]] = []
+        for table in _groups(batches, 3):
+            node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+            if (node != node[0]).any() and (comp != comp[0]).any():
+                found += _joins(node, comp, kind(table, threshold_pct).near)
+            if len(found) >= 10_000:
+                yield _pair_rows(found)
+                found = []
+        yield _pair_rows(found)
 
     return run
 
 
-def _in_blocks(threshold_pct: int):
-    """Rows (band, lo, hi, chunk, rep, n, comp, main, sketch) come block by block. Pairs of a block that are in different components
-    and whose estimate may reach the threshold leave; no others are ever made into rows."""
-    t = threshold_pct / 100
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        lo, hi = rows[0][1], rows[0][2]
-        chunk, rep, n, comp, main = (np.array([r[i] for r in rows]) for i in range(3, 8))
-        out = np.flatnonzero(comp != main)
-        if not len(out):
-            return
-        sketch = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, BUCKETS)
-        size = n.astype(float)
-        for i in out.tolist():
-            other = (comp != comp[i]) & ((comp == main) | (rep < rep[i])) & (100 * np.minimum(n, n[i]) >= threshold_pct * np.maximum(n, n[i]))
-            other &= (chunk == lo) if lo == hi else (chunk != chunk[i])
-            at = np.flatnonzero(other)
-            if len(at):
-                j, k = estimate(sketch[at], sketch[i][None, :], size[at], np.full(len(at), size[i]))
-                for x in rep[at[j >= t - SLACK * np.sqrt(t * (1 - t) / k)]].tolist():
-                    yield max(x, int(rep[i])), min(x, int(rep[i]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block and row[:3] != block[0][:3]:
-                    found += compare(block)
-                    block = []
-                block.append(row)
-            yield _pair_rows(found)
-        if block:
-            yield _pair_rows(list(compare(block)))
-
-    return run
+def _pair_rows(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _pair_rows(found: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+def _forest(rows: DataFrame, sizes: DataFrame, kind: type, payload: list[str], work: str, threshold_pct: int) -> DataFrame:
+    """Pairs (a, b) of nodes that join, within each group, the members that `kind` holds to be near.
 
+    rows: grp, node, payload; sizes: grp, lead (the smallest node), chunks. A group of one chunk is compared whole. Members of
+    a larger one are dealt to chunks; at first each chunk is compared by itself and with the group's smallest member. What is
+    in the component of that one after this is done with each other; members outside it then meet all others, chunk by chunk. So
+    a large group of near copies costs rows in proportion, and only members that it doesn't hold together are sent to all its chunks.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    columns = ["grp", "i", "j", "node", "comp", *payload]
+
+    def joined(blocks: DataFrame, name: str) -> DataFrame:
+        dealt = blocks.select(*columns).repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return _work.settle(dealt.mapInArrow(tidy(_joiner(kind, threshold_pct)), "a long, b long").distinct(), f"{work}/{name}")
+
+    zero = F.lit(0).cast("long")
+    placed = rows.join(sizes, "grp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    # A leader goes to the chunks that are not its own.
+    to = F.when((F.col("node") == F.col("lead")) & (F.col("chunks") > 1), F.sequence(zero, F.col("chunks") - 1)).otherwise(F.array("i"))
+    first = joined(placed.withColumn("i", F.explode(to)).withColumn("j", zero).withColumn("comp", F.col("node")), "first")
+    large = sizes.where("chunks > 1")
+    if large.isEmpty():
+        return first
+    placed = placed.where("chunks > 1")
+    comps = _graph.components(first, f"{work}/between").withColumnRenamed("node", "x").withColumnRenamed("comp", "y")
+    named = placed.join(comps, F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("y", "node")).drop("x", "y")
+    mains = large.select("grp", "lead").join(comps, F.col("lead") == F.col("x"), "left").select("grp", F.coalesce("y", "lead").alias("main"))
+    named = _work.settle(named.join(mains, "grp"), f"{work}/named")
+    outside = named.where("comp <> main")
+    # As many chunks of outsiders as their share of the group's members asks for.
+    share = named.groupBy("grp").agg(F.expr("ceil(max(chunks) * count_if(comp <> main) / count(*))").alias("out")).where("out > 0")
+    members = named.join(share, "grp").withColumn("j", F.explode(F.sequence(zero, F.col("out") - 1)))
+    probes = outside.join(share, "grp").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("out"))).withColumn("i", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+    return first.unionByName(joined(members.select(*columns).unionByName(probes.select(*columns)), "second"))
+
+
+def _setter(size: int):
+    """(grp, node, text) to the text's set and sketch."""
 
-def _confirmer(size: int, threshold_pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            ids_a, ids_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = texts_of(batch.column("ta")), texts_of(batch.column("tb"))
-            keep = []
-            for i, j in slices([len(t) for t in ta]):
-                for at, x in enumerate(shingles(Words(ta[i:j], SPACED), size), i):
-                    if last[0] != ids_b[at]:
-                        last = (ids_b[at], next(shingles(Words([tb[at]], SPACED), size)))
-                    y = last[1]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= threshold_pct * (len(x) + len(y) - common):
-                        keep.append((ids_a[at], ids_b[at]))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["a", "b"])
+            texts = texts_of(batch.column(2))
+            for a, b in slices([len(t) for t in texts]):
+                sets = list(shingles(Words(texts[a:b], SPACED), size))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array([len(u) for u in sets], pa.int64()), pa.array([registers(u).tobytes() for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())],
+                    ["grp", "node", "n", "sketch", "set"],
+                )
 
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold_pct: int = THRESHOLD_PCT, block_members: int = BLOCK_MEMBERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id (the smallest id that links reach, itself included), kept.
 
     Null texts and texts without words have no shingles and no links. Null ids take no part in links: component_id is null and
-    kept true. Rows that repeat an id count as one document: they have one component. Other columns of docs are ignored whatever their names; an
-    empty table gives an empty result.
+    kept true. Rows that repeat an id count as one document, whatever their texts: they have one component, and the links of all their
+    texts. Texts of any length are compared whole. Other columns of docs are ignored whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = _work.shared_dir(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     sketched = _work.settle(rows.mapInArrow(tidy(lambda it: _sketcher(it, size)), "id long, n long, key binary, sketch binary"), f"{work}/sketched")
+    # A class's node is its smallest id. Two classes of one id are one node, and each adds its own bands and sets to it.
     reps = sketched.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = _work.settle(reps, f"{work}/reps")
-    bands = _work.settle(reps.select("rep", "n", "sketch").mapInArrow(tidy(_bander(threshold_pct)), "band long, rep long, n long"), f"{work}/bands")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) of representatives that are links."""
-        a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        likely = pairs.join(a, "a").join(b, "b").mapInArrow(tidy(_likely(threshold_pct)), "a long, b long")
-        likely = _work.settle(likely, f"{work}/{name}_likely")
-        ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        # An id stands for one text: a repeated id with other texts is told by the class it represents.
-        near = _sieve.flag(rows, F.col("id"), ids).where("maybe").drop("maybe").join(ids, "id", "left_semi")
-        near = _work.settle(near.groupBy("id").agg(F.min("body").alias("body")), f"{work}/{name}_texts")
-        ta, tb = near.select(F.col("id").alias("a"), F.col("body").alias("ta")), near.select(F.col("id").alias("b"), F.col("body").alias("tb"))
-        found = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_confirmer(size, threshold_pct)), "a long, b long")
-        return _work.settle(found, f"{work}/{name}")
-
-    near_size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * threshold_pct
-    leaders = bands.groupBy("band").agg(F.min_by(F.struct("rep", "n"), "rep").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
-    shared = bands.join(leaders, "band")
-    tested = shared.where((F.col("rep") != F.col("lead.rep")) & near_size("n", "lead.n")).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
-    tested = _work.settle(tested, f"{work}/pairs0")
-    links = confirmed(tested, "links0")
-    comps = _graph.components(links, f"{work}/comps0")
-    grouped = _work.settle(shared.select("band", "rep", "n"), f"{work}/grouped")
-    last = False
-    for i in range(1, ROUNDS + 2):
-        last = last or i > ROUNDS
-        rows_ = grouped.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = rows_.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rep").alias("main")).where("lo <> hi").select("band", "main")
-        grouped = _work.settle(rows_.join(mixed, "band"), f"{work}/mixed{i}")  # bands of one component are done
-        if grouped.isEmpty():
-            break
-        inside, outside = F.col("comp") == F.col("main"), F.col("comp") != F.col("main")
-        if not last:
-            probe = grouped.where(inside).groupBy("band").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("band", "rep", F.lit(i))).alias("lead"))
-            pairs = grouped.where(outside).join(probe, "band").where(near_size("n", "lead.n")).select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b"))
-        else:
-            chunks = grouped.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-            rows_ = grouped.join(chunks, "band").join(reps.select("rep", "sketch"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-            rows_ = rows_.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-            rows_ = rows_.select("band", F.least("chunk", "j").alias("lo"), F.greatest("chunk", "j").alias("hi"), "chunk", "rep", "n", "comp", "main", "sketch")
-            blocks = rows_.repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-            pairs = blocks.mapInArrow(tidy(_in_blocks(threshold_pct)), "a long, b long")
-        pairs = _work.settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"{work}/pairs{i}")
-        grouped = grouped.select("band", "rep", "n")
-        found = None if pairs.isEmpty() else confirmed(pairs, f"links{i}")
-        tested = tested.unionByName(pairs)
-        if found is not None and not found.isEmpty():
-            links = links.unionByName(found)
-            comps = _graph.components(links, f"{work}/comps{i}")
-        elif not last:
-            last = True  # probing has nothing more to tell
-            continue
-        if last:
-            break
+    bands = _work.settle(reps.select("rep", "n", "sketch").mapInArrow(tidy(_bander(threshold_pct)), "grp long, node long"), f"{work}/bands")
+
+    sizes = bands.groupBy("grp").agg(F.min("node").alias("lead"), F.count("*").alias("m"), F.max("node").alias("last")).where("lead <> last")
+    sizes = _work.settle(sizes.select("grp", "lead", F.ceil(F.col("m") / block_members).alias("chunks")), f"{work}/sizes")
+    shared = bands.join(sizes.select("grp"), "grp", "left_semi").join(reps.select(F.col("rep").alias("node"), "n", "sketch"), "node")
+    likely = _forest(shared.select("grp", "node", "n", "sketch"), sizes, _Sketches, ["n", "sketch"], f"{work}/likely", threshold_pct)
+    _work.drop(spark, f"{work}/bands")
+    clusters = _graph.components(likely, f"{work}/clusters")
+
+    # Each member's set goes to its cluster once.
+    own = _sieve.flag(rows, F.col("id"), clusters.select("node")).where("maybe").drop("maybe")
+    own = own.join(clusters.select(F.col("node").alias("id"), F.col("comp").alias("grp")), "id")
+    own = own.select("grp", F.col("id").alias("node"), "body").mapInArrow(tidy(_setter(size)), "grp long, node long, n long, sketch binary, set binary")
+    own = _work.settle(own.where("n > 0"), f"{work}/sets")
+    sizes = own.groupBy("grp").agg(F.min("node").alias("lead"), F.ceil(F.sum("n") * 8 / block_bytes).alias("chunks"))
+    sizes = _work.settle(sizes, f"{work}/cluster_sizes")
+    links = _forest(own, sizes, _Sets, ["n", "sketch", "set"], f"{work}/links", threshold_pct)
+
+    # An id that stands in several classes links them.
+    again = sketched.where("id is not null and n > 0").groupBy("id").agg(F.count("*").alias("m")).where("m > 1").select("id")
+    by_id = sketched.where("n > 0").join(again, "id").join(reps.select("key", "rep"), "key").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    held = by_id.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select("a")
+    same = reps.select(F.col("rep").alias("a")).distinct().join(by_id.distinct(), "a").unionByName(by_id.distinct().join(held, "a", "left_semi"))
+    comps = _graph.components(links.unionByName(same), f"{work}/comps")
+    _work.drop(spark, f"{work}/sets")
 
     classes = reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     out = sketched.select("id", "n", "key").join(classes, "key", "left")

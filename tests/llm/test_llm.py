@@ -128,7 +128,7 @@ def brute_near(data, size=4):
 
 
 def test_near_dedup_cases(spark):
-    assert rows(hyperminhash.near_dedup(table(spark))) == brute_near(CASES)
+    assert rows(hyperminhash.near_dedup(table(spark), size=4)) == brute_near(CASES)
     assert hyperminhash.near_dedup(table(spark, [])).collect() == []
 
 
@@ -141,7 +141,7 @@ def test_near_dedup_chain(spark):
     """Texts that change little by little: the ends are far apart, and every link counts."""
     base = [f"a{i}" for i in range(200)]
     data = [(i, " ".join(f"b{k}" if k < 4 * i else w for k, w in enumerate(base)), "en", "s", 1) for i in range(25)]
-    assert rows(hyperminhash.near_dedup(table(spark, data))) == brute_near(data)
+    assert rows(hyperminhash.near_dedup(table(spark, data), size=4)) == brute_near(data)
 
 
 def test_near_dedup_many_near_copies(spark):
@@ -157,7 +157,34 @@ def test_near_dedup_many_near_copies(spark):
     line = " ".join(f"l{i}" for i in range(12))
     for i in range(150, 300):
         data.append((i, line + " " + " ".join(f"o{i}x{k}" for k in range(int(rng.integers(3, 60)))), "en", "s", 1))
-    assert rows(hyperminhash.near_dedup(table(spark, data))) == brute_near(data)
+    assert rows(hyperminhash.near_dedup(table(spark, data), size=4)) == brute_near(data)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_members": 7, "block_bytes": 20_000}])
+def test_near_dedup_large_groups(spark, options):
+    """Clusters beyond a block, of members that hold together only by others, and of such that are no links at all."""
+    rng = np.random.default_rng(8)
+    data = []
+    for g, (n, cut) in enumerate([(60, 8), (40, 3), (40, 5)]):
+        base = [f"g{g}x{i}" for i in range(120)]
+        for _ in range(n):
+            own = list(base)
+            for k in rng.choice(120, cut, False):
+                own[k] = f"z{len(data)}x{k}"
+            data.append((len(data), " ".join(own), "en", "s", 1))
+    data += [(200 + i, " ".join(f"b{k}" if k < 3 * i else f"a{k}" for k in range(150)), "en", "s", 1) for i in range(40)]
+    want = brute_near(data)
+    assert 20 < len({c for *_, c, _ in want}) < 180
+    assert rows(hyperminhash.near_dedup(table(spark, data), size=4, **options)) == want
+
+
+def test_near_dedup_repeated_ids(spark):
+    """Rows of one id are one document, with the links of all its texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    texts = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, b + " y"), (5, c), (5, a + " x"), (6, c + " x"), (7, c), (8, "p q r s"), (9, "p q r s"), (9, "u v w x y"), (10, "u v w x y"), (10, "u v w x y"), (None, a)]
+    data = [(i, t, "en", "s", 1) for i, t in texts]
+    for options in ({}, {"block_members": 2, "block_bytes": 100}):
+        assert rows(hyperminhash.near_dedup(table(spark, data), size=4, **options)) == brute_near(data)
 
 
 def test_no_pair_of_small_sets_is_lost():

@@ -35,7 +35,7 @@ def test_stages(spark, tmp_path):
     df = step(spark, p.exact, df, tmp_path / "1")
     assert ids(df) == sorted(r[0] for r in want) and df.columns == docs.columns
 
-    kept = {d for d, _, _, k in brute_near(want) if k}
+    kept = {d for d, _, _, k in brute_near(want, 5) if k}
     want = [r for r in want if r[0] in kept]
     df = step(spark, p.near, df, tmp_path / "2")
     assert ids(df) == sorted(kept) and df.columns == docs.columns
@@ -83,7 +83,7 @@ def test_stages_take_odd_rows(spark):
     got = [r.doc_id for r in p.exact(spark, df, MEDIUM).collect()]
     assert sorted(got, key=str) == sorted([2, 4, 5, 6, 7, 8, None, 9, 10, 11, 12, 13], key=str)
     near = [r.doc_id for r in p.near(spark, df, MEDIUM).collect()]
-    assert sorted(near, key=str) == sorted((d for d, _, _, k in brute_near(CASES) if k), key=str)
+    assert sorted(near, key=str) == sorted((d for d, _, _, k in brute_near(CASES, 5) if k), key=str)
     assert p.mixture(spark, df.drop("domain", "epoch"), MEDIUM).count() > 0
     assert p.exact(spark, table(spark, []), MEDIUM).collect() == []
     assert p.near(spark, df.limit(0), MEDIUM).collect() == []
