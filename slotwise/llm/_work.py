@@ -11,12 +11,14 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only a session without that setting, as in tests, gets a folder of its own."""
+    """A new folder under spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a folder of its own: on a cluster, executors would each write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = at.get() if at.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="slotwise-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/slotwise-{uuid.uuid4().hex}"

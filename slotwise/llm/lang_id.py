@@ -15,27 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tokens import tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-LONGEST_PIECE = 8
 #: Letters of a word that one forward pass takes; a longer run of letters is taken in pieces of this length.
 LONGEST_WORD = 32
 SAMPLE_ROWS = 600
 CACHE_WORDS = 300_000
 
 
-def vocabulary(path: str, longest: int = LONGEST_PIECE) -> list[str]:
-    """Pieces of a sentencepiece model that are a start mark and letters, lower-cased and sorted."""
+def vocabulary(path: str) -> list[str]:
+    """All pieces of a sentencepiece model that are a start mark and letters, lower-cased and sorted."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= longest and all(ch.isalpha() or (ch == START and i == 0) for i, ch in enumerate(p)) and p != START)
+    return sorted(p for p in pieces if p and all(ch.isalpha() or (ch == START and i == 0) for i, ch in enumerate(p)) and p != START)
 
 
 class Trie:
@@ -44,8 +43,8 @@ class Trie:
     def __init__(self, pieces: list[str]):
         letters = sorted({ch for p in pieces for ch in p} | {START})
         pieces = sorted({*pieces, *letters})
+        self.longest = max(map(len, pieces))
         self.pieces, letter = pieces, {ch: i + 1 for i, ch in enumerate(letters)}
-        width = len(letters) + 1
         edges: dict[tuple[int, int], int] = {}
         piece_of = [-1]
         for k, p in enumerate(pieces):
@@ -95,7 +94,7 @@ class Trie:
         for s in range(letters.shape[1]):
             rows = np.flatnonzero(size > s)
             node = self.root[letters[rows, s]]
-            for e in range(s + 1, min(letters.shape[1], s + LONGEST_PIECE) + 1):
+            for e in range(s + 1, min(letters.shape[1], s + self.longest) + 1):
                 if e > s + 1:
                     rows, node = rows[live], node[live]
                     live = size[rows] >= e
@@ -170,28 +169,31 @@ def words_of(text: str) -> list[str]:
     return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
 
 
-def fit(docs: DataFrame, usable: Column, vocab: str, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_langs: int = 200) -> Model:
-    """Learn from at most sample_rows texts of each of the max_langs commonest languages, among rows where `usable` (a Column over id_col) holds and the language is known."""
+def sample(rows: DataFrame, keys: list[str], label: str, sample_rows: int) -> DataFrame:
+    """At most sample_rows distinct rows of each label, by a hash of `keys`; rows that are equal in keys and label count once. One pass for all labels, and no label's rows ever meet in one task."""
+    order = [F.xxhash64(*keys), *[F.col(k) for k in keys]]
+    drawn = rows.select(*keys, label).distinct().withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    return drawn.where(F.col("place") <= sample_rows).drop("place")
+
+
+def fit(docs: DataFrame, usable: Column, vocab: str, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Learn every language there is, each from at most sample_rows texts among rows where `usable` (a Column over id_col) holds and id, language and text are known."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(lang_col).cast("string").alias("y"), F.col(text_col).cast("string").alias("body")).where(usable & F.col("y").isNotNull() & F.col("body").isNotNull())
-    langs = [r.y for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_langs).collect()]
-    ids = None
-    for y in langs:
-        part = rows.where(F.col("y") == y).select(id_col, "y").orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-        ids = part if ids is None else ids.unionByName(part)
+    rows = rows.select(F.col(id_col).alias("i"), "y", F.xxhash64("body").alias("h"), "body").where("i is not null")
+    drawn = rows.join(F.broadcast(sample(rows, ["i", "h"], "y", sample_rows)), ["i", "h", "y"])  # sample_rows ids a language
+    drawn = drawn.groupBy("i", "h", "y").agg(F.first("body").alias("body"))  # rows that repeat one count once
     counts: dict[str, Counter] = {}
-    if ids is not None:
-        sample = rows.join(F.broadcast(ids.distinct()), [id_col, "y"])  # sample_rows * max_langs ids at most
-
-        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[str, Counter] = {}
-            for b in batches:
-                for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found.setdefault(y, Counter()).update(words_of(t))
-            flat = [(y, w, n) for y, c in found.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["y", "word", "n"])
-
-        for y, w, n in sample.select("y", "body").mapInArrow(tally, "y string, word string, n long").groupBy("y", "word").agg(F.sum("n")).toLocalIterator():
-            counts.setdefault(y, Counter())[w] = n
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Counter] = {}
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found.setdefault(y, Counter()).update(words_of(t))
+        flat = [(y, w, n) for y, c in found.items() for w, n in c.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["y", "word", "n"])
+
+    for y, w, n in drawn.select("y", "body").mapInArrow(tally, "y string, word string, n long").groupBy("y", "word").agg(F.sum("n")).toLocalIterator():
+        counts.setdefault(y, Counter())[w] = n
     return learn(Trie(vocabulary(vocab)), counts)
 
 
@@ -235,7 +237,10 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4 << 20) -> DataFrame:
-    """id_col, lang_pred, score (the language's share of the probability of the text). Null texts and texts without letters are 'und' with score 0; ties go to the first language by name."""
+    """id_col, lang_pred, score (the language's share of the probability of the text). Null texts and texts without letters are 'und' with score 0; ties go to the first language by name.
+
+    Each row is judged by itself, so repeated ids and rows each get their answer. Other columns of docs are ignored whatever their names.
+    """
     b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

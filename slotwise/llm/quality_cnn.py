@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tokens import slices, texts_of, tidy
@@ -23,6 +23,8 @@ from ._tokens import slices, texts_of, tidy
 WIDTH, STRIDE, CHUNK, STEP, FILTERS = 8, 2, 128, 96, 16
 #: Labelled rows of each label that training takes, at most.
 SAMPLE_ROWS = 900
+#: Bytes of text that training takes, at most.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 #: Bytes whose positions are held at a time.
 BLOCK_BYTES = 1 << 18
@@ -175,22 +177,22 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 5
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Net:
-    """Train on at most sample_rows rows of each label among those where `usable` (a Column over id_col) holds. The sample goes by a hash of the id, so it is the same at every run."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Net:
+    """Train on at most sample_rows texts of each label, and sample_bytes in all, among those where `usable` (a Column over id_col) holds.
+
+    The sample goes by a hash of the id, so it is the same at every run. Rows equal in id, text and label count once; texts of one id
+    that differ count each. Null ids, null texts and labels other than 0 and 1 are not learned from.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).withColumnRenamed("id", id_col).where(usable)
-    # Ids with text only; both labels' samples are bounded, and so is their broadcast.
-    there = docs.select(F.col(id_col).cast("long").alias(id_col)).where(F.col(text_col).isNotNull() if text_col in docs.columns else F.lit(True))
-    known = known.join(there, id_col, "left_semi")
-    sample = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-        sample = part if sample is None else sample.unionByName(part)
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("body")).join(F.broadcast(sample), id_col)
-    rows = rows.select(id_col, "y", "body").collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
-    rows = rows[: 4 * sample_rows]
-    return train([(r[2] or "").encode() for r in rows], np.array([r[1] for r in rows]))
+    known = known.withColumnRenamed(id_col, "i").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("body")).where("body is not null")
+    there = rows.select("i", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size")).join(known, "i").distinct()
+    drawn = there.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", "h"))).where(F.col("place") <= sample_rows)
+    # The sample is bounded by now; of it, texts are taken in turn until their bytes are used up.
+    drawn = drawn.withColumn("upto", F.sum("size").over(Window.orderBy("place", "y"))).where(F.col("upto") <= sample_bytes).select("i", "h", "y")
+    picked = rows.withColumn("h", F.xxhash64("body")).join(F.broadcast(drawn), ["i", "h"]).groupBy("i", "h", "y").agg(F.first("body").alias("body"))
+    found = sorted(picked.collect(), key=lambda r: (r.i, r.y, r.body))
+    return train([r.body.encode() for r in found], np.array([r.y for r in found]))
 
 
 def _scorer(net, at: int, mode: str, threshold: float):
@@ -208,14 +210,14 @@ def _scorer(net, at: int, mode: str, threshold: float):
 
 
 def predict(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and score (0 to 1) of every row. Null counts as the empty text, which the network scores as a few zero bytes."""
+    """id_col and score (0 to 1) of every row. Null counts as the empty text, which the network scores as a few zero bytes. Each row is judged by itself, so repeated ids and rows need no rule. Other columns of docs are ignored whatever their names."""
     b = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     return rows.mapInArrow(tidy(_scorer(b, 1, "score", 0.0)), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, net: Net, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold, as they are."""
+    """The rows of docs that score at least threshold, as they are, with all their columns whatever their names. Each row is judged by itself; null counts as the empty text."""
     b = docs.sparkSession.sparkContext.broadcast(net)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain.mapInArrow(tidy(_scorer(b, docs.columns.index(text_col), "keep", threshold)), plain.schema).toDF(*docs.columns)

@@ -527,6 +527,69 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert token_rollup.Rollup(spark, str(tmp_path / "none")).totals().collect() == []
 
 
+def test_compaction_beside_a_commit(spark, tmp_path, monkeypatch):
+    """A batch that is committed while totals are being folded counts once; of two compactions at a time one is refused."""
+    make = lambda *r: spark.createDataFrame(list(r), token_rollup.SCHEMA)
+    roll = token_rollup.Rollup(spark, str(tmp_path / "roll"))
+    roll.commit("a", token_rollup.inserts(make(("s", "en", "v1", 1, 10, 50))))
+    other, create = token_rollup.Rollup(spark, str(tmp_path / "roll")), roll._create
+
+    def late(batch, entry):
+        assert other.commit("late", token_rollup.inserts(make(("s", "en", "v1", 1, 5, 20)))) and other.compact("other")
+        return create(batch, entry)
+
+    monkeypatch.setattr(roll, "_create", late)
+    assert not roll.compact("fold")
+    monkeypatch.setattr(roll, "_create", create)
+    assert rows(roll.totals()) == [("s", "en", "v1", 2, 15, 70)]
+    assert roll.compact("fold") and not roll.compact("fold") and rows(roll.totals()) == [("s", "en", "v1", 2, 15, 70)]
+    assert not roll._create("late", {"at": "nowhere"})
+
+
+def test_compaction_folds_what_it_read(spark, tmp_path, monkeypatch):
+    make = lambda *r: spark.createDataFrame(list(r), token_rollup.SCHEMA)
+    roll = token_rollup.Rollup(spark, str(tmp_path / "roll"))
+    roll.commit("a", token_rollup.inserts(make(("s", "en", "v1", 1, 10, 50))))
+    read = roll.committed
+
+    def slow():
+        monkeypatch.setattr(roll, "committed", read)
+        entries = read()
+        roll.commit("late", token_rollup.inserts(make(("s", "en", "v1", 1, 5, 20))))
+        return entries
+
+    monkeypatch.setattr(roll, "committed", slow)
+    assert roll.compact("fold") and rows(roll.totals()) == [("s", "en", "v1", 2, 15, 70)]
+
+
+def test_token_counts_cases(spark):
+    got = {tuple(r) for r in token_rollup.token_counts(table(spark), queries.BYTE_BPE, "t3", ["doc_id", "n_tokens", "text", "body"]).select("doc_id", "n_tokens", "n_bytes").collect()}
+    assert {(3, 0, 0), (4, 0, 0)} <= got and {r for r in got if r[0] == 7 and r[2] == len(LONG)}
+    assert token_rollup.token_counts(table(spark, []), queries.BYTE_BPE, "t3", ["doc_id"]).collect() == []
+
+
+def test_all_languages_are_learned(spark):
+    """300 languages of one text each: all can be predicted."""
+    data = [(i, " ".join(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}" for _ in range(9)), f"l{i:03}", "s", 1) for i in range(300)]
+    model = lang_id.fit(table(spark, data), F.lit(True), queries.PIECES, sample_rows=5)
+    assert len(model.langs) == 300
+
+
+def test_samples_are_bounded(spark):
+    """Rows that repeat an id or each other don't enlarge the samples."""
+    data = [(1, f"text number {i % 7}", "en", "s", 1) for i in range(60)]
+    rows_ = table(spark, data).select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), F.col("lang").alias("y"))
+    assert lang_id.sample(rows_, ["i", "h"], "y", 5).count() == 5 and lang_id.sample(rows_, ["i", "h"], "y", 50).count() == 7
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_cnn, "train", lambda texts, y: seen.append(len(texts)))
+        quality_cnn.fit(table(spark, data), labels, F.lit(True), sample_rows=4)
+        quality_cnn.fit(table(spark, data), labels, F.lit(True), sample_bytes=30)
+        quality_cnn.fit(table(spark, data), labels, F.lit(True))
+    assert seen == [4, 2, 7]
+
+
 def test_token_counts_whole_table(spark):
     import public_tokenizers
     import tiktoken
