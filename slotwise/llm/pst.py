@@ -1,15 +1,20 @@
 """Language-model scoring with probabilistic suffix trees.
 
-Tokens are words and one end for each text. Two trees share the work. One spells a word by its bytes and a closing space, the
-other predicts a word's class (2**CLASS_BITS classes by the word or, for long ones, its ending; the end is a class of its own)
-from the class before it. Contexts of the first have up to DEPTH bytes. In both trees a context is kept if, and only if, its count
-times the divergence of its next-symbol distribution from that of the next shorter one reaches DIVERGENCE, however rare it is and
-however many there are; distributions are smoothed by those of the shorter context, and scoring follows the longest suffix that is
-a state. Together, with counts over all training words:
+Tokens are words and one end for each text. The tree over tokens sees each as one of SYMBOLS symbols: the end is one of its own,
+words are told by their last two bytes. Its contexts are the symbols of up to ORDER tokens before, within the text. A second
+tree spells words that training never showed by their bytes and a closing space, with contexts of up to DEPTH bytes. In both a
+context is kept if, and only if, its count times the divergence of its next-symbol distribution from that of the next shorter one
+reaches a threshold, or if a longer one that ends in it is kept; however rare it is and however many there are. For tokens,
+each occurrence is left out of the distribution that it is tested by, or contexts would seem to diverge by chance alone. Distributions
+are smoothed by those of the shorter context, and scoring follows the longest suffix that is a state. Together, with counts over all training words:
 
-    P(word | before) = (1 - share) * P(class | before) * count(word) / count(class) + share * spelled(word)
-    P(end | before) = (1 - share) * P(end's class | before)
+    P(word | before) = (1 - share) * P(symbol | before) * count(word) / count(symbol) + share * spelled(word)
+    P(end | before) = (1 - share) * P(end's symbol | before)
 
+share is that of the words that occur once in training. The second tree learns from distinct words, each counted once.
+
+There are at most SYMBOLS ** ORDER longest contexts of tokens, so the first tree, which every task gets, has 67 MB at most. Its
+counts are summed and tested by the tasks that own a context's last two symbols, and only kept states reach the driver.
 Word counts are kept for the whole corpus and never gathered in one place. Texts are dealt to blocks; each block asks, for its
 distinct words, the task that owns a word's hash, which sums the counts of all blocks and answers each.
 """
@@ -31,15 +36,12 @@ DEPTH = 4
 DIVERGENCE = 20.0
 #: Weight of the shorter context's distribution, in counts.
 SMOOTH = 4.0
-CLASS_BITS = 11
-CLASS_SMOOTH = 100.0
-#: Words of up to so many bytes choose their class as a whole, longer ones by their last two bytes.
-WHOLE = 6
-DISCOUNT = 0.75
+#: Symbols of tokens, a power of two; and the longest context of them.
+SYMBOLS, ORDER = 64, 3
+TOKEN_SMOOTH = 20.0
+TOKEN_DIVERGENCE = 0.5
 BLOCK_BYTES = 8 << 20
 FLUSH_BYTES = 4 << 20
-#: One hash in so many tells how many distinct words there are, about.
-SAMPLED = 1024
 LONG_WORD = 48
 SPACE = 0x20
 
@@ -176,112 +178,204 @@ class Tree:
         return out
 
 
-def classes_of(words: Words) -> np.ndarray:
-    raw = np.frombuffer(words.data, np.uint8)
-    size = words.end - words.start
-    last = raw[words.end - 1].astype(np.uint64) | raw[np.maximum(words.end - 2, 0)].astype(np.uint64) << np.uint64(8)
-    key = np.where(size <= WHOLE, words.hash, mix(last | np.uint64(1 << 16)))
-    return (mix(key) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+END = SYMBOLS - 1
 
 
-END = 1 << CLASS_BITS
+def symbols_of(words: Words) -> np.ndarray:
+    """A word's symbol: a hash of its last two bytes."""
+    raw = np.frombuffer(words.data, np.uint8)
+    more = words.end - words.start > 1
+    last = raw[words.end - 1].astype(np.uint64) | np.where(more, raw[np.maximum(words.end - 2, 0)], 0).astype(np.uint64) << np.uint64(8)
+    return (mix(last + np.uint64(1 << 40)) % np.uint64(END)).astype(np.int64)
 
 
 def sequence(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens, ends too; the class before each (a text begins after an end); and each word's place among the tokens."""
-    kind = classes_of(words)
-    place = np.arange(len(words)) + np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    out = np.full(len(words) + len(words.first) - 1, END)
-    out[place] = kind
-    return out, np.append(END, out[:-1])[: len(out)], place
+    """Symbols of all tokens, ends too; the context before each, nearest symbol first (ends stand before a text); and each word's place among the tokens."""
+    texts = len(words.first) - 1
+    place = np.arange(len(words)) + np.repeat(np.arange(texts), np.diff(words.first))
+    out = np.full(len(words) + texts, END)
+    out[place] = symbols_of(words)
+    within = np.arange(len(out)) - np.repeat(words.first[:-1] + np.arange(texts), np.diff(words.first) + 1)
+    context = np.zeros(len(out), np.int64)
+    for j in range(1, ORDER + 1):
+        before = np.concatenate((np.full(j, END), out[:-j]))[: len(out)]
+        context = context * SYMBOLS + np.where(within < j, END, before)
+    return out, context, place
+
+
+def _kept(own: np.ndarray, below: np.ndarray, divergence: float, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed distributions of contexts (rows of counts) over those of the shorter contexts, and which diverge from them."""
+    n = own.sum(-1, keepdims=True)
+    others = (np.maximum(own - 1, 0) + smooth * below) / (np.maximum(n - 1, 0) + smooth)
+    return (own + smooth * below) / (n + smooth), (own * np.log(others / below)).sum(-1) >= np.where(n[..., 0] > 0, divergence, np.inf)
+
+
+class Tokens:
+    """The tree over tokens: log10 distributions of its states, and for each longest context the state it falls to.
+
+    first: counts of (symbol before, symbol). states: kept longer contexts as (length, code, log10 distribution)."""
+
+    def __init__(self, first: np.ndarray, states: list[tuple[int, int, np.ndarray]], divergence: float = TOKEN_DIVERGENCE, smooth: float = TOKEN_SMOOTH):
+        self.count = first.sum(0).astype(float)
+        self.root, self.one, keep = self.below(first, divergence, smooth)
+        keep[[c >> (n - 1) * self.bits for n, c, _ in states]] = True
+        self.log = np.log10(np.concatenate([self.root[None], self.one])).astype(np.float32)
+        if states:
+            self.log = np.concatenate([self.log, np.stack([x for *_, x in states])])
+        self.kept = int(keep.sum()) + len(states)
+        at = np.where(keep, np.arange(1, SYMBOLS + 1), 0).astype(np.int32)
+        for n in range(2, ORDER + 1):
+            at = np.repeat(at, SYMBOLS)
+            for i, (m, c, _) in enumerate(states):
+                if m == n:
+                    at[c] = SYMBOLS + 1 + i
+        self.at = at
+
+    bits = SYMBOLS.bit_length() - 1
 
+    @staticmethod
+    def below(first: np.ndarray, divergence: float, smooth: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        root = (first.sum(0) + 0.5) / (first.sum() + 0.5 * SYMBOLS)
+        return root, *_kept(first.astype(float), root, divergence, smooth)
 
-class Classes:
-    """log10 P(class | class before) for all pairs, and counts of classes."""
-
-    def __init__(self, pairs: np.ndarray, divergence: float = DIVERGENCE, smooth: float = CLASS_SMOOTH):
-        self.count = pairs.sum(0).astype(float)
-        root = (self.count + 0.5 / len(self.count)) / (self.count.sum() + 0.5)
-        self.log = np.empty(pairs.shape, np.float32)
-        self.kept = 0
-        for i, own in enumerate(pairs):
-            n, seen = float(own.sum()), own > 0
-            p = own[seen] / max(n, 1.0)
-            keep = n * float((p * np.log(p / root[seen])).sum()) >= divergence
-            self.log[i] = np.log10((own + smooth * root) / (n + smooth) if keep else root)
-            self.kept += keep
+    def log10(self, context: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return self.log[self.at[context], to]
 
 
-def _tally(depth: int):
-    """Gram counts of each flush's distinct training words (code, n), and as codes with top byte 255: 0 tokens, 1 texts, 2 and more sampled word hashes. At the end of a task, codes with top byte 254 and a blob: pairs of classes by the first."""
+def _states(one: np.ndarray, divergence: float, smooth: float):
+    """From the counts of all contexts whose last two symbols are grp: those that are kept, of two and of three symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((END + 1) ** 2, np.uint32)
-
-        def flush() -> pa.RecordBatch:
-            w = Words(texts, SPACED)
-            to, before, _ = sequence(w)
-            code, n = np.unique(before * (END + 1) + to, return_counts=True)
-            pairs[code] += n.astype(np.uint32)
-            u, first = np.unique(w.hash, return_index=True)
-            code, n = grams(*spelled(w, first), depth) if len(u) else (u, np.zeros(0, np.int64))
-            sampled = u[u % np.uint64(SAMPLED) == 0] // np.uint64(SAMPLED) % np.uint64(1 << 55) + np.uint64(2)
-            top = np.uint64(255) << np.uint64(56)
-            code = np.concatenate([code, np.array([0, 1], np.uint64) | top, sampled | top]).astype(np.uint64)
-            n = np.concatenate([n, [len(w) + len(texts), len(texts)], np.ones(len(sampled), np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64()), pa.nulls(len(n), pa.binary())], ["code", "n", "blob"])
-
-        texts, size = [], 0
         for batch in batches:
-            for t in texts_of(batch.column(0)):
-                if texts and size + len(t) > FLUSH_BYTES:
-                    yield flush()
-                    texts, size = [], 0
-                texts.append(t)
-                size += len(t)
-        if texts:
-            yield flush()
-        rows = pairs.reshape(END + 1, END + 1)
-        there = np.flatnonzero(rows.any(1))
-        blobs = [_pack(i.astype("<u2"), rows[k][i].astype("<i8")) for k in there for i in (np.flatnonzero(rows[k]),)]
-        code = there.astype(np.uint64) | np.uint64(254) << np.uint64(56)
-        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(there, pa.int64()), pa.array(blobs, pa.binary())], ["code", "n", "blob"])
+            length, code, logs = [], [], []
+            for grp, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, n = _entry(blob, ("<u2", "<i8"))
+                three = np.zeros((SYMBOLS, SYMBOLS))
+                three.ravel()[at] = n
+                two, keep2 = _kept(three.sum(0), one[grp // SYMBOLS], divergence, smooth)
+                full, keep3 = _kept(three, two, divergence, smooth)
+                if keep2 or keep3.any():
+                    length.append(2)
+                    code.append(grp)
+                    logs.append(np.log10(two).astype("<f4").tobytes())
+                for i in np.flatnonzero(keep3).tolist():
+                    length.append(3)
+                    code.append(grp * SYMBOLS + i)
+                    logs.append(np.log10(full[i]).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(code, pa.int64()), pa.array(logs, pa.binary())], ["length", "code", "logs"])
 
     return run
 
 
-def _sum_pairs(table: pa.Table) -> pa.Table:
-    total = np.zeros(END + 1, np.int64)
-    for i, n in _entries(table, "blob", ("<u2", "<i8")):
-        total[i] += n
-    return pa.table({"before": table.column("n")[:1], "blob": pa.array([total.tobytes()], pa.binary())})
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the contexts of one symbol, as far as they are in a context group."""
+    total = np.zeros((SYMBOLS, SYMBOLS), np.int64)
+    for batch in batches:
+        for grp, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at, n = _entry(blob, ("<u2", "<i8"))
+            total[grp // SYMBOLS] += np.bincount(at % SYMBOLS, n, SYMBOLS).astype(np.int64)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
+
+
+TEXTS, TOKENS, WORD = -1, -2, -3
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of training texts, rows (code, n, blob): by code the number of texts, that of tokens, and words (blob) with their counts in a
+    flush; at the end of a task, for each two symbols, all contexts that end in them with their counts (blob)."""
+    cells = np.zeros(SYMBOLS ** (ORDER + 1), np.uint32)
+
+    def rows(code, n, blob) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], ["code", "n", "blob"])
+
+    def flush() -> pa.RecordBatch:
+        w = Words(texts, SPACED)
+        to, context, _ = sequence(w)
+        code, n = np.unique(context * SYMBOLS + to, return_counts=True)
+        cells[code] += n.astype(np.uint32)
+        u, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+        data = w.data
+        found = [data[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        return rows([TEXTS, TOKENS] + [WORD] * len(u), [len(texts), len(w) + len(texts), *n.tolist()], [None, None, *found])
+
+    texts, size = [], 0
+    for batch in batches:
+        for t in texts_of(batch.column(0)):
+            if texts and size + len(t) > FLUSH_BYTES:
+                yield flush()
+                texts, size = [], 0
+            texts.append(t)
+            size += len(t)
+    if texts:
+        yield flush()
+    wide = SYMBOLS * SYMBOLS
+    at = np.flatnonzero(cells)
+    groups, begin = np.unique(at // wide, return_index=True)
+    stop = np.append(begin, len(at))[1:]
+    for some in np.array_split(np.arange(len(groups)), max(1, len(groups) // 256)):
+        blobs = [_pack((at[a:b] % wide).astype("<u2"), cells[at[a:b]].astype("<i8")) for a, b in zip(begin[some].tolist(), stop[some].tolist(), strict=True)]
+        yield rows(groups[some], [0] * len(some), blobs)
+
+
+def _spell(depth: int):
+    """Distinct words to spelling counts (code, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = Words(batch.column(0).to_pylist(), SPACED)
+            if len(w):
+                code, n = grams(*spelled(w, np.arange(len(w))), depth)
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64())], ["code", "n"])
+
+    return run
 
 
-def fit(rows: DataFrame, work: str, depth: int = DEPTH, divergence: float = DIVERGENCE) -> tuple[Tree, Classes, int, int, float]:
-    """From training texts (one column): both trees, N, the number of texts, and the share of spelled words."""
-    tallied = _work.settle(rows.mapInArrow(tidy(_tally(depth)), "code long, n long, blob binary"), f"{work}/tally")
-    counted = _work.settle(tallied.where("blob is null").groupBy("code").agg(F.sum("n").alias("n")), f"{work}/grams")
-    top, low = F.shiftrightunsigned("code", 56), F.col("code").bitwiseAND((1 << 56) - 1)
-    extra = counted.where(top == 255).agg(F.sum(F.when(low == 0, F.col("n"))), F.sum(F.when(low == 1, F.col("n"))), F.count("*")).first()
-    tokens, ends, sampled = int(extra[0] or 0), int(extra[1] or 0), max(0, int(extra[2]) - 2) * SAMPLED
-    own = counted.where(top < 254).select("code", "n").toArrow()  # a row for each context of up to `depth` bytes within words and the byte behind it
+def _sum_cells(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            i, n = _entry(blob, ("<u2", "<i8"))
+            total[i] += n
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([_pack(at.astype("<u2"), total[at])], pa.binary())], ["grp", "blob"])
+
+
+def fit(rows: DataFrame, work: str, depth: int = DEPTH, divergence: float = DIVERGENCE, token_divergence: float = TOKEN_DIVERGENCE) -> tuple[Tree, Tokens, int, int, float]:
+    """From training texts (one column): the tree that spells, the one over tokens, N, the number of texts, and the share of spelled words."""
+    tallied = _work.settle(rows.mapInArrow(tidy(_tally), "code long, n long, blob binary"), f"{work}/tally")
+    words = _work.settle(tallied.where(F.col("code") == WORD).groupBy("blob").agg(F.sum("n").alias("n")), f"{work}/words")
+    extra = dict(map(tuple, tallied.where(F.col("code").isin(TEXTS, TOKENS)).groupBy("code").agg(F.sum("n")).collect()))
+    tokens, ends = int(extra.get(TOKENS, 0)), int(extra.get(TEXTS, 0))
+    once = words.where("n = 1").count()
+    own = words.select("blob").mapInArrow(tidy(_spell(depth)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # a row for each context of up to `depth` bytes within words and the byte behind it
     tree = Tree(own["code"].to_numpy().view(np.uint64), own["n"].to_numpy(), depth, divergence)
-    pairs = np.zeros((END + 1, END + 1), np.int64)
-    for r in tallied.where("blob is not null").groupBy("code").applyInArrow(_sum_pairs, "before long, blob binary").toLocalIterator():  # one row for each class
-        pairs[r.before] = np.frombuffer(r.blob, np.int64)
-    share = min(0.5, max(1e-3, DISCOUNT * sampled / max(1, tokens)))
-    return tree, Classes(pairs, divergence), tokens, ends, share
+    cells = tallied.where("code >= 0").select(F.col("code").alias("grp"), "blob").groupBy("grp").applyInArrow(_sum_cells, "grp long, blob binary")
+    cells = _work.settle(cells, f"{work}/cells")
+    first = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    for r in cells.mapInArrow(_firsts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # SYMBOLS ** 2 rows at most
+        first[r.cell] = r.n
+    first = first.reshape(SYMBOLS, SYMBOLS)
+    one = Tokens.below(first, token_divergence, TOKEN_SMOOTH)[1]
+    got = cells.mapInArrow(_states(one, token_divergence, TOKEN_SMOOTH), "length int, code long, logs binary").toArrow()  # SYMBOLS ** ORDER states of 268 bytes at most, and a few shorter
+    order = np.lexsort((got["code"].to_numpy(), got["length"].to_numpy()))
+    states = [(got["length"][i].as_py(), got["code"][i].as_py(), np.frombuffer(got["logs"][i].as_py(), "<f4")) for i in order.tolist()]
+    share = min(0.5, max(1e-3, once / max(1, tokens)))
+    for name in ("tally", "words", "cells"):
+        _work.drop(rows.sparkSession, f"{work}/{name}")
+    return tree, Tokens(first, states, token_divergence), tokens, ends, share
+
+
+def _entry(blob: bytes, kinds: tuple) -> tuple:
+    n, at, own = int(np.frombuffer(blob, "<i8", 1)[0]), 8, []
+    for k in kinds:
+        own.append(np.frombuffer(blob, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return tuple(own)
 
 
 def _entries(table: pa.Table, column: str, kinds: tuple) -> list[tuple]:
-    out = []
-    for blob in table.column(column).to_pylist():
-        n, at, own = int(np.frombuffer(blob, "<i8", 1)[0]), 8, []
-        for k in kinds:
-            own.append(np.frombuffer(blob, k, n, at))
-            at += n * np.dtype(k).itemsize
-        out.append(tuple(own))
-    return out
+    return [_entry(blob, kinds) for blob in table.column(column).to_pylist()]
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -335,7 +429,7 @@ OUT = "id long, train boolean, n_tokens long, n_known long, base double, score d
 
 def _scorer(shipped):
     def run(texts_table: pa.Table, answers: pa.Table) -> pa.Table:
-        tree, classes, tokens, ends, share = shipped.value
+        tree, before, tokens, ends, share = shipped.value
         got = _entries(answers, "blob", ("<u8", "<i8"))
         if not texts_table.num_rows:  # what a bucket counted
             return _result([None], [None], *([[None]] * 4), [int(sum(g[0].sum() for g in got))], [int(sum(g[1].sum() for g in got))])
@@ -350,11 +444,11 @@ def _scorer(shipped):
             u, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             c = known[np.searchsorted(known_hash, u)] if len(u) else np.zeros(0, np.int64)
             log = tree.log10(w, first) if len(u) else np.zeros(0)
-            to, before, place = sequence(w)
-            p = (1 - share) * 10.0 ** classes.log[before, to].astype(float) if tokens else np.full(len(to), 0.5)
+            to, context, place = sequence(w)
+            p = (1 - share) * 10.0 ** before.log10(context, to).astype(float) if tokens else np.full(len(to), 0.5)
             own = to[place]
             spell = share * 10.0 ** np.maximum(log, -300)
-            rate = (c[inverse] / np.maximum(classes.count[own], 1.0)) if tokens else np.zeros(len(own))
+            rate = (c[inverse] / np.maximum(before.count[own], 1.0)) if tokens else np.zeros(len(own))
             with np.errstate(divide="ignore"):
                 token = np.log10(p)
                 seen = np.log10(p[place] * rate + spell[inverse])
@@ -390,14 +484,14 @@ def score(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     work = _work.shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")).withColumn("train", F.coalesce(usable, F.lit(False)))
     rows = rows.select(F.col(id_col).alias("id"), "body", "train")
-    tree, classes, tokens, ends, share = fit(rows.where("train").select("body"), work, **options)
+    tree, before, tokens, ends, share = fit(rows.where("train").select("body"), work, **options)
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks, buckets = max(parts, -(-size // block_bytes)), 2 * parts
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "body"), F.lit(blocks)).cast("long")).repartition(int(min(blocks, 1 << 20)), "block")
     asked = dealt.groupBy("block").applyInArrow(_asker(buckets), "bucket int, block long, blob binary")
     answers = asked.groupBy("bucket").applyInArrow(_answerer(blocks), "block long, blob binary")
-    shipped = spark.sparkContext.broadcast((tree, classes, tokens, ends, share))
+    shipped = spark.sparkContext.broadcast((tree, before, tokens, ends, share))
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(shipped), OUT)
     scored = _work.settle(scored, f"{work}/scored")
     counted = scored.where("types is not null").agg(F.sum("types"), F.sum("tokens")).first()

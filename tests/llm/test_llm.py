@@ -303,14 +303,55 @@ def test_lm_blocks_of_many_slices(spark):
         assert math.isclose(r.base_score, want[r.doc_id, r.n_tokens, r.n_known, r.train_tokens], rel_tol=1e-9)
 
 
-def test_class_distributions_sum_to_one():
-    w = Words([b"a b c a b", b"", b"b a b a b a b a"], SPACED)
-    to, before, place = pst.sequence(w)
-    assert to.tolist().count(pst.END) == 3 and before[0] == pst.END and len(place) == 13
-    pairs = np.zeros((pst.END + 1, pst.END + 1), np.int64)
-    np.add.at(pairs, (before, to), 1)
-    classes = pst.Classes(pairs, divergence=0.5)
-    assert classes.kept and np.allclose((10.0 ** classes.log.astype(float)).sum(1), 1, atol=1e-4)
+def test_contexts_stay_within_texts():
+    w = Words([b"aa bb cc aa", b"", b"x"], SPACED)
+    to, context, place = pst.sequence(w)
+    a, b, c, x = (int(pst.symbols_of(Words([t], SPACED))[0]) for t in (b"aa", b"bb", b"cc", b"x"))
+    e, code = pst.END, lambda *s: s[0] * 4096 + s[1] * 64 + s[2]
+    assert to.tolist() == [a, b, c, a, e, e, x, e] and place.tolist() == [0, 1, 2, 3, 6]
+    assert context.tolist() == [code(e, e, e), code(a, e, e), code(b, a, e), code(c, b, a), code(a, c, b), code(e, e, e), code(e, e, e), code(x, e, e)]
+    assert int(pst.symbols_of(Words([b"q\tx"], SPACED))[1]) == x  # what stands before a short word doesn't matter
+
+
+def test_token_tree(spark, tmp_path):
+    """Against a tree that is made by hand from all contexts: the same states, chosen by divergence, and proper distributions."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{x}{y}" for x in "abcdefgh" for y in "xyzuvw"]
+    texts = []
+    for _ in range(300):  # the word two before decides
+        t = [str(rng.choice(vocabulary)), str(rng.choice(vocabulary))]
+        for _ in range(60):
+            t.append(str(rng.choice(vocabulary)) if rng.random() < 0.3 else vocabulary[(vocabulary.index(t[-2]) * 7 + 3) % len(vocabulary)])
+        texts.append(" ".join(t))
+    rows_ = spark.createDataFrame([(t,) for t in texts], "body string").repartition(3)
+    _, tokens, n, ends, _ = pst.fit(rows_, f"file://{tmp_path}")
+    assert (n, ends) == (300 * 63, 300) and np.allclose((10.0 ** tokens.log.astype(float)).sum(1), 1, atol=1e-4)
+    counts: dict[tuple, Counter] = {}
+    seen = []
+    for t in texts:
+        s = [pst.END] * 3 + pst.symbols_of(Words([t.encode()], SPACED)).tolist() + [pst.END]
+        for i in range(3, len(s)):
+            seen.append((tuple(s[i - 3 : i]), s[i]))
+            for k in range(4):
+                counts.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+    smoothed = {(): {x: (counts[()][x] + 0.5) / (n + 32) for x in range(64)}}
+    keep = {()}
+    for c in sorted(counts, key=len)[1:]:
+        total, below = sum(counts[c].values()), smoothed[c[1:]]
+        smoothed[c] = {x: (counts[c][x] + 20 * below[x]) / (total + 20) for x in range(64)}
+        if sum(m * math.log((m - 1 + 20 * below[x]) / (total - 1 + 20) / below[x]) for x, m in counts[c].items()) >= pst.TOKEN_DIVERGENCE:
+            keep |= {c[i:] for i in range(len(c) + 1)}
+    assert tokens.kept == len(keep) - 1 and {2} <= set(map(len, keep))
+    for c, x in seen[::50]:
+        state = next(c[i:] for i in range(4) if c[i:] in keep)
+        code = c[2] * 4096 + c[1] * 64 + c[0]
+        assert math.isclose(tokens.log10(np.array([code]), np.array([x]))[0], math.log10(smoothed[state][x]), abs_tol=1e-5)
+
+
+def test_score_does_not_depend_on_the_split(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    a, b = ({r.doc_id: r.score for r in pst.score(d, queries.fold("doc_id", 10) != 0).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
 def test_tree_distributions_sum_to_one():
