@@ -95,11 +95,22 @@ def test_exact_dedup_empty(spark):
     assert exact_index.exact_dedup(table(spark, [])).collect() == []
 
 
-def test_directory_doubles(spark):
+def test_directory_doubles(spark, tmp_path):
     keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    depth, buckets = exact_index.directory(keys, capacity=40)
+    depth, buckets = exact_index.directory(keys, f"file://{tmp_path}", capacity=40)
     assert depth >= 5
-    assert sum(2.0**-d for _, d in buckets) == 1.0  # the buckets cover all prefixes once
+    assert sum(2.0**-d for _, d in buckets.collect()) == 1.0  # the buckets cover all prefixes once
+
+
+def test_chains_compare_bytes():
+    """Rows of one key from several tasks, equal and different."""
+    import pyarrow as pa
+
+    names = ["h", "body", "keep", "n"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in x], names) for x in (([1, 1, 2], [b"a", b"bb", b"a"], [5, 3, 9], [1, 2, 1]), ([2, 2, 3], [b"c", b"a", b"d"], [7, 11, None], [4, 2, 3]))]
+    got = [tuple(r.values()) for b in exact_index._chains(iter(batches)) for r in b.to_pylist()]
+    digest = lambda t: hashlib.sha256(t).digest()
+    assert got == [(1, 0, digest(b"a"), 5, 1), (1, 1, digest(b"bb"), 3, 2), (2, 0, digest(b"a"), 11, 3), (2, 1, digest(b"c"), 7, 4), (3, 0, digest(b"d"), None, 3)]
 
 
 # ---- near dedup
