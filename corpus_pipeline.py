@@ -28,19 +28,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _work.small_batches(spark)
     work = _work.shared_dir(spark)
     result = _work.settle(exact_index.exact_dedup(docs).where("group_size > 1 and keep_id is not null"), f"{work}/exact")
-    verdict = result.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    verdict = result.groupBy(F.col("doc_id").alias("v_id"), F.col("text_sha256").alias("v_text")).agg(F.max("kept").alias("v_kept"), F.count("*").alias("v_n"))
     key = lambda i, sha: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), sha)
-    own = F.col("doc_id").cast("long")
-    rows = docs.withColumn("__sha", F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), 256))
-    flagged = _sieve.flag(rows, key(own, F.col("__sha")), verdict.select(key(F.col("__id"), F.col("__text")).alias("__key")), "__maybe")
-    met = flagged.where("__maybe").join(verdict, own.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__text")), "left").where("coalesce(__kept, true)")
-    met = _work.settle(met.drop("__maybe", "__id", "__text", "__kept"), f"{work}/met")
-    once, many = met.where("coalesce(__n, 1) = 1"), met.where("__n > 1").dropDuplicates(["doc_id", "__sha"])
-    return flagged.where("not __maybe").select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(many.select(*docs.columns))
+    # Columns go by their place, so that none clashes with a name used here.
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = (F.col(plain[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    own = own.cast("long")
+    rows = docs.toDF(*plain).withColumn("v_sha", F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), 256))
+    flagged = _sieve.flag(rows, key(own, F.col("v_sha")), verdict.select(key(F.col("v_id"), F.col("v_text")).alias("v_key")), "v_maybe")
+    met = flagged.where("v_maybe").join(verdict, own.eqNullSafe(F.col("v_id")) & (F.col("v_sha") == F.col("v_text")), "left").where("coalesce(v_kept, true)")
+    met = _work.settle(met.withColumn("v_one", own).drop("v_maybe", "v_id", "v_text", "v_kept"), f"{work}/met")
+    once, many = met.where("coalesce(v_n, 1) = 1"), met.where("v_n > 1").dropDuplicates(["v_one", "v_sha"])
+    return flagged.where("not v_maybe").select(*plain).unionByName(once.select(*plain)).unionByName(many.select(*plain)).toDF(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the document with the smallest id stays."""
+    """Of each group of texts that share four fifths of their five-word shingles, or are linked by such, the document with the smallest id stays. Null ids stay."""
     _work.small_batches(spark)
     work = _work.shared_dir(spark)
     gone = _work.settle(hyperminhash.near_dedup(docs).where("not kept").select("doc_id"), f"{work}/gone")
