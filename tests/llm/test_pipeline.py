@@ -96,5 +96,19 @@ def test_exact_stage_tells_rows_by_id_and_text(spark):
     assert sorted(got, key=str) == sorted([(5, "one TEXT"), (7, "only here"), (9, "shared"), (9, "last"), (None, "nulls"), (None, "nulls")], key=str)
 
 
+def test_stages_take_any_column_name(spark):
+    """Columns named as the stages name theirs within."""
+    from pyspark.sql import functions as F
+
+    names = ("_at", "_chunk", "_bits", "__many", "_maybe", "v_sha", "v_maybe", "v_n", "v_one", "c0", "c1", "order", "range")
+    df = spark.createDataFrame([r for r in CASES if r[0] not in (7, 8)], "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        df = df.withColumn(n, F.lit(f"own {n}"))
+    for stage in (p.quality, p.exact, p.near, p.benchmark):
+        out = stage(spark, df, MEDIUM)
+        assert out.columns == df.columns and {tuple(r)[5:] for r in out.collect()} <= {tuple(f"own {n}" for n in names)}
+    assert p.mixture(spark, df, MEDIUM).count() > 0
+
+
 def test_stages_are_registered():
     assert [n for n, _ in p.STAGES] == ["quality", "exact", "near", "benchmark", "mixture"]
