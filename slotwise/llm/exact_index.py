@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +37,7 @@ def _keyer(hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = [hashlib.sha256(t.lower()).digest() for t in texts_of(batch.column(1))]  # bytes.lower() changes A-Z only
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key_of(d, hash_bits) for d in digests], pa.int64()), pa.array(digests, pa.binary())], ["id", "h", "sha"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key_of(d, hash_bits) for d in digests], pa.int64()), pa.array(digests, pa.binary()), batch.column(2)], ["id", "h", "sha", "rough"])
 
     return run
 
@@ -152,7 +151,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     work = _work.shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    keys = _work.settle(rows.mapInArrow(tidy(_keyer(hash_bits)), "id long, h long, sha binary"), f"{work}/keys")
+    # Texts that are equal after lower-casing A-Z are equal after lower-casing all: the rough hash is cheap, and never tells equal ones apart.
+    rough = F.xxhash64(F.lower(F.coalesce("body", F.lit(""))))
+    keys = _work.settle(rows.withColumn("rough", rough).mapInArrow(tidy(_keyer(hash_bits)), "id long, h long, sha binary, rough long"), f"{work}/keys")
     entries = _work.settle(keys.groupBy("h").agg(F.count("*").alias("n")), f"{work}/entries")
     depth, buckets = directory(entries, f"{work}/directory", capacity, hash_bits)
     spread = F.expr(f"shiftleft(1L, {depth} - depth)")
@@ -169,16 +170,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = _work.settle(index.select("bucket", "h", "n"), f"{work}/index")
 
     # Keys of more than one row are to be compared. A bit map of bounded size spares most other texts the way to Python and
-    # the shuffle, and the join behind it decides.
+    # the shuffle, and the join behind it decides. Keys cut short, as in tests, meet without it.
     repeated = index.where("n > 1").select("h", "bucket")
-    normal = F.encode(F.translate(F.coalesce("body", F.lit("")), ascii_uppercase, ascii_lowercase), "UTF-8")
-    head = F.conv(F.substring(F.sha2(normal, 256), 1, 16), 16, -10).cast("long") if hash_bits == 64 else None
-    texts = rows if head is None else _sieve.flag(rows, head, repeated.select("h")).where("maybe").drop("maybe")
+    again = keys.groupBy("rough").agg(F.count("*").alias("m")).where("m > 1").select("rough")
+    texts = _sieve.flag(rows, rough, again).where("maybe").drop("maybe") if hash_bits == 64 else rows
     compared = texts.mapInArrow(tidy(_collapse(hash_bits)), "h long, body binary, keep long, n long").join(repeated, "h")
     chained = compared.repartitionById(owners, owner).sortWithinPartitions("bucket", "h").select("h", "body", "keep", "n")
     links = _work.settle(chained.mapInArrow(tidy(_chains), "h long, place int, sha binary, keep_id long, n long"), f"{work}/links")
 
-    out = keys.join(links, ["h", "sha"], "left")
+    out = keys.drop("rough").join(links, ["h", "sha"], "left")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"),
