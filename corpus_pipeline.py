@@ -29,14 +29,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = _work.shared_dir(spark)
     result = _work.settle(exact_index.exact_dedup(docs).where("group_size > 1 and keep_id is not null"), f"{work}/exact")
     verdict = result.groupBy(F.col("doc_id").alias("v_id"), F.col("text_sha256").alias("v_text")).agg(F.max("kept").alias("v_kept"), F.count("*").alias("v_n"))
-    key = lambda i, sha: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), sha)
+    key = lambda i: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")))
     # Columns go by their place, so that none clashes with a name used here.
     plain = [f"c{i}" for i in range(len(docs.columns))]
     own, text = (F.col(plain[docs.columns.index(c)]) for c in ("doc_id", "text"))
     own = own.cast("long")
-    rows = docs.toDF(*plain).withColumn("v_sha", F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), 256))
-    flagged = _sieve.flag(rows, key(own, F.col("v_sha")), verdict.select(key(F.col("v_id"), F.col("v_text")).alias("v_key")), "v_maybe")
-    met = flagged.where("v_maybe").join(verdict, own.eqNullSafe(F.col("v_id")) & (F.col("v_sha") == F.col("v_text")), "left").where("coalesce(v_kept, true)")
+    flagged = _sieve.flag(docs.toDF(*plain), key(own), verdict.select(key(F.col("v_id")).alias("v_key")), "v_maybe")
+    normal = F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    met = flagged.where("v_maybe").withColumn("v_sha", normal).join(verdict, own.eqNullSafe(F.col("v_id")) & (F.col("v_sha") == F.col("v_text")), "left").where("coalesce(v_kept, true)")
     met = _work.settle(met.withColumn("v_one", own).drop("v_maybe", "v_id", "v_text", "v_kept"), f"{work}/met")
     once, many = met.where("coalesce(v_n, 1) = 1"), met.where("v_n > 1").dropDuplicates(["v_one", "v_sha"])
     return flagged.where("not v_maybe").select(*plain).unionByName(once.select(*plain)).unionByName(many.select(*plain)).toDF(*docs.columns)
