@@ -8,8 +8,9 @@ end for each round. With every name goes the range of words that decided it.
 
 A window is a run of WINDOW words. Of the names of the highest level that are decided by words inside it, the one with the
 smallest hash is its anchor (a lower level serves where there is none; words themselves always do). Equal windows have equal
-anchors at equal places, so windows are dealt out by anchor, and those that share it are verified by the hash of their words.
-Windows that repeat within a task's flush are known to repeat at once, and one of them goes on for all: a passage in a third of
+anchors at equal places, so windows are dealt out by anchor, and those that share its name and place in them are verified by a
+64-bit hash of all their words. Two windows that differ are taken for equal only if that hash, the name of the anchor (64 bits, made in other ways)
+and its place agree, which among a thousand million windows of one anchor has a probability of about 0.03. Windows that repeat within a task's flush are known to repeat at once, and one of them goes on for all: a passage in a third of
 all documents costs each flush one record.
 """
 
@@ -27,8 +28,8 @@ from . import _sieve, _work
 from ._tokens import SPACED, Words, mix, slices, texts_of, tidy
 
 WINDOW, LEVELS = 35, 4
-#: Bytes of text whose windows are compared before they are dealt out.
-FLUSH_BYTES = 3 << 20
+#: Bytes of text whose windows are compared before they are dealt out, and that make one bucket.
+FLUSH_BYTES, BUCKET_BYTES = 3 << 20, 4 << 20
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
@@ -151,7 +152,7 @@ def _spans(key: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np
 
 
 def pack(keys: np.ndarray, words: Words, window: int, levels: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, record) of a flush: spans known to repeat (kind 0), and windows to be compared (kind 1)."""
+    """(bucket, record) of a flush, whose texts are told by rows of two longs: spans known to repeat (kind 0), and windows to be compared (kind 1)."""
     at = windows_of(words, window)
     if not len(at):
         return
@@ -169,7 +170,7 @@ def pack(keys: np.ndarray, words: Words, window: int, levels: int, buckets: int)
     if known.any():
         key, a, b = _spans(text[known], at[known], window)
         base = words.first[key]
-        yield int(keys[key[0]]) % buckets, b"\0" + np.array([len(key)], "<i8").tobytes() + keys[key].tobytes() + (a - base).astype("<i4").tobytes() + (b - base).astype("<i4").tobytes()
+        yield int(keys[key[0], 1]) % buckets, b"\0" + np.array([len(key)], "<i8").tobytes() + keys[key].tobytes() + (a - base).astype("<i4").tobytes() + (b - base).astype("<i4").tobytes()
     name, where = anchors(words, at, window, levels)
     # Neighbouring windows of one anchor make a record: one bit for each of its windows that is sent, and one for each that is known to repeat.
     head = np.ones(len(at), bool)
@@ -184,7 +185,6 @@ def pack(keys: np.ndarray, words: Words, window: int, levels: int, buckets: int)
     order = np.argsort(bucket, kind="stable")
     order = order[mask[order] != 0]
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]  # 48 bits
     first_text = text[heads]
     sent_at = np.flatnonzero(sent)
     sent_record = record[sent_at]
@@ -195,18 +195,18 @@ def pack(keys: np.ndarray, words: Words, window: int, levels: int, buckets: int)
         rows = sent_at[np.arange(int(count.sum())) + np.repeat(start[own] - (np.cumsum(count) - count), count)]
         h = heads[own]
         yield b, b"".join((
-            b"\1", np.array([len(own)], "<i8").tobytes(), keys[first_text[own]].tobytes(), (at[h] - words.first[first_text[own]]).astype("<i4").tobytes(), (name[h] >> np.uint64(32)).astype("<u4").tobytes(),
-            (where[h] - at[h]).astype(np.uint8).tobytes(), mask[own].tobytes(), flags[own].tobytes(), raw[rows].tobytes(),
+            b"\1", np.array([len(own)], "<i8").tobytes(), keys[first_text[own]].tobytes(), (at[h] - words.first[first_text[own]]).astype("<i4").tobytes(), name[h].astype("<u8").tobytes(),
+            (where[h] - at[h]).astype(np.uint8).tobytes(), mask[own].tobytes(), flags[own].tobytes(), hashes[rows].astype("<u8").tobytes(),
         ))
 
 
 def _unpack(blob: bytes) -> tuple:
     n = int(np.frombuffer(blob, "<i8", 1, 1)[0])
     at, out = 9, []
-    for kind in ("<i8", "<i4", "<u4", "u1", "<u8", "<u8"):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return (*out, np.frombuffer(blob, np.uint8, offset=at).reshape(-1, 6))
+    for kind, each in (("<i8", 2), ("<i4", 1), ("<u8", 1), ("u1", 1), ("<u8", 1), ("<u8", 1)):
+        out.append(np.frombuffer(blob, kind, n * each, at))
+        at += n * each * np.dtype(kind).itemsize
+    return (out[0].reshape(-1, 2), *out[1:], np.frombuffer(blob, "<u8", offset=at))
 
 
 def repeated(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,19 +214,24 @@ def repeated(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     spans = []
     for x in (x for x in blobs if x[0] == 0):
         n = int(np.frombuffer(x, "<i8", 1, 1)[0])
-        spans.append((np.frombuffer(x, "<i8", n, 9), np.frombuffer(x, "<i4", n, 9 + 8 * n).astype(np.int64), np.frombuffer(x, "<i4", n, 9 + 12 * n).astype(np.int64)))
+        spans.append((np.frombuffer(x, "<i8", 2 * n, 9).reshape(-1, 2), *(np.frombuffer(x, "<i4", n, 9 + k * n).astype(np.int64) for k in (16, 20))))
     packed = [_unpack(x) for x in blobs if x[0] == 1]
     if packed:
         key, first, name, offset, mask, flags, raw = (np.concatenate(c) for c in zip(*packed, strict=True))
         bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
         known = np.unpackbits(flags.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
         record, place = np.nonzero(bits)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, 2:] = raw
-        content = wide.view("<u8").ravel() + (offset[record].astype(np.int64) - place).astype(np.uint64)
-        content = mix(content ^ mix(name[record].astype(np.uint64) + _A))
+        offset, name = offset[record].astype(np.int64) - place, name[record]
+        content = mix((raw + offset.astype(np.uint64)) ^ mix(name + _A))
         by = np.argsort(content)
+
+        def alike() -> np.ndarray:
+            return (raw[by][1:] == raw[by][:-1]) & (name[by][1:] == name[by][:-1]) & (offset[by][1:] == offset[by][:-1])
+
         equal = content[by][1:] == content[by][:-1]
+        if (equal & ~alike()).any():  # different windows of one mixed key may stand between equal ones
+            by = np.lexsort((offset, name, raw))
+        equal = alike()
         again = known[record, place]
         again[by[1:][equal]] = True
         again[by[:-1][equal]] = True
@@ -234,19 +239,19 @@ def repeated(blobs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
         spans.append(_spans(record, first[record] + place, window))
         spans[-1] = (key[spans[-1][0]], *spans[-1][1:])
     if not spans:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros((0, 2), np.int64), *(np.zeros(0, np.int64),) * 2
     return tuple(np.concatenate(c) for c in zip(*spans, strict=True))
 
 
 def _packer(window: int, levels: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            got = list(pack(np.array(keys, np.int64), Words(texts, SPACED, False), window, levels, buckets))
+            got = list(pack(np.array(keys, np.int64).reshape(-1, 2), Words(texts, SPACED, False), window, levels, buckets))
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["bucket", "blob"])
 
         keys, texts, size = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns[:2]), texts_of(batch.column(2)), strict=True):
                 if texts and size + len(text) > FLUSH_BYTES:
                     yield flush()
                     keys, texts, size = [], [], 0
@@ -262,7 +267,8 @@ def _packer(window: int, levels: int, buckets: int):
 def _finder(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in repeated(blobs, window)], ["key", "a", "b"])
+            key, a, b = repeated(blobs, window)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key[:, 0], key[:, 1], a, b)], ["own", "key", "a", "b"])
 
         bucket, blobs = None, []
         for batch in batches:
@@ -279,17 +285,22 @@ def _finder(window: int):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, body and key: a hash of both, which tells rows apart also where ids repeat or are null. Rows equal in both share it, and what is removed."""
+    """id, body, and own and key: the id and a hash of both, which tell rows apart also where ids repeat or are null. Rows equal in both share them, and what is removed."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    return rows.withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("body", F.lit(""))))
+    return rows.withColumn("own", F.coalesce("id", F.lit(-1).cast("long"))).withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("body", F.lit(""))))
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, levels: int = LEVELS) -> DataFrame:
-    """rows: key, body. Returns (key, a, b): spans of words, which may overlap, that cover all windows that also start anywhere else."""
+    """rows: own, key, body. Returns (own, key, a, b): spans of words, which may overlap, that cover all windows that also start anywhere else.
+
+    There are as many buckets as the texts' bytes ask for, and a task holds one at a time.
+    """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = rows.select("key", "body").mapInArrow(tidy(_packer(window, levels, 4 * parts)), "bucket int, blob binary")
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_finder(window)), "key long, a long, b long")
+    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    buckets = min(1 << 30, max(4 * parts, -(-size // BUCKET_BYTES)))
+    packed = rows.select("own", "key", "body").mapInArrow(tidy(_packer(window, levels, buckets)), "bucket int, blob binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_finder(window)), "own long, key long, a long, b long")
 
 
 def _remover(with_text: bool):
@@ -335,9 +346,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = _work.shared_dir(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     spans = _work.settle(repeated_spans(rows, window, levels), f"{work}/spans")
-    covered = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    covered = spans.groupBy("own", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # rows that share a key share their spans
     flagged = _sieve.flag(rows, F.col("key"), spans.select("key").distinct())
-    cut = flagged.where("maybe").join(covered, "key", "left").select("id", "body", "spans")
+    cut = flagged.where("maybe").join(covered, ["own", "key"], "left").select("id", "body", "spans")
     whole = flagged.where("not maybe").select("id", "body", F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return whole.unionByName(cut).mapInArrow(tidy(_remover(with_text)), schema).withColumnRenamed("id", id_col)
