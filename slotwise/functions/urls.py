@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 TRACKING = ("fbclid", "gclid", "dclid", "igshid", "mc_cid", "mc_eid", "ocid", "_ga", "_gl", "spm")
 TRACKING_BATCH = ("fbclid", "gclid", "cmpid", "cid")
 SECTIONS = r"/(video|videos|live|search|account|privacy|terms|about|contact|advertis|newsletter|shop)\b"
-#: By source: accepted and refused story URLs.
+#: By source: its hosts, accepted paths and refused ones.
 STORY_RULES = (
-    ("abc1", r".", r"/(video|live|search|account|newsletters?|shop|about|contact)\b"),
-    ("cbs1", r"^https?://([a-z0-9-]+\.)*cbsnews\.com/.", r"/(videos?|watch|account|privacy|terms)\b"),
-    ("nbc1", r"/live-blog/|-rcna\d+|/\d{4}/\d{2}/\d{2}/", r"/(account|search|tips|newsletters?|video|shorts)\b"),
-    ("cnn1", r"^https?://[^/]+/\d{4}/\d{2}/\d{2}/", r"/(audio|videos?|profiles|newsletters?|account|live-tv|subscription|access|shopping)\b"),
-    ("guardian1", r"/\d{4}/[a-z]{3}/\d{1,2}/|/live/", r"/football/live\b"),
-    ("usat1", r"/(story|live-story)/", r"/videos?/"),
-    ("ap1", r"/(article|live)/", r"^$"),
-    ("latimes1", r"/(story|list|live|live-updates)\b", r"/b2b/"),
-    ("npr1", r"/\d{4}/\d{2}/\d{2}/", r"/(podcasts?|newsletters?|shop|donate|series|sections|programs|music)\b"),
-    ("bbc1", r"/news/(articles/[a-z0-9]+|live/.|[a-z-]+-\d+)", r"/news/(videos?|av|topics|special-reports)\b"),
-    ("fox1", r"^https?://[^/]+/[^/?#]+/[^/?#]+", r"/(live|search|category|shows|video|weather|odds|person|about|newsletters?|apps)\b"),
-    ("yahoo1", r"^https?://[^/]+/[^/?#]+/[^/?#]+|/news/articles/", r"/(ads|about|legal|privacy|terms|account|our-ads)\b"),
+    ("abc1", r"(^|\.)abcnews(\.go)?\.com$", r"^/.", r"/video|/live/|/live$|/search|/account|/newsletters|/shop|/about|/contact"),
+    ("cbs1", r"(^|\.)cbsnews\.com$", r"^/.", r"/(videos?|watch|account|privacy|terms)\b"),
+    ("nbc1", r"(^|\.)nbcnews\.com$", r"/live-blog/|-rcna\d+|/\d{4}/\d{2}/\d{2}/", r"/(account|search|tips|newsletters?|video|shorts)\b"),
+    ("cnn1", r"(^|\.)cnn\.com$", r"^/\d{4}/\d{2}/\d{2}/", r"/(audio|videos?|profiles|newsletters?|account|live-tv|subscription|access|shopping)\b"),
+    ("guardian1", r"(^|\.)theguardian\.com$", r"/\d{4}/[a-z]{3}/\d{1,2}/|/live/", r"/football/live\b"),
+    ("usat1", r"(^|\.)usatoday\.com$", r"/(story|live-story)/", r"/videos?/"),
+    ("ap1", r"(^|\.)apnews\.com$", r"^/(article|live)/", r"^$"),
+    ("latimes1", r"(^|\.)latimes\.com$", r"/(story|list|live|live-updates)\b", r"/b2b/"),
+    ("npr1", r"(^|\.)npr\.org$", r"^/\d{4}/\d{2}/\d{2}/", r"/(podcasts?|newsletters?|shop|donate|series|sections|programs|music)\b"),
+    ("bbc1", r"(^|\.)bbc\.(com|co\.uk)$", r"^/news/(articles/[a-z0-9]+|live/.|[a-z-]+-\d+)", r"^/news/(videos?|av|topics|special-reports)\b"),
+    ("fox1", r"(^|\.)foxnews\.com$", r"^/[a-z0-9-]+/[a-z0-9-]+", r"^/(live|search|category|shows|video|fox-nation|weather|sports/odds|person|about|newsletter|apps)(/|$)"),
+    ("yahoo1", r"(^|\.)yahoo\.com$", r"^/[a-z0-9-]+/[a-z0-9-]+|^/news/articles/", r"\b(about-our-ads|our-ads|adchoices|privacy|legal|terms|account|member-center|subscriptions)\b|^/(search|news|finance|sports|entertainment|lifestyle|mail|weather|video|autos)/?$"),
 )
 
 PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -93,15 +93,27 @@ def param(c: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(_raw(c), rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
 
 
+def _without_dots(p: Column) -> Column:
+    """A path with its . and .. segments taken out."""
+    parts = F.split(p, "/")
+    last = F.element_at(parts, -1)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    out = F.array_join(kept, "/")
+    folder = last.isin(".", "..") & ~out.endswith("/")
+    return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), F.when(folder, F.concat(out, F.lit("/"))).otherwise(out)).otherwise(p)
+
+
 def absolute(href: Column, base: Column) -> Column:
-    """A link resolved against an absolute base: absolute, protocol-relative, rooted, query, fragment and path-relative links. Other schemes give ''."""
+    """A link resolved against an absolute base: absolute, protocol-relative, rooted, query, fragment and path-relative links, dot segments too. Other schemes give ''."""
     h, b = _raw(href), _raw(base)
     origin = F.concat(scheme(b), F.lit("://"), host(b))
     folder = F.regexp_replace(path(b), "[^/]*$", "")
+    own, tail = F.regexp_extract(h, r"^([^?#]*)(.*)$", 1), F.regexp_extract(h, r"^([^?#]*)(.*)$", 2)
     return (
-        F.when(h == "", "").when(h.rlike(r"(?i)^https?://"), h).when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h)).when(h.startswith("/"), F.concat(origin, h))
+        F.when(h == "", "").when(h.rlike(r"(?i)^https?://"), h).when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h)).when(h.startswith("/"), F.concat(origin, _without_dots(own), tail))
         .when(h.startswith("?"), F.concat(origin, path(b), h)).when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h)).when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "")
-        .otherwise(F.concat(origin, folder, F.regexp_replace(h, r"^\./", "")))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, own)), tail))
     )
 
 
@@ -113,9 +125,13 @@ def url_allowed(c: Column, host_pattern: str | None = None) -> Column:
 
 
 def story_url(source: str, c: Column) -> Column:
-    """One source's own rule for what is a story."""
-    for name, accept, refuse in STORY_RULES:
+    """One source's own rule for what is a story: by its hosts, and by the path in lower case."""
+    for name, hosts, accept, refuse in STORY_RULES:
         if name == source:
-            u = F.lower(_raw(c))
-            return parsed(c) & u.rlike(accept) & ~u.rlike(refuse)
+            p = F.lower(path(c))
+            return parsed(c) & host(c).rlike(hosts) & p.rlike(accept) & ~p.rlike(refuse)
     raise ValueError(f"no rule for {source}")
+
+
+def host_pattern(source: str) -> str:
+    return next(hosts for name, hosts, _, _ in STORY_RULES if name == source)

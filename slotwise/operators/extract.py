@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as rules
+from ..functions import urls
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = ("h1", "h2", "h3", "h4")
 #: Matches of one selector that are looked at.
@@ -85,11 +88,13 @@ def tree(page: str | None) -> Node:
     return b.root
 
 
-_STEP = re.compile(r"(?P<tag>^[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)\s*(?P<q>['\"]?)(?P<val>.*?)(?P=q))?\]")
+_STEP = re.compile(r":has\((?P<has>[^)]*)\)|(?P<tag>^[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)\s*(?P<q>['\"]?)(?P<val>.*?)(?P=q))?\]")
 
 
 def _matches(node: Node, step: str) -> bool:
     for m in _STEP.finditer(step):
+        if m["has"] and not any(_matches(n, m["has"]) for n in node.walk() if n is not node):
+            return False
         if m["tag"] and node.tag != m["tag"].lower():
             return False
         if m["cls"] and m["cls"] not in node.attrs.get("class", "").split():
@@ -140,12 +145,12 @@ def headline(node: Node) -> str:
 def allowed(url: str) -> bool:
     parts = urlsplit(url)
     p = parts.path.lower()
-    return bool(parts.scheme in ("http", "https") and parts.netloc and len(p) >= 4 and not re.search(r"/(video|videos|live|search|account|privacy|terms|about|contact|advertis|newsletter|shop)\b", p))
+    return bool(parts.scheme in ("http", "https") and parts.netloc and len(p) >= 4 and not re.search(urls.SECTIONS, p))
 
 
 def refused(title: str) -> bool:
     t = title.lower()
-    return len(t) < 12 or bool(re.search(r"\b(sign in|subscribe|watch live|about our ads|privacy policy|terms of service|advertise with us)\b", t))
+    return len(t) < rules.SHORTEST_TITLE or bool(re.search(rules.REFUSED_TITLE, t))
 
 
 def meta(root: Node, name: str) -> str:
@@ -176,7 +181,8 @@ def lead_candidates(page: str | None, base: str | None, selectors: list[str]) ->
     return out
 
 
-def _values(x) -> Iterator[dict]:
+def objects(x) -> Iterator[dict]:
+    """All objects in a JSON value, outer ones first, in order."""
     stack = [x]
     while stack:
         v = stack.pop()
@@ -187,82 +193,16 @@ def _values(x) -> Iterator[dict]:
             stack.extend(reversed(v))
 
 
-def json_scripts(root: Node, kind: str = "application/ld+json", name: str | None = None) -> Iterator:
-    for n in root.walk():
-        if n.tag == "script" and (n.attrs.get("type") == kind if name is None else n.attrs.get("id") == name):
-            try:
-                yield json.loads("".join(c for c in n.children if isinstance(c, str)))
-            except ValueError:
-                continue
-
-
-def jsonld_stories(page: str | None, base: str | None) -> list[tuple]:
-    """(title, url) of all objects that have both, anywhere in the page's linked data, first seen by URL."""
-    out, seen = [], set()
-    for doc in json_scripts(tree(page)):
-        for v in _values(doc):
-            title, url = v.get("headline") or v.get("name"), v.get("url") or v.get("@id") or v.get("mainEntityOfPage")
-            if isinstance(url, dict):
-                url = url.get("@id") or url.get("url")
-            if isinstance(title, str) and isinstance(url, str) and title.strip() and (full := urljoin(base or "", url)) not in seen:
-                seen.add(full)
-                out.append((" ".join(title.split()), full))
-    return out
-
-
-def payload_lead(page: str | None) -> tuple | None:
-    """The first acceptable story of an application payload, in the order layouts, packages, items."""
-    for doc in json_scripts(tree(page), name="__NEXT_DATA__"):
-        for holder in _values(doc):
-            for layout in holder.get("layouts") or () if isinstance(holder.get("layouts"), list) else ():
-                for package in layout.get("packages") or () if isinstance(layout, dict) else ():
-                    for item in package.get("items") or () if isinstance(package, dict) else ():
-                        own = item.get("computedValues") or item if isinstance(item, dict) else {}
-                        url, title = own.get("url") or own.get("canonicalUrl") or "", own.get("headline") or own.get("title") or ""
-                        if isinstance(url, str) and isinstance(title, str) and re.search(r"-rcna\d+|/live-blog/", url) and not refused(title):
-                            return " ".join(title.split()), url
-    return None
-
-
-def dom_lead(page: str | None, base: str | None, selectors: tuple[str, ...], accept: str, kicker: str | None = None, most: int = 24) -> tuple | None:
-    """The first headline by selector and then position whose link matches; titles that only name a kicker are passed over."""
-    root = tree(page)
-    for selector in selectors:
-        for i, node in enumerate(select(root, selector)):
-            if i >= most:
-                break
-            a = anchor_of(node)
-            url = urljoin(base or "", a.attrs.get("href", "")) if a is not None else ""
-            title = headline(node)
-            if url and re.search(accept, url) and not refused(title) and not (kicker and re.fullmatch(kicker, title, re.I)):
-                return title, url
-    return None
-
-
-def ranked_stories(page: str | None, base: str | None) -> list[tuple]:
-    """(rank, title, url, related): ten stories from linked data, filled up from links. A link that carries entryId, and shares
-    page and id with a ranked one, is related to it; related links come with rank 1 only, and none is looked for behind the tenth."""
-    rows = jsonld_stories(page, base)[:MOST_LD_ROWS]
-    if len(rows) < RANKS:
-        for i, a in enumerate(n for n in tree(page).walk() if n.tag == "a" and n.attrs.get("href")):
-            if i >= MOST_LINKS or len(rows) >= MOST_ROWS:
-                break
-            title, url = headline(a), urljoin(base or "", a.attrs["href"])
-            if len(title) >= LEAST_HEADLINE and allowed(url):
-                rows.append((title, url))
-    seen, ranked, related = set(), [], []
-    for title, url in rows:
-        if len(ranked) >= RANKS:
-            break
-        bare = url.split("#")[0]
-        if bare in seen:
+def json_scripts(root: Node, kind: str = "application/ld+json", name: str | None = None, most: int | None = None) -> Iterator:
+    """Values of a page's JSON scripts, broken ones left out; only the first `most` scripts are looked at if given."""
+    scripts = (n for n in root.walk() if n.tag == "script" and (n.attrs.get("type") == kind if name is None else n.attrs.get("id") == name))
+    for i, n in enumerate(scripts):
+        if most is not None and i >= most:
+            return
+        try:
+            yield json.loads("".join(c for c in n.children if isinstance(c, str)))
+        except ValueError:
             continue
-        seen.add(bare)
-        if re.search(r"[?&]entryId=", url):
-            related.append({"title": title, "url": url})
-        else:
-            ranked.append((title, url))
-    return [(i, t, u, related[:MOST_RELATED] if i == 1 else []) for i, (t, u) in enumerate(ranked, 1)]
 
 
 def headline_links(page: str | None, base: str | None) -> list[tuple]:
@@ -296,17 +236,22 @@ def page_links(pages: DataFrame) -> DataFrame:
     return _table(pages, headline_links, [("pos", L, "long"), ("title", S, "string"), ("url", S, "string"), ("in_nav", B, "boolean"), ("in_article", B, "boolean")])
 
 
-def page_top10(pages: DataFrame) -> DataFrame:
-    related = pa.list_(pa.struct([("title", S), ("url", S)]))
-    return _table(pages, ranked_stories, [("rank", L, "long"), ("title", S, "string"), ("url", S, "string"), ("related_links", related, "array<struct<title:string,url:string>>")])
+def page_titles(pages: DataFrame, carry_url: bool = False) -> DataFrame:
+    """Text of the page's first h1, and of its title element; null where there is none, or no text in it."""
+
+    def make(h, u):
+        root = tree(h)
+        first = lambda tag: next((n.text() or None for n in root.walk() if n.tag == tag), None)
+        return [(first("h1"), first("title"), u)]
 
+    out = _table(pages, make, [("h1", S, "string"), ("title", S, "string"), ("url", S, "string")])
+    return out if carry_url else out.drop("url")
 
-def page_titles(pages: DataFrame) -> DataFrame:
-    """Headline of the page's first h1, and its title element."""
+
+def page_anchors(pages: DataFrame) -> DataFrame:
+    """All links with an address as they stand: page_id, base (the page's URL), pos, href, title (the link's text)."""
 
     def make(h, u):
-        root = tree(h)
-        first = lambda tag: next((n.text() for n in root.walk() if n.tag == tag), None)
-        return [(first("h1"), first("title"))]
+        return [(u, i, " ".join(a.attrs["href"].split()), a.text()) for i, a in enumerate(n for n in tree(h).walk() if n.tag == "a" and "href" in n.attrs)]
 
-    return _table(pages, make, [("h1", S, "string"), ("title", S, "string")])
+    return _table(pages, make, [("base", S, "string"), ("pos", L, "long"), ("href", S, "string"), ("title", S, "string")])

@@ -10,11 +10,20 @@ def _order() -> list[str]:
     return ["observed_at", "id"]
 
 
-def _changed(cols: list[str], w) -> Column:
-    out = F.lit(False)
-    for c in cols:
-        out = out | ~F.lag(c).over(w).eqNullSafe(F.col(c))
-    return out | (F.row_number().over(w) == 1)
+DAY = "_day"
+
+
+def _by_day(rows: DataFrame, value: Column, group: str) -> tuple[DataFrame, DataFrame]:
+    """rows with their day, `_now` (the value compared) and `_prev` (that of the row before in the day); and for each day `_edge`, the value of the row before it.
+
+    Rows of a group are ordered within days only, so a group is as many tasks' work as it has days; what passes from one day to the
+    next is a row for each.
+    """
+    rows = rows.withColumn(DAY, F.to_date("observed_at")).withColumn("_now", value)
+    rows = rows.withColumn("_prev", F.lag("_now").over(Window.partitionBy(group, DAY).orderBy(*_order())))
+    days = rows.groupBy(group, DAY).agg(F.max_by("_now", F.struct(*_order())).alias("_last"), F.min_by("_now", F.struct(*_order())).alias("_first"))
+    days = days.withColumn("_edge", F.lag("_last").over(Window.partitionBy(group).orderBy(DAY)))
+    return rows, days
 
 
 def islands(obs: DataFrame, by: list[str], attributes: list[str] = (), group: str = "source_id") -> DataFrame:
@@ -22,9 +31,15 @@ def islands(obs: DataFrame, by: list[str], attributes: list[str] = (), group: st
 
     Rows whose first `by` column is null are skipped and break nothing. An attribute is the last in the run that is not null.
     """
-    w = Window.partitionBy(group).orderBy(*_order())
-    rows = obs.where(F.col(by[0]).isNotNull()).withColumn("_new", _changed(by, w).cast("int"))
-    rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows, days = _by_day(obs.where(F.col(by[0]).isNotNull()), F.struct(*by), group)
+    # Steps within the day; the day's first row is one if it differs from the row before the day.
+    step = F.when(F.col("_prev").isNotNull() & ~F.col("_prev").eqNullSafe(F.col("_now")), 1).otherwise(0)
+    rows = rows.withColumn("_step", F.sum(step).over(Window.partitionBy(group, DAY).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)))
+    steps = rows.groupBy(group, DAY).agg(F.max("_step").alias("_steps"))
+    days = days.join(steps, [group, DAY]).withColumn("_new", F.when(F.col("_edge").eqNullSafe(F.col("_first")), 0).otherwise(1))
+    upto = Window.partitionBy(group).orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.select(group, DAY, (F.sum("_new").over(upto) + F.sum("_steps").over(upto) - F.col("_steps")).alias("_base"))
+    rows = rows.join(days, [group, DAY]).withColumn("island", (F.col("_base") + F.col("_step")).cast("long"))
     last = [F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.struct(*_order()))).alias(a) for a in attributes]
     return rows.groupBy(group, "island", *by).agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), F.count("*").alias("seen_count"), *last)
 
@@ -39,10 +54,11 @@ def current_since(obs: DataFrame, key: str = "url", group: str = "source_id") ->
 
 def changed_only(obs: DataFrame, cols: list[str], group: str = "source_id") -> DataFrame:
     """Rows that differ from the one before them in any of cols; null and '' are the same."""
-    w = Window.partitionBy(group).orderBy(*_order())
-    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
-    rows = obs.withColumn("_now", F.struct(*plain)).withColumn("_before", F.lag("_now").over(w))
-    return rows.where(F.col("_before").isNull() | (F.col("_before") != F.col("_now"))).drop("_now", "_before")
+    plain = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
+    rows, days = _by_day(obs, plain, group)
+    rows = rows.join(days.select(group, DAY, "_edge"), [group, DAY])
+    before = F.coalesce("_prev", "_edge")
+    return rows.where(before.isNull() | (before != F.col("_now"))).select(*obs.columns)
 
 
 def current_state(obs: DataFrame, item: list[str], group: str = "source_id") -> DataFrame:

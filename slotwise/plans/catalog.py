@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import story, text, urls
-from ..operators import diff, extract, frames, history, matching, scoring
+from ..operators import diff, extract, frames, heroes, history, matching, scoring
 from ..sources import readers, registry, sinks
 from ..streaming import streams
 from . import views
-from .views import CANDIDATES_SQL, HEADLINES_SQL, OBSERVATIONS_SQL, PAGE_STORIES_SQL, SNAPSHOTS_SQL, WHOLE_TEXTS_SQL
+from .views import CANDIDATES_SQL, OBSERVATIONS_SQL, PAGE_STORIES_SQL, SNAPSHOTS_SQL, WHOLE_TEXTS_SQL
 
 NOW = "2024-01-30 00:00:00"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,11 +276,27 @@ def url_allow(spark, d):
     return views.table(spark, d, "pages").select("page_id", urls.url_allowed(F.col("url")).alias("allowed"))
 
 
-@query(f"WITH src AS (SELECT page_id, url FROM pages), u AS ({_url_parts()}) " + " UNION ALL ".join(f"SELECT '{n}' AS source_id, count(*) FILTER (WHERE ok AND regexp_matches(lower(raw), '{a}') AND NOT regexp_matches(lower(raw), '{r}')) AS stories FROM u" for n, a, r in urls.STORY_RULES))
+#: Story-like and other paths that each source's rule is tried on, under its own host and a foreign one. Fixed values.
+_PATHS = ("/2024/01/05/politics/a-long-story", "/news/articles/c1234abcd", "/story/news/2024/01/05/some-story/1", "/us-news/2024/jan/05/a-story", "/news/live/abc", "/live-blog/x-rcna123", "/politics/a-senator-says", "/article/abc-1", "/videos/clip-1", "/video/clip", "/account/me", "/live", "/news", "/football/live/x", "/about-our-ads")
+_HOSTS = ("abcnews.go.com", "www.cbsnews.com", "www.nbcnews.com", "edition.cnn.com", "www.theguardian.com", "www.usatoday.com", "apnews.com", "www.latimes.com", "www.npr.org", "www.bbc.com", "www.foxnews.com", "www.yahoo.com", "cbsnews.com.evil.example")
+#: What the rules must say: for each source its accepted paths, by their places in _PATHS, written out by hand.
+_STORIES = {
+    "abc1": (0, 1, 2, 3, 5, 6, 7, 12), "cbs1": (0, 1, 2, 3, 4, 5, 6, 7, 11, 12, 13, 14), "nbc1": (0, 2, 5), "cnn1": (0,), "guardian1": (3, 4), "usat1": (2,), "ap1": (7,), "latimes1": (2, 4, 5, 11, 13), "npr1": (0,), "bbc1": (1, 4),
+    "fox1": (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 13), "yahoo1": (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 13),
+}
+_OWN = {n: h for n, h in zip([r[0] for r in urls.STORY_RULES], _HOSTS, strict=False)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS source_id, page_id FROM pages WHERE page_id % {len(_HOSTS)} = {_HOSTS.index(_OWN[n])} AND (page_id // {len(_HOSTS)} % {len(_PATHS)}) IN ({', '.join(map(str, _STORIES[n]))})" for n in _OWN))
 def story_url_rules(spark, d):
+    """Which of the URLs made of hosts and paths, one for each page, are stories of which source; the SQL has the expected answers, not the rules."""
     p = views.table(spark, d, "pages")
-    counts = p.agg(*[F.count_if(urls.story_url(n, F.col("url"))).alias(n) for n, _, _ in urls.STORY_RULES])
-    return counts.unpivot([], [n for n, _, _ in urls.STORY_RULES], "source_id", "stories")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    n = len(_HOSTS)
+    made = F.concat(F.lit("https://"), pick(_HOSTS, F.col("page_id") % n), pick(_PATHS, F.floor(F.col("page_id") / n) % len(_PATHS)), F.lit("?u=/news/articles/x&d=/2024/01/05/"))
+    u = p.select("page_id", made.alias("url"))
+    each = F.array(*[F.when(urls.story_url(r[0], F.col("url")), F.lit(r[0])) for r in urls.STORY_RULES])
+    return u.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("source_id"), "page_id")
 
 
 # ---- text
@@ -311,45 +328,24 @@ def _keywords(norm: str) -> str:
     return f"list_filter({kept}, lambda w, i: list_position({kept}, w) = i)[1:{text.MOST_KEYWORDS}]"
 
 
-@query(f"WITH {HEADLINES_SQL} SELECT id, {_clean('title')} AS title FROM head")
-def clean_text(spark, d):
-    return views.headlines(spark, d).select("id", text.clean_text(F.col("title")).alias("title"))
-
-
 @query(f"WITH {WHOLE_TEXTS_SQL} SELECT id, {_clean('title')} AS title FROM head")
-def clean_text_whole(spark, d):
+def clean_text(spark, d):
     return views.whole_texts(spark, d).select("id", text.clean_text(F.col("title")).alias("title"))
 
 
-@query(f"WITH {HEADLINES_SQL}, n AS (SELECT id, title || ' - 2024-01-05T10:11:12Z 5 mins ago | ' AS title FROM head) SELECT id, {_noise('title')} AS title FROM n")
-def strip_noise(spark, d):
-    h = views.headlines(spark, d).withColumn("title", F.concat("title", F.lit(" - 2024-01-05T10:11:12Z 5 mins ago | ")))
-    return h.select("id", text.strip_noise(F.col("title")).alias("title"))
-
-
 @query(f"WITH {WHOLE_TEXTS_SQL}, n AS (SELECT id, title || ' - 2024-01-05T10:11:12Z 5 mins ago | ' AS title FROM head) SELECT id, {_noise('title')} AS title FROM n")
-def strip_noise_whole(spark, d):
+def strip_noise(spark, d):
     h = views.whole_texts(spark, d).withColumn("title", F.concat("title", F.lit(" - 2024-01-05T10:11:12Z 5 mins ago | ")))
     return h.select("id", text.strip_noise(F.col("title")).alias("title"))
 
 
-@query(f"WITH {HEADLINES_SQL} SELECT id, {_normal('title')} AS title_norm FROM head")
-def normalize_title(spark, d):
-    return views.headlines(spark, d).select("id", text.normalize_title(F.col("title")).alias("title_norm"))
-
-
 @query(f"WITH {WHOLE_TEXTS_SQL} SELECT id, {_normal('title')} AS title_norm FROM head")
-def normalize_title_whole(spark, d):
+def normalize_title(spark, d):
     return views.whole_texts(spark, d).select("id", text.normalize_title(F.col("title")).alias("title_norm"))
 
 
-@query(f"WITH {HEADLINES_SQL}, n AS (SELECT id, {_normal('title')} AS t FROM head) SELECT id, array_to_string({_keywords('t')}, ' ') AS keywords FROM n")
-def title_keywords(spark, d):
-    return views.titled(views.headlines(spark, d)).select("id", F.array_join("keywords", " ").alias("keywords"))
-
-
 @query(f"WITH {WHOLE_TEXTS_SQL}, n AS (SELECT id, {_normal('title')} AS t FROM head) SELECT id, array_to_string({_keywords('t')}, ' ') AS keywords FROM n")
-def title_keywords_whole(spark, d):
+def title_keywords(spark, d):
     return views.titled(views.whole_texts(spark, d)).select("id", F.array_join("keywords", " ").alias("keywords"))
 
 
@@ -381,13 +377,8 @@ def blocked_class(spark, d):
     return o.select("id", text.blocked_reason(status, F.col("url"), page, F.col("error")).alias("blocked_reason"))
 
 
-@query(f"WITH {HEADLINES_SQL} SELECT id, length(title) < 12 OR regexp_matches(lower(title), '{text.REFUSED_TITLE}') AS rejected, regexp_matches(title, '{text.SECTION_TITLE}') AS section FROM head")
-def title_reject(spark, d):
-    return views.headlines(spark, d).select("id", text.title_rejected(F.col("title")).alias("rejected"), text.section_title(F.col("title")).alias("section"))
-
-
 @query(f"WITH {WHOLE_TEXTS_SQL} SELECT id, length(title) < 12 OR regexp_matches(lower(title), '{text.REFUSED_TITLE}') AS rejected, regexp_matches(title, '{text.SECTION_TITLE}') AS section FROM head")
-def title_reject_whole(spark, d):
+def title_reject(spark, d):
     return views.whole_texts(spark, d).select("id", text.title_rejected(F.col("title")).alias("rejected"), text.section_title(F.col("title")).alias("section"))
 
 
@@ -405,12 +396,12 @@ def error_classes(spark, d):
 _MATCH = """CASE WHEN least(len(a.kw), len(b.kw)) <= 5 THEN ov >= 2 AND ov / un >= 0.24 ELSE ov >= 3 AND ov / un >= 0.30 END"""
 
 
-@query(f"""WITH {HEADLINES_SQL}, n AS (SELECT id, {_normal('title')} AS t FROM head), h AS (SELECT id, {_keywords('t')} AS kw FROM n),
+@query(f"""WITH {PAGE_STORIES_SQL}, head AS (SELECT page_id AS id, title FROM story), n AS (SELECT id, {_normal('title')} AS t FROM head), h AS (SELECT id, {_keywords('t')} AS kw FROM n),
 m AS (SELECT a.id, b.id AS anchor, round(ov / un, 9) AS score FROM (SELECT a, b, len(list_intersect(a.kw, b.kw)) AS ov, len(list_distinct(list_concat(a.kw, b.kw))) AS un FROM h a, h b WHERE b.id % 20 = 0 AND a.id <> b.id) WHERE {_MATCH})
 SELECT id, count(*) AS n_anchors, arg_max(anchor, (score, -anchor)) AS best_anchor, max(score) AS best_score FROM m GROUP BY id""")
 def keyword_similarity(spark, d):
-    """Every headline against the anchors: those whose id is divisible by 20."""
-    h = views.titled(views.headlines(spark, d)).select("id", "keywords")
+    """Every page's title against the anchors: those whose id is divisible by 20."""
+    h = views.titled(views.page_stories(spark, d).withColumnRenamed("page_id", "id")).select("id", "keywords")
     return matching.similar(h, h.where("id % 20 = 0"))
 
 
@@ -441,7 +432,6 @@ def moment(events: DataFrame, now: str, source_id: str | None = None, event_id=N
     source's latest, then any. Rows of lead and ranked slots from lookback before it to forward behind it that match it, in order
     of time; with start_earliest they begin at the earliest match, else at the anchor."""
     back, ahead = story.bounded("lookback_minutes", lookback_minutes), story.bounded("forward_minutes", forward_minutes)
-    rows = events.withColumn("s", story.story(F.col("url"), F.col("title"))).where((F.col("slot_key") == "hero:1") | F.col("slot_key").rlike(story.SLOT_TOP))
     if event_id is not None:
         anchor = events.where(F.col("id") == event_id).withColumn("p", F.lit(0))
     else:
@@ -449,18 +439,30 @@ def moment(events: DataFrame, now: str, source_id: str | None = None, event_id=N
         own = F.col("source_id") == (source_id or "")
         same = urls.normalize_url(F.col("url")) == urls.normalize_url(F.lit(url or ""))
         anchor = recent.withColumn("p", F.when(own & same, 0).when(own, 1).otherwise(2))
-    anchor = anchor.orderBy("p", F.desc("observed_at"), "id").limit(1).withColumn("s", story.story(F.col("url"), F.col("title")))
-    anchor = anchor.select(F.col("observed_at").alias("t0"), F.col("id").alias("anchor_id"), *[F.col(f"s.{c}").alias(f"a_{c}") for c in ("canonical_url", "fingerprint", "keywords")])
-    row, one = {k: F.col(f"s.{k}") for k in ("canonical_url", "fingerprint", "keywords")}, {k: F.col(f"a_{k}") for k in ("canonical_url", "fingerprint", "keywords")}
-    inside = (F.col("observed_at") >= F.col("t0") - F.expr(f"interval {back} minutes")) & (F.col("observed_at") <= F.col("t0") + F.expr(f"interval {ahead} minutes"))
-    met = rows.join(F.broadcast(anchor), inside & matching.matches_cluster(row, one))  # one anchor row
+    # The anchor is one row. It is read first, so that its time bounds reach the scan and its story is a constant.
+    found = anchor.orderBy("p", F.desc("observed_at"), "id").limit(1).withColumn("s", story.story(F.col("url"), F.col("title"))).select("observed_at", "id", "s.canonical_url", "s.fingerprint", "s.keywords").first()
+    names = ("canonical_url", "fingerprint", "keywords")
+    rows = events.where((F.col("slot_key") == "hero:1") | F.col("slot_key").rlike(story.SLOT_TOP))
+    if found is None:
+        rows = rows.limit(0)
+        one = {"canonical_url": F.lit(""), "fingerprint": F.lit(""), "keywords": F.array().cast("array<string>")}
+        t0, anchor_id = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast(events.schema["id"].dataType)
+    else:
+        t0, anchor_id = F.lit(found.observed_at).cast("timestamp_ntz"), F.lit(found.id).cast(events.schema["id"].dataType)
+        one = {"canonical_url": F.lit(found.canonical_url), "fingerprint": F.lit(found.fingerprint), "keywords": F.array(*map(F.lit, found.keywords or ())).cast("array<string>")}
+        rows = rows.where((F.col("observed_at") >= F.lit(found.observed_at - timedelta(minutes=back)).cast("timestamp_ntz")) & (F.col("observed_at") <= F.lit(found.observed_at + timedelta(minutes=ahead)).cast("timestamp_ntz")))
+    rows = rows.withColumn("s", story.story(F.col("url"), F.col("title"))).withColumns({"t0": t0, "anchor_id": anchor_id})
+    met = rows.where(matching.matches_cluster({k: F.col(f"s.{k}") for k in names}, one))
     met = met if start_earliest else met.where("observed_at >= t0")
     return registry.with_name(met.select("anchor_id", "t0", "id", "observed_at", "source_id", "slot_key", "title", "url", story.slot_rank(F.col("slot_key")).alias("rank")))
 
 
-@query(f"""WITH {OBSERVATIONS_SQL}, a AS (SELECT * FROM obs WHERE observed_at >= {SINCE} 24 HOURS AND observed_at <= '{NOW}' ORDER BY CASE WHEN source_id = 'src3' THEN CASE WHEN url = 'https://news.example/story/1' THEN 0 ELSE 1 END ELSE 2 END, observed_at DESC, id LIMIT 1)
-SELECT a.id AS anchor_id, a.observed_at AS t0, o.id, o.observed_at, o.source_id, o.slot_key, o.title, o.url, CASE WHEN o.slot_key = 'hero:1' THEN 1 ELSE CAST(substr(o.slot_key, 7) AS INT) END AS rank, o.source_id AS source_name
-FROM obs o, a WHERE o.observed_at >= a.observed_at - INTERVAL 720 MINUTES AND o.observed_at <= a.observed_at + INTERVAL 360 MINUTES AND coalesce(o.url, '') = coalesce(a.url, '-')""")
+@query(f"""WITH {OBSERVATIONS_SQL}, src AS (SELECT id, observed_at, source_id, slot_key, title, url FROM obs), u AS ({_url_parts()}), n AS (SELECT * EXCLUDE (ps), {_NORMAL} AS cu, {_normal('title')} AS tn FROM u),
+s AS (SELECT *, {_keywords('tn')} AS kw, sha1(CASE WHEN cu <> '' AND tn <> '' THEN cu || '|' || tn WHEN cu <> '' THEN cu WHEN tn <> '' THEN tn ELSE 'unknown' END) AS fp FROM n),
+one AS (SELECT * FROM s WHERE observed_at >= {SINCE} 24 HOURS AND observed_at <= '{NOW}' ORDER BY CASE WHEN source_id = 'src3' THEN CASE WHEN cu = 'https://news.example/story/1' THEN 0 ELSE 1 END ELSE 2 END, observed_at DESC, id LIMIT 1),
+x AS (SELECT a, b, len(list_intersect(a.kw, b.kw)) AS ov, greatest(len(list_distinct(list_concat(a.kw, b.kw))), 1) AS un FROM s a, one b WHERE a.observed_at >= b.observed_at - INTERVAL 720 MINUTES AND a.observed_at <= b.observed_at + INTERVAL 360 MINUTES)
+SELECT b.id AS anchor_id, b.observed_at AS t0, a.id AS id, a.observed_at AS observed_at, a.source_id AS source_id, a.slot_key AS slot_key, a.title AS title, a.url AS url,
+  CASE WHEN a.slot_key = 'hero:1' THEN 1 ELSE CAST(substr(a.slot_key, 7) AS INT) END AS rank, a.source_id AS source_name FROM x WHERE (b.cu <> '' AND a.cu = b.cu) OR a.fp = b.fp OR {_MATCH}""")
 def moment_build(spark, d):
     return moment(views.observations(spark, d), NOW, source_id="src3", url="https://www.news.example/story/1/?utm_source=x", lookback_minutes=9999, forward_minutes=9999)
 
@@ -491,13 +493,15 @@ def quick_links(spark, d):
 # ---- extraction and scoring
 
 
-@query("SELECT page_id, regexp_replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '\\s+', ' ', 'g') AS h1_raw FROM pages")
+_H1 = views.plain_sql("regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)")
+
+
+@query(f"SELECT page_id, {_H1} AS h1_raw FROM pages")
 def page_h1(spark, d):
-    p = views.table(spark, d, "pages")
-    return p.select("page_id", F.regexp_replace(F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)), r"\s+", " ").alias("h1_raw"))
+    return extract.page_titles(views.table(spark, d, "pages")).select("page_id", F.coalesce("h1", F.lit("")).alias("h1_raw"))
 
 
-@query()
+@query(f"SELECT page_id, nullif({_H1}, '') AS h1, nullif({views.plain_sql("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title FROM pages")
 def page_titles(spark, d):
     return extract.page_titles(views.table(spark, d, "pages"))
 
@@ -513,9 +517,61 @@ def page_links(spark, d):
     return extract.page_links(views.table(spark, d, "pages"))
 
 
-@query()
+#: By source: its host, what stands before and behind its lead's link, and the link's path. Fixed values.
+_FRONTS = (
+    ("abc1", "abcnews.go.com", "<main><div data-testid='prism-card'>", "</div></main>", "/US/story-#/story"),
+    ("cbs1", "www.cbsnews.com", "<main><h4 class='item__hed'>", "</h4></main>", "/news/story-#/"),
+    ("usat1", "www.usatoday.com", "<main><div>", "</div></main>", "/story/news/2024/#/"),
+    ("nbc1", "www.nbcnews.com", "<main><p>", "</p></main>", "/news/story-rcna#"),
+    ("cnn1", "www.cnn.com", "<main><h2>", "</h2></main>", "/2024/01/05/politics/story-#"),
+    ("guardian1", "www.theguardian.com", "<main><div>", "</div></main>", "/us-news/2024/jan/#"),
+    ("ap1", "apnews.com", "<main><h3>", "</h3></main>", "/article/story-#"),
+    ("latimes1", "www.latimes.com", "<main><h1 class='x promo-title'>", "</h1></main>", "/world/story/#"),
+    ("npr1", "www.npr.org", "<main><article>", "</article></main>", "/2024/01/05/#/a-story"),
+    ("bbc1", "www.bbc.com", "<main><h2>", "</h2></main>", "/news/articles/c#"),
+    ("fox1", "www.foxnews.com", "<main class='main-content-primary'><article class='article story-1'>", "</article></main>", "/politics/a-story-#"),
+    ("yahoo1", "www.yahoo.com", "<main>", "</main>", "/news/a-long-story-#.html"),
+)
+_FRONT = "(VALUES " + ", ".join(f"({i}, '{f[0]}', '{f[1]}', '{f[4]}')" for i, f in enumerate(_FRONTS)) + ") AS f(k, source_id, host, path)"
+
+
+@query(f"""SELECT page_id, source_id, v < 3 AS ok, CASE WHEN v = 3 THEN source_id || ': headline not found' END AS error,
+  CASE v WHEN 0 THEN 'The lead story number ' || page_id WHEN 1 THEN 'The second story number ' || page_id WHEN 2 THEN 'The page itself, number ' || page_id END AS title,
+  CASE WHEN v < 3 THEN 'https://' || regexp_replace(host, '^www\\.', '') || rtrim(replace(path, '#', page_id || CASE v WHEN 1 THEN '2' WHEN 2 THEN '3' ELSE '' END), '/') END AS url
+FROM (SELECT page_id, page_id % 12 AS k, page_id // 12 % 4 AS v FROM pages) JOIN {_FRONT} USING (k)""")
+def site_heroes(spark, d):
+    """The lead of a front page of each source: one whose first link is the lead (0), one whose first links are an account page and another site's (1), one that has only its own title (2), one without a story (3)."""
+    p = views.table(spark, d, "pages").select("page_id", (F.col("page_id") % 12).alias("k"), (F.floor(F.col("page_id") / 12) % 4).alias("v"))
+    link = lambda to, label: f"<a class='Link' data-key='main-story' data-testid='prism-linkbase' data-ylk='sec:strm;ct:story' data-link-name='group-0' href='{to}'>{label}</a>"
+    filled = lambda x: F.replace(F.lit(x), F.lit("#"), F.col("page_id").cast("string"))
+    pages = []
+    for name, host, before, behind, path in _FRONTS:
+        first = before + link(path + "?utm_source=x", "The lead story number # - 5 min ago") + behind
+        skipped = before + link("/account/clip-#", "An account page, not it #") + link("https://other.example" + path, "A story of another site #") + link(path, "Too short") + behind
+        second = skipped + before + link(path.replace("#", "#2"), " The  second story number # | ") + behind
+        own = f"<head><meta property='og:title' content='The page itself, number #'><link rel='canonical' href='https://{host}{path.replace('#', '#3')}'></head>" + skipped
+        html = F.element_at(F.array(*map(filled, (first, second, own, skipped))), (F.col("v") + 1).cast("int"))
+        pages.append(F.struct(F.lit(name).alias("source_id"), F.lit(f"https://{host}/").alias("url"), html.alias("html")))
+    return heroes.heroes(p.select("page_id", F.element_at(F.array(*pages), (F.col("k") + 1).cast("int")).alias("x")).select("page_id", "x.*")).select("page_id", "source_id", "ok", "error", "title", "url")
+
+
+@query("""SELECT page_id, r::BIGINT AS rank, CASE WHEN r <= k THEN 'Story ' || r || ' of page ' || page_id ELSE 'A link number ' || (r - k) || ' of page ' || page_id END AS title,
+  'https://x.example/' || CASE WHEN r = 1 THEN 'live-blog/' || page_id || '?id=7' WHEN r <= k THEN 's/' || r ELSE 'l/' || (r - k) END AS url, CASE WHEN r = 1 THEN page_id % 3 ELSE 0 END::BIGINT AS n_related
+FROM (SELECT page_id, k, unnest(range(1, 11)) AS r FROM (SELECT page_id, page_id % 6 + 1 AS k FROM pages))""")
 def page_top10(spark, d):
-    return extract.page_top10(views.table(spark, d, "pages"))
+    """The ranked list of made-up pages: up to six stories in linked data beside an organisation, then links of main, with a navigation, a refused link and repeated ones among them, and entries of the first story."""
+    p = views.table(spark, d, "pages").select("page_id")
+    n = F.col("page_id").cast("string")
+    k, more = (F.col("page_id") % 6 + 1).cast("int"), (F.col("page_id") % 3).cast("int")
+    entry = lambda i: F.concat(F.lit('{"@type":"ListItem","item":{"name":"Story '), i.cast("string"), F.lit(" of page "), n, F.lit('","url":"/'), F.when(i == 1, F.concat(F.lit("live-blog/"), n, F.lit("?id=7"))).otherwise(F.concat(F.lit("s/"), i.cast("string"))), F.lit('"}}'))
+    kin = lambda i: F.concat(F.lit("<a href='/live-blog/"), n, F.lit("?id=7&amp;entryId="), i.cast("string"), F.lit("'>An entry of the live blog, "), i.cast("string"), F.lit("</a>"))
+    link = lambda i: F.concat(F.lit("<a href='/l/"), i.cast("string"), F.lit("#c'>A <b>link</b> number "), i.cast("string"), F.lit(" of page "), n, F.lit("</a><a href='/l/"), i.cast("string"), F.lit("?utm_source=a'>The same link once more</a>"))
+    listed = F.concat(F.lit('<script type="application/ld+json">[{"@type":"Organization","name":"An organisation of this name","url":"/o"},{"@type":["ItemList"],"itemListElement":['), F.array_join(F.transform(F.sequence(F.lit(1), k), entry), ","), F.lit("]}]</script>"))
+    around = "<nav><a href='/n'>A link of the navigation</a></nav><a href='/out'>A link outside of the main part</a><main><header><a href='/h'>A link of the header of main</a></header><a href='/video/1'>A link to some video here</a>"
+    entries = F.array_join(F.transform(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), more), kin), "")
+    page = F.concat(listed, F.lit(around), entries, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), link), ""), F.lit("</main>"))
+    out = heroes.top10(p.select("page_id", F.lit("https://www.x.example/").alias("url"), page.alias("html")))
+    return out.select("page_id", "rank", "title", "url", F.size("related_links").cast("long").alias("n_related"))
 
 
 _FEATURES = {"article_url": "(?i)^/[a-m]", "live_url": "(?i)e", "numbered_url": r"\d", "section_url": "(?i)th", "in_main": "(?i)^/t", "in_chrome": "(?i)[.,]$", "generic_title": "(?i)^/the$", "section_title": "(?i)^/of$", "has_image": "(?i)n", "headline": "(?i)d$"}
@@ -656,29 +712,32 @@ def _as_observations(e: DataFrame) -> DataFrame:
     )
 
 
-def _checkpoint(spark: SparkSession) -> str:
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; a local session without one, as in tests, takes its own disk."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slotwise-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="slotwise-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"""WITH {OBSERVATIONS_SQL} SELECT time_bucket(INTERVAL '5 minutes', observed_at) AS bucket, source_id, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok FROM obs GROUP BY ALL""")
 def stream_buckets(spark, d):
-    import uuid
-
-    got = streams.run_to_table(streams.buckets(_as_observations(_stream(spark, d))), f"buckets_{uuid.uuid4().hex}", _checkpoint(spark), "complete")
-    return got.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    at = _folder(spark)
+    got = streams.run_to_files(streams.buckets(streams.distinct_events(_as_observations(_stream(spark, d))), watermark=None), at, f"{at}/checkpoint", "update")
+    last = got.groupBy("bucket", "source_id").agg(F.max_by(F.struct("n", "n_ok"), "n").alias("x"))  # counts only grow
+    return last.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "source_id", "x.*")
 
 
 @query(f"WITH {OBSERVATIONS_SQL}, {BY_STORY} SELECT source_id, island::BIGINT AS island, url, title, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, count(*) AS seen_count FROM isl GROUP BY source_id, island, url, title")
 def stream_history(spark, d):
-    import uuid
-
-    got = streams.run_to_table(streams.history(_as_observations(_stream(spark, d))), f"history_{uuid.uuid4().hex}", _checkpoint(spark), "update")
-    last = got.groupBy("source_id", "island").agg(F.max_by(F.struct("url", "title", "first_seen_at", "last_seen_at", "seen_count"), "seen_count").alias("x")).select("source_id", "island", "x.*")
-    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
+    at = _folder(spark)
+    got = streams.run_to_files(streams.history(_as_observations(_stream(spark, d))), at, f"{at}/checkpoint", "update")
+    return streams.latest_history(got).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,9 +52,10 @@ def documents(obs: DataFrame, items: DataFrame, now: str) -> dict[str, DataFrame
 
 
 def publish_all(obs: DataFrame, items: DataFrame, now: str, path: str) -> None:
-    """Write all documents under path; if one can't be made, a `failure` document says why."""
+    """Write all documents under path; if one can't be made, a `failure` document says why, and the error is raised."""
     try:
         for name, df in documents(obs, items, now).items():
             sinks.publish(df, f"{path}/{name}")
-    except Exception as e:  # noqa: BLE001
+    except Exception as e:
         sinks.failure(obs.sparkSession, f"{path}/failure", e)
+        raise

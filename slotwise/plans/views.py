@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import story, text, urls
-from ..operators import diff
+from ..operators import diff, extract
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,15 +58,6 @@ snap AS (
     sha1(c_nationkey || '|' || title) AS fingerprint FROM ranks WHERE rank <= 10)"""
 
 
-def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 80 characters of every document as a headline of its source."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("title"))
-
-
-HEADLINES_SQL = "head AS (SELECT doc_id AS id, source AS source_id, substr(coalesce(text, ''), 1, 80) AS title FROM documents)"
-
-
 def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of every document as a headline of its source."""
     d = table(spark, sf_dir, "documents")
@@ -77,28 +68,33 @@ WHOLE_TEXTS_SQL = "head AS (SELECT doc_id AS id, source AS source_id, coalesce(t
 
 
 def page_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with their URL and the title element, read by a pattern."""
+    """Pages with their URL and the text of the title element, as the parser reads it; a page without one has ''."""
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", "url", F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)</title>", 1).alias("title"))
+    return extract.page_titles(p, carry_url=True).select("page_id", "url", F.coalesce("title", F.lit("")).alias("title"))
+
 
+def plain_sql(markup: str) -> str:
+    """Text of a piece of markup in SQL: tags go, character references of the tables are decoded, white space collapses."""
+    t = f"regexp_replace({markup}, '<[^>]*>', '', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        t = f"replace({t}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({t}, '[\\s\u00a0]+', ' ', 'g'))"
 
-PAGE_STORIES_SQL = "story AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title FROM pages)"
+
+PAGE_STORIES_SQL = f"story AS (SELECT page_id, url, {plain_sql("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages)"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links of all pages in document order: page_id, pos, url, title, and a made-up top_y that grows with the position."""
-    p = table(spark, sf_dir, "pages")
-    link = r'<a href="([^"]*)">([^<]*)</a>'
-    html = F.coalesce("html", F.lit(""))
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(link), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(link), F.lit(2)).alias("title"))
-    rows = p.select("page_id", F.col("url").alias("base"), F.posexplode(both).alias("pos", "a"))
-    return rows.select("page_id", "base", F.col("pos").cast("long").alias("pos"), F.col("a.href").alias("href"), F.col("a.title").alias("title"), (F.col("pos") * 260 + F.length("a.title") * 7).cast("double").alias("top_y"))
+    rows = extract.page_anchors(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "base", "pos", "href", "title", (F.col("pos") * 260 + F.length("title") * 7).cast("double").alias("top_y"))
 
 
-CANDIDATES_SQL = """cand AS (
-  SELECT page_id, base, (i - 1)::BIGINT AS pos, hrefs[i] AS href, titles[i] AS title, ((i - 1) * 260 + length(titles[i]) * 7)::DOUBLE AS top_y FROM (
+_LINK = '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+CANDIDATES_SQL = f"""cand AS (
+  SELECT *, (pos * 260 + length(title) * 7)::DOUBLE AS top_y FROM (SELECT page_id, base, (i - 1)::BIGINT AS pos, {plain_sql("hrefs[i]")} AS href, {plain_sql("titles[i]")} AS title FROM (
     SELECT page_id, base, hrefs, titles, unnest(range(1, len(hrefs) + 1)) AS i FROM (
-      SELECT page_id, url AS base, regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">([^<]*)</a>', 2) AS titles FROM pages)))"""
+      SELECT page_id, url AS base, regexp_extract_all(coalesce(html, ''), '{_LINK}', 1) AS hrefs, regexp_extract_all(coalesce(html, ''), '{_LINK}', 2) AS titles FROM pages))))"""
 
 
 def titled(rows: DataFrame) -> DataFrame:

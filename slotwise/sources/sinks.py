@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import story, text, urls
@@ -20,16 +21,24 @@ def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key is not there yet; returns how many."""
-    spark = df.sparkSession
+def _stored(spark, path: str) -> DataFrame | None:
     try:
-        there = spark.read.parquet(path).select(key).distinct()
-        df = df.join(there, key, "left_anti")
+        return spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df = df.dropDuplicates([key])
+        return None
+
+
+def unseen(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Rows whose key is not stored yet."""
+    there = _stored(df.sparkSession, path)
+    return df if there is None else df.join(there.select(key).distinct(), key, "left_anti")
+
+
+def append_new(df: DataFrame, path: str, key: str) -> int:
+    """Append rows whose key is not there yet; returns how many."""
+    df = unseen(df, path, key).dropDuplicates([key])
     n = df.count()
     if n:
         append(df, path)
@@ -37,14 +46,32 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
 
 
 def append_changed(runs: DataFrame, path: str) -> None:
-    """Attempt rows that differ from the one before in title, url, ok or error."""
-    append(history.changed_only(runs, ["title", "url", "ok", "error"]), path)
+    """Attempt rows that differ in title, url, ok or error from the one before: in the batch, or the source's latest row that is stored already."""
+    there = _stored(runs.sparkSession, path)
+    rows = runs.withColumn("_kept", F.lit(False))
+    if there is not None:
+        order = F.struct("observed_at", "id")
+        known = there.join(F.broadcast(runs.select("source_id").distinct()), "source_id", "left_semi")  # a row for each source
+        last = known.groupBy("source_id").agg(F.max_by(F.struct(*there.columns), order).alias("x")).select("x.*")
+        rows = rows.unionByName(last.select(*[c for c in runs.columns if c in there.columns]).withColumn("_kept", F.lit(True)), allowMissingColumns=True)
+    append(history.changed_only(rows, ["title", "url", "ok", "error"]).where("not _kept").drop("_kept"), path)
+
+
+def diff_events(changes: DataFrame, swaps: DataFrame | None = None) -> DataFrame:
+    """Change events as rows to store, each under a key made of its run, code and story; swaps of the lead (`diff.hero_swaps`) are events of their own, HERO_SWAP."""
+    rows = changes.select("source_id", "run_id", "observed_at", "event_type", "key", "from_rank", "to_rank", "from_title", "to_title", "url", "seq")
+    if swaps is not None:
+        lead = swaps.where("hero_swap").select("source_id", "run_id", "observed_at", F.lit("HERO_SWAP").alias("event_type"), F.col("hero_key").alias("key"), F.lit(3).cast("long").alias("seq"))
+        rows = rows.unionByName(lead, allowMissingColumns=True)
+    return rows.withColumn("id", F.sha1(F.concat_ws("|", "source_id", "run_id", "event_type", "key").cast("binary")))
 
 
 def ranked_events(items: DataFrame, batch: bool = False, most: int = 10) -> DataFrame:
-    """Event rows of a ranked snapshot: finite ranks only, slot top10:rank. The batch job takes ten and its own canonical URL."""
+    """Event rows of a ranked snapshot: finite ranks only, slot top10:rank. The batch job takes the first ten such rows, whatever their ranks, and its own canonical URL."""
     rows = items.withColumn("rank", F.col("rank").try_cast("int")).where("rank is not null")
-    rows = rows.where(F.col("rank") <= most) if batch else rows
+    if batch:
+        first = Window.partitionBy("source_id", "observed_at").orderBy("rank", "url", "title")
+        rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
     url = urls.canonicalize_url(F.col("url")) if batch else urls.normalize_url(F.col("url"))
     title = text.normalize_title(F.col("title"))
     return rows.select(
@@ -76,12 +103,12 @@ def failure(spark, path: str, error: Exception) -> None:
 
 
 def with_retry(work: Callable[[], object], attempts: int = 4, base_ms: int = 700, transient: Callable[[Exception], bool] = lambda e: True) -> object:
-    """Runs work again after transient errors, each time after twice the wait."""
+    """Runs work again after transient errors, each time after twice the wait and up to a fifth of a second more, so that writers that failed together don't return together."""
     for n in range(1, attempts + 1):
         try:
             return work()
         except Exception as e:
             if n == attempts or not transient(e):
                 raise
-            time.sleep(base_ms * 2 ** (n - 1) / 1000)
+            time.sleep((base_ms * 2 ** (n - 1) + random.uniform(0, 200)) / 1000)
     return None

@@ -1,12 +1,14 @@
 """Buckets, history and change events over streams of observation rows.
 
 Event time is observed_at as TIMESTAMP (a watermark refuses TIMESTAMP_NTZ). Rows that a retry delivers twice are dropped within
-the watermark by id. History is kept by a function over the rows of one source in each micro-batch; runs that are still open are
-held in state and given out again, so the sink takes the latest row of each (source_id, island).
+the watermark by id. History is kept by a function over the rows of one source in each micro-batch. Rows behind the watermark are
+folded for good, in order of time and id; later ones wait in state, so that rows that come out of order still find their place,
+and are folded anew each time for what is given out. A source's latest call holds its last word, see `latest_history`.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,42 +29,80 @@ def distinct_events(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return events.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["id"])
 
 
-def buckets(events: DataFrame, minutes: int = 5, watermark: str = WATERMARK) -> DataFrame:
-    """Rows by source and tumbling bucket."""
+def buckets(events: DataFrame, minutes: int = 5, watermark: str | None = WATERMARK) -> DataFrame:
+    """Rows by source and tumbling bucket. watermark is None where events have one already."""
     w = F.window("observed_at", f"{minutes} minutes")
-    return events.withWatermark("observed_at", watermark).groupBy(w.alias("w"), "source_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok")).select(F.col("w.start").alias("bucket"), "source_id", "n", "n_ok")
+    events = events.withWatermark("observed_at", watermark) if watermark else events
+    return events.groupBy(w.alias("w"), "source_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok")).select(F.col("w.start").alias("bucket"), "source_id", "n", "n_ok")
 
 
-OUT = "source_id string, island long, url string, title string, first_seen_at timestamp, last_seen_at timestamp, seen_count long"
-STATE = "island long, url string, title string, first_seen_at timestamp, last_seen_at timestamp, seen_count long"
+OUT = "source_id string, island long, url string, title string, first_seen_at timestamp, last_seen_at timestamp, seen_count long, call long"
+STATE = "call long, island long, run string, pending string"
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Rows of one source in order of time and id; one open run is state."""
-    rows = pd.concat(list(frames)).sort_values(["observed_at", "id"], kind="stable")
-    rows = rows[rows["url"].notna()]
-    run = list(state.get) if state.exists else None
-    out = []
-    for url, title, at in zip(rows["url"], rows["title"].fillna(""), rows["observed_at"], strict=True):
-        if run is not None and run[1] == url and run[2] == title:
-            run[4], run[5] = max(run[4], at), run[5] + 1
-        else:
-            if run is not None:
-                out.append(tuple(run))
-            run = [(run[0] if run else 0) + 1, url, title, at, at, 1]
+    """State: how many calls there were, the last settled run ([url, title, first, last, count], times in microseconds) and its number, and the rows [time, id, url, title] that the watermark hasn't passed."""
+    call, island, run, pending = (0, 0, None, []) if not state.exists else (state.get[0], state.get[1], json.loads(state.get[2]), json.loads(state.get[3]))
+    new = [f[f["url"].notna()] for f in frames]
+    seen = {json.dumps(r[1]) for r in pending}
+    for f in new:
+        times = f["observed_at"].astype("datetime64[us]").astype("int64")
+        for at, i, url, title in zip(times.tolist(), f["id"].tolist(), f["url"], f["title"].fillna(""), strict=True):
+            if json.dumps(i) not in seen:
+                seen.add(json.dumps(i))
+                pending.append([at, i, url, title])
+    pending.sort(key=lambda r: r[:2])
+    mark = max(0, state.getCurrentWatermarkMs()) * 1000
+    settled = [r for r in pending if r[0] < mark]
+    pending = pending[len(settled) :]
+    out: dict[int, list] = {}
+
+    def fold(rows: list, run: list | None, island: int) -> tuple[list | None, int]:
+        for at, _, url, title in rows:
+            if run is not None and run[:2] == [url, title]:
+                run = [url, title, run[2], max(run[3], at), run[4] + 1]
+            else:
+                run, island = [url, title, at, at, 1], island + 1
+            out[island] = run
+        return run, island
+
+    run, island = fold(settled, run, island)
     if run is not None:
-        state.update(tuple(run))
-        out.append(tuple(run))
-    yield pd.DataFrame([(key[0], *r) for r in out], columns=["source_id", "island", "url", "title", "first_seen_at", "last_seen_at", "seen_count"])
+        out[island] = run
+    fold(pending, run, island)
+    call += 1
+    state.update((call, island, json.dumps(run), json.dumps(pending)))
+    if pending:
+        state.setTimeoutTimestamp(max(mark, pending[0][0]) // 1000 + 1)
+    rows = [(key[0], n, r[0], r[1], pd.Timestamp(r[2], unit="us"), pd.Timestamp(r[3], unit="us"), r[4], call) for n, r in out.items()]
+    if rows:
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
-def history(events: DataFrame) -> DataFrame:
-    """Runs of equal (url, title) by source, in update mode: the last row of an island is its state."""
-    return events.select("source_id", "id", "observed_at", "url", "title").groupBy("source_id").applyInPandasWithState(_fold, OUT, STATE, "update", "NoTimeout")
+def history(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Runs of equal (url, title) by source, in update mode; `latest_history` makes the history of what was given out. Rows that come after the watermark has passed them are lost."""
+    rows = events.withWatermark("observed_at", watermark).select("source_id", "id", "observed_at", "url", "title")
+    return rows.groupBy("source_id").applyInPandasWithState(_fold, OUT, STATE, "update", "EventTimeTimeout")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all that is there, into a memory table, and return that."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_history(rows: DataFrame) -> DataFrame:
+    """What holds after all calls: each island as it was last given out, without those that a source's last call no longer has."""
+    last = rows.groupBy("source_id").agg(F.max_by("island", F.struct("call", "island")).alias("most"))
+    own = ["url", "title", "first_seen_at", "last_seen_at", "seen_count"]
+    out = rows.groupBy("source_id", "island").agg(F.max_by(F.struct(*own), "call").alias("x")).join(last, "source_id")
+    return out.where("island <= most").select("source_id", "island", "x.*")
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Drive a stream over all that is there, into a folder for each micro-batch (only the last one's in complete mode), and return a table over these.
+
+    A micro-batch that is tried again overwrites its own folder.
+    """
+    at = f"{path.rstrip('/')}/batches"
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/batch={number}" if mode != "complete" else f"{at}/batch=0")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/*")

@@ -98,6 +98,7 @@ def test_compare_key_and_params(spark):
 def test_absolute(spark):
     base = F.lit("https://x.org/news/list?p=1")
     check(spark, lambda c: urls.absolute(c, base), [("/a", "https://x.org/a"), ("//y.org/b", "https://y.org/b"), ("c", "https://x.org/news/c"), ("./c", "https://x.org/news/c"), ("https://z.org", "https://z.org"), ("?q=2", "https://x.org/news/list?q=2"), ("#t", "https://x.org/news/list?p=1#t"), ("mailto:a@b", ""), (None, "")])
+    check(spark, lambda c: urls.absolute(c, base), [("../x", "https://x.org/x"), ("../../x?a=../b", "https://x.org/x?a=../b"), ("a/./b/../c", "https://x.org/news/a/c"), ("..", "https://x.org/"), (".", "https://x.org/news/"), ("/a/../b", "https://x.org/b"), ("a..b", "https://x.org/news/a..b")])
 
 
 def test_url_allow(spark):
@@ -115,6 +116,11 @@ def test_story_rules(spark, source, good, bad):
     assert values(spark, lambda c: urls.story_url(source, c), [good, bad, None]) == [True, False, False]
 
 
+def test_story_rules_look_at_host_and_path(spark):
+    assert values(spark, lambda c: urls.story_url("bbc1", c), ["https://other.example/?u=/news/articles/x", "https://www.bbc.com/?u=/news/articles/x", "https://www.bbc.com.evil.example/news/articles/x"]) == [False] * 3
+    assert values(spark, lambda c: urls.story_url("abc1", c), ["https://abcnews.com/videos/1", "https://abcnews.go.com/US/story?id=1"]) == [False, True]
+
+
 def test_identity(spark):
     df = spark.createDataFrame([("u", "t"), ("u", ""), (None, "t"), (None, None)], "u string, t string")
     assert [r.f for r in df.select(story.fingerprint(F.col("u"), F.col("t")).alias("f")).collect()] == [sha("u|t"), sha("u"), sha("t"), sha("unknown")]

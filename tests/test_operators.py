@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from slotwise.functions import story
-from slotwise.operators import diff, extract, frames, history, matching, scoring
-from slotwise.plans import catalog, publish
+from slotwise.operators import diff, extract, frames, heroes, history, matching, scoring
+from slotwise.plans import catalog, ingest, publish
 from slotwise.sources import readers, registry, sinks
+from slotwise.streaming import streams
 
 ITEMS = "source_id string, run_id string, observed_at timestamp_ntz, rank int, title string, url string, fingerprint string"
 
@@ -179,7 +181,8 @@ def test_publish(spark, tmp_path):
     assert [r.seen_count for r in sorted(read("history"), key=lambda r: r.island)] == [1, 1]
     assert len(read("timeline")) == 3 and len(read("top10_history")) == 3 and len(read("top10_latest")) == 1
     assert {r.event_type for r in read("top10_events_24h")} == {"ENTER", "EXIT", "MOVE"}
-    publish.publish_all(o.drop("ok"), items, "2026-02-01 13:00:00", str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="ok"):
+        publish.publish_all(o.drop("ok"), items, "2026-02-01 13:00:00", str(tmp_path / "bad"))
     assert spark.read.json(str(tmp_path / "bad" / "failure")).first().ok is False
 
 
@@ -199,29 +202,53 @@ def test_lead_fallback():
     assert extract.lead_candidates(None, None, ["a"]) == []
 
 
-def test_jsonld():
-    page = '<script type="application/ld+json">{"@graph":[{"headline":"One  two","url":"/a"},{"name":"Three","mainEntityOfPage":{"@id":"/b"}},{"headline":"Again","url":"/a"},{"headline":"No url"}]}</script><script type="application/ld+json">broken</script>'
-    assert extract.jsonld_stories(page, BASE) == [("One two", BASE + "a"), ("Three", BASE + "b")]
+def hero_of(spark, source, html, url):
+    df = spark.createDataFrame([(1, source, url, html)], "page_id long, source_id string, url string, html string")
+    r = heroes.heroes(df).first()
+    return (r.title, r.url, r.selector_used) if r.ok else r.error
 
 
-def test_payload():
-    page = '<script id="__NEXT_DATA__" type="application/json">{"props":{"layouts":[{"packages":[{"items":[{"headline":"Not a story url here","url":"https://x/y"},{"headline":"The story that counts","url":"https://x/a-rcna123"}]}]}]}}</script>'
-    assert extract.payload_lead(page) == ("The story that counts", "https://x/a-rcna123")
-    assert extract.payload_lead("<p>none</p>") is None
+def test_own_readings_of_sites(spark):
+    cbs = """<script type="application/ld+json">{"@graph":[{"name":"CBS News | Breaking news, top stories","url":"/"},{"headline":"Live from linked data it is","url":"https://www.cbsnews.com/live/x"},{"headline":"One  two from linked data","mainEntityOfPage":"/news/a"}]}</script><script type="application/ld+json">broken</script>"""
+    assert hero_of(spark, "cbs1", cbs, "https://www.cbsnews.com/") == ("One two from linked data", "https://cbsnews.com/news/a", "cbs_jsonld")
+    dom = '<div id="component-latest-news"><article class="item"><a href="/video/x"><h4 class="item__hed">A video goes by here</h4></a></article><article class="item"><a href="/news/b/"><h4 class="item__hed">The latest of the news</h4></a></article></div>'
+    assert hero_of(spark, "cbs1", dom + cbs, "https://www.cbsnews.com/")[:2] == ("The latest of the news", "https://cbsnews.com/news/b")
+    nbc = """<main><a href="/x-rcna9">A link of the page itself</a></main><script id="__NEXT_DATA__" type="application/json">{"props":{"initialState":{"front":{"curation":{"layouts":[{"packages":[{"items":[
+    {"headline":"Not a story url here","url":"https://www.nbcnews.com/y"},{"item":{"computedValues":{"headlineAlternatives":[{"text":"The story that counts"}],"url":{"primary":"https://www.nbcnews.com/a-rcna123"}}}}]}]}]}}}}}</script>"""
+    assert hero_of(spark, "nbc1", nbc, "https://www.nbcnews.com/") == ("The story that counts", "https://nbcnews.com/a-rcna123", "nbc_next_data_ordered")
+    assert hero_of(spark, "nbc1", "<main><a href='/x-rcna9'>A link of the page itself</a></main>", "https://www.nbcnews.com/")[1] == "https://nbcnews.com/x-rcna9"
+    fox = """<article class="story-1"><span class="kicker">Special coverage tonight</span><div class="info"><h2 class="title"><a href="/politics/kick">Special coverage tonight</a></h2><h3 class="title"><a href="/shows/a-b">A show that is not it</a></h3></div></article>
+    <article class="story-2"></article><main class="main-content-primary"><article class="story-3"><div class="info"><h2 class="title"><a href="/politics/real-story">The real headline of the story - Fox News</a></h2></div></article></main>"""
+    assert hero_of(spark, "fox1", fox, "https://www.foxnews.com/")[:2] == ("The real headline of the story", "https://foxnews.com/politics/real-story")
+    assert hero_of(spark, "fox1", None, "https://www.foxnews.com/") == "fox1: headline not found"
 
 
-def test_kicker_is_passed_over():
-    page = '<article class="story-1"><a href="/shows/a-b">Special coverage tonight</a><div class="info"><h2 class="title"><a href="/politics/real-story">The real headline of the story</a></h2></div></article>'
-    got = extract.dom_lead(page, BASE, ("article[class*='story-'] a",), r"/[a-z]+/[a-z-]+", kicker="special coverage.*")
-    assert got == ("The real headline of the story", BASE + "politics/real-story")
-
-
-def test_ranked_stories():
+def test_top10_cases(spark):
     links = "".join(f'<a href="/n/story-{i}">Headline number {i} of the day</a>' for i in range(12))
-    page = f'<script type="application/ld+json">[{{"headline":"From linked data it is","url":"/ld/1"}}]</script><a href="/n/x?entryId=5">A related entry of the story</a>{links}<a href="/n/y?entryId=6">A related entry too late</a>'
-    got = extract.ranked_stories(page, BASE)
-    assert len(got) == 10 and got[0][1] == "From linked data it is" and got[1][2] == BASE + "n/story-0"
-    assert [x["url"] for x in got[0][3]] == [BASE + "n/x?entryId=5"] and got[1][3] == []
+    page = f"""<script type="application/ld+json">[{{"@type":"NewsArticle","headline":"From linked data it is","url":"/ld/1?id=4"}},{{"@type":"Organization","name":"Some organisation","url":"/org"}}]</script><main><nav><a href="/nav/1">A link of the navigation</a></nav>
+    <a href="/ld/1?id=4&entryId=5">A related entry of the story</a><a href="/n/x?entryId=5">An entry of another story</a>{links}<a href="/ld/1?id=4&entryId=6">A related entry too late</a></main>"""
+    df = spark.createDataFrame([(1, BASE, page), (2, BASE, None)], "page_id long, url string, html string")
+    got = sorted(heroes.top10(df).collect(), key=lambda r: r.rank)
+    assert len(got) == 10 and (got[0].title, got[0].url) == ("From linked data it is", BASE + "ld/1?id=4") and got[1].url == BASE + "n/x?entryId=5" and got[2].url == BASE + "n/story-0"
+    assert [x.url for x in got[0].related_links] == [BASE + "ld/1?entryId=5&id=4"] and got[1].related_links == []
+    assert got[2].fingerprint == hashlib.sha1((BASE + "n/story-0|headline number 0 of the day").encode()).hexdigest()
+
+
+def test_ingest(spark, tmp_path):
+    """Two runs of one source: what did not change is not stored again, and the documents tell what did."""
+    page = lambda *names: "<main>" + "".join(f"<h2><a href='/US/story-{x}/x'>The headline of story {x}</a></h2>" for x in names) + "</main>"
+    make = lambda *r: spark.createDataFrame([(i, "abc1", "https://abcnews.com/", h, t) for i, (h, t) in enumerate(r)], "page_id long, source_id string, url string, html string, observed_at string").withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    first, second, third = (page("a", "b"), "2026-02-01 10:00:00"), (page("a", "b"), "2026-02-01 11:00:00"), (page("c", "a"), "2026-02-01 12:00:00")
+    for part in ((first,), (second,), (second, third), (second, third)):
+        ingest.run(make(*part), str(tmp_path), "2026-02-01 13:00:00")
+    read = lambda n: spark.read.parquet(str(tmp_path / n)).collect()
+    assert sorted(str(r.observed_at)[11:16] for r in read("attempts")) == ["10:00", "11:00", "12:00"]
+    assert sorted(str(r.observed_at)[11:16] for r in read("runs"))[:2] == ["10:00", "12:00"] and '"run_kind":"hero"' in read("runs")[0].raw
+    assert len(read("events")) == 3 * 3 and len(read("items")) == 6
+    changes = {(r.event_type, r.to_rank) for r in read("changes") if str(r.observed_at)[11:16] == "12:00"}
+    assert changes == {("ENTER", 1), ("EXIT", None), ("MOVE", 2), ("HERO_SWAP", None)}
+    doc = spark.read.json(str(tmp_path / "published/current")).first()
+    assert doc.url == "https://abcnews.com/US/story-c/x" and doc.ok
 
 
 def test_moment_parameters(spark):
@@ -269,6 +296,55 @@ def test_retry():
 def test_ranked_event_rows(spark):
     rows = run("r1", 0, *[(f"f{i}", f"T{i}") for i in range(12)])
     df = spark.createDataFrame(rows, ITEMS).withColumn("rank", F.when(F.col("rank") == 3, F.lit("x")).otherwise(F.col("rank").cast("string")))
-    assert sinks.ranked_events(df).count() == 11 and sinks.ranked_events(df, batch=True).count() == 9
+    assert sinks.ranked_events(df).count() == 11 and sinks.ranked_events(df, batch=True).count() == 10  # the first ten of finite rank
     runs, items = sinks.run_and_items(spark.createDataFrame(rows, ITEMS).drop("run_id"))
     assert runs.count() == 1 and items.select("run_id").distinct().count() == 1
+
+
+def test_append_changed_looks_at_what_is_stored(spark, tmp_path):
+    make = lambda *r: spark.createDataFrame([(i, "s", f"2026-02-01 10:{i:02}:00", t, u, True, None) for i, t, u in r], "id long, source_id string, observed_at string, title string, url string, ok boolean, error string").withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    at = str(tmp_path / "runs")
+    for rows in ([(1, "a", "u")], [(2, "a", "u")], [(3, "a", "u"), (4, "b", "u")], [(5, "b", "u"), (6, "a", "u")]):
+        sinks.append_changed(make(*rows), at)
+    assert sorted(r.id for r in spark.read.parquet(at).collect()) == [1, 4, 6]
+
+
+def test_ranked_events_take_the_first_ten(spark):
+    items = spark.createDataFrame([("s", "2026-02-01 10:00:00", str(r), f"title {r}", f"https://x.org/{r}") for r in range(5, 20)] + [("s", "2026-02-01 10:00:00", "x", "none", "https://x.org/n")], "source_id string, observed_at string, rank string, title string, url string")
+    assert sorted(int(r.slot_key[6:]) for r in sinks.ranked_events(items, batch=True).collect()) == list(range(5, 15))
+    assert sinks.ranked_events(items).count() == 15
+
+
+def test_diff_events_with_swaps(spark):
+    items = spark.createDataFrame([("s", r, f"2026-02-01 1{r}:00:00", 1, f"t{k}", f"https://x.org/{k}", k) for r, k in (("0", "a"), ("1", "a"), ("2", "b"))], "source_id string, run_id string, observed_at string, rank int, title string, url string, story string")
+    got = sinks.diff_events(diff.snapshot_diff(items, "story"), diff.hero_swaps(items, "story")).collect()
+    assert sorted((r.run_id, r.event_type, r.key) for r in got) == [("0", "ENTER", "a"), ("2", "ENTER", "b"), ("2", "EXIT", "a"), ("2", "HERO_SWAP", "b")] and len({r.id for r in got}) == 4
+
+
+def test_islands_across_days(spark):
+    """Runs that go on over midnight, days without rows, and changes at a day's first row."""
+    at = ["01 23:58", "01 23:59", "02 00:00", "02 12:00", "05 00:00", "05 00:01", "06 09:00", "06 10:00", "07 01:00"]
+    urls_ = ["a", "a", "a", "b", "b", "a", "a", "c", "a"]
+    obs = spark.createDataFrame([(i, "s", f"2026-02-{t}:00", u, "t") for i, (t, u) in enumerate(zip(at, urls_, strict=True))], "id long, source_id string, observed_at string, url string, title string").withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    got = sorted((r.island, r.url, r.seen_count) for r in history.islands(obs, ["url"]).collect())
+    assert got == [(1, "a", 3), (2, "b", 2), (3, "a", 2), (4, "c", 1), (5, "a", 1)]
+    assert sorted(r.id for r in history.changed_only(obs, ["url"]).collect()) == [0, 3, 5, 7, 8]
+
+
+def test_stream_history_out_of_order(spark, tmp_path):
+    """Rows that come late, but before the watermark has passed them, find their place; a row that comes twice counts once."""
+    rows = [(i, "s", f"2026-02-01 10:{10 * i:02}:00", u) for i, u in enumerate("aabba")]
+    make = lambda n, *ids: spark.createDataFrame([(*rows[i], "t") for i in ids], "id long, source_id string, observed_at string, url string, title string").withColumn("observed_at", F.col("observed_at").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    make(0, 0, 4)
+    make(1, 3, 1, 4)
+    make(2, 2)
+    schema = spark.read.parquet(str(tmp_path / "in/0")).schema
+    import os
+    import time
+
+    for n in range(3):  # files are taken in order of their time
+        for f in (tmp_path / f"in/{n}").iterdir():
+            os.utime(f, (time.time() - 100 + 10 * n,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = streams.latest_history(streams.run_to_files(streams.history(stream), str(tmp_path / "out"), str(tmp_path / "check"), "update"))
+    assert sorted((r.island, r.url, r.seen_count) for r in got.collect()) == [(1, "a", 2), (2, "b", 2), (3, "a", 1)]
