@@ -1,8 +1,9 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
-A page becomes a flat list of text blocks (block elements end a block, inline ones do not). Each block is described by its word
-count and link density, those of its neighbours, and what its elements say: boilerplate or article containers, heading, list
-item. A decision tree, trained by Gini impurity on the small labelled table below, keeps or drops each block.
+A page becomes a flat list of text blocks (block elements end a block, inline ones do not, unless they say that they are an advert
+or hidden). Each block is described by its word count and link density, those of its neighbours, and what its elements say: boilerplate
+or article containers, heading, list item. Classes, ids and roles are read from every element, paragraphs, list items, table cells and
+inline ones too, and hold as far as that element does. A decision tree, trained by Gini impurity on the small labelled table below, keeps or drops each block.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ TOKEN = re.compile(
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li dt dd tr td th thead tbody tfoot caption".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that others of their kind end without a closing tag: by tag, the open ones that it ends.
+LIGHT = frozenset("p li dt dd tr td th thead tbody tfoot caption".split())
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
 BOILER = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "fieldset"))
 ARTICLE = frozenset(("article", "main"))
 #: Words of class, id and role values. Strong ones mark boilerplate anywhere, weak ones only outside an article.
@@ -37,8 +41,11 @@ STRONG = frozenset(
     "pagination pager copyright legal disclaimer widget widgets toolbar skip search form complementary contentinfo alert alerts".split()
 )
 WEAK = frozenset("header masthead banner notice notices topbar bar side meta top bottom message warning teaser tags".split())
+#: Words that say what an element is made as, not what it holds: beside strong words they change nothing.
+MADE = frozenset("area box block wrap wrapper container list section inner outer panel links link item items buttons button icons group row col unit slot zone left right main site page global primary secondary bar header top bottom message banner notice title label form input small sticky fixed mobile desktop".split())
 GOOD = frozenset("article content post entry story main maincontent body text articlebody prose".split())
 ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)(?!\s*=\s*[\"']?until-found)|(?:^|\s)aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 PART = re.compile(r"[^A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -161,15 +168,26 @@ def default_tree() -> Tree:
     return Tree(table[:, :-1], table[:, -1])
 
 
-def _hints(attrs: str) -> frozenset[str]:
-    if "=" not in attrs:
-        return frozenset()
-    words: set[str] = set()
-    for m in ATTR.finditer(attrs):
-        value = m[1] or m[2] or m[3] or ""
-        words.update(w.lower() for w in PART.split(CAMEL.sub(" ", value)))
-        words.update(w.lower() for w in PART.split(value))
-    return frozenset(words)
+def _hints(attrs: str) -> tuple[bool, bool, bool, bool]:
+    """What an element's attributes say of it: hidden, strong, weak, good.
+
+    A name of several words, such as legal-analysis, is strong only if its last word is, or if its other words are strong, weak or
+    about the element's make: article text may be about comments, law or sharing.
+    """
+    hidden = bool(HIDDEN.search(attrs))
+    strong = weak = good = False
+    for m in ATTR.finditer(attrs) if "=" in attrs else ():
+        for name in (m[1] or m[2] or m[3] or "").split():
+            whole = [w.lower() for w in PART.split(name) if w]
+            words = [w.lower() for w in PART.split(CAMEL.sub(" ", name)) if w]
+            for parts in {tuple(whole), tuple(words)}:
+                if not parts:
+                    continue
+                found = [w for w in parts if w in STRONG]
+                strong = strong or bool(found) and (parts[-1] in STRONG or all(w in STRONG or w in WEAK or w in MADE for w in parts))
+                weak = weak or any(w in WEAK for w in parts)
+                good = good or any(w in GOOD for w in parts)
+    return hidden, strong, weak, good
 
 
 _hints = lru_cache(4096)(_hints)
@@ -179,7 +197,7 @@ def blocks(page: str) -> list[list]:
     """The page's text blocks in order: [text, words, linked words, strong, weak, article, heading, item]."""
     out: list[list] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: tag, strong, weak, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements that say something: tag, strong, weak, article
     strong = weak = article = heading = item = False
     links = words_linked = 0
 
@@ -199,6 +217,18 @@ def blocks(page: str) -> list[list]:
         if links:
             words_linked += len(text.split())
 
+    def drop(at: int) -> None:
+        nonlocal strong, weak, article
+        del stack[at:]
+        strong, weak, article = stack[-1][1:] if stack else (False, False, False)
+
+    def close(tag: str) -> bool:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == tag:
+                drop(i)
+                return True
+        return False
+
     at = 0
     for m in TOKEN.finditer(page):
         a, b = m.span()
@@ -216,31 +246,48 @@ def blocks(page: str) -> list[list]:
         elif tag == "br":
             parts.append(" ")
         if tag in INLINE or tag == "br":
-            # An inline element may still say that it is an advert or a hidden note; it then ends the block.
+            if m["close"]:
+                if any(x[0] == tag for x in stack):
+                    end()
+                    close(tag)
+            elif m["attrs"] and tag not in VOID and not m["attrs"].endswith("/"):
+                hidden, bad, _, good = _hints(m["attrs"])
+                if hidden or (bad and not good and tag != "a"):  # a link's class says how it looks, and its text is judged by density
+                    end()
+                    strong = True
+                    stack.append((tag, strong, weak, article))
             continue
         end()
         links = 0
+        if not m["close"]:
+            # A block ends an open paragraph, and some end what stands before them in their list or table.
+            while stack and (stack[-1][0] in ENDS.get(tag, ()) or (stack[-1][0] == "p" and tag not in VOID) or (stack[-1][0] in INLINE and len(stack) > 1 and stack[-2][0] in ("p", *ENDS.get(tag, ())))):
+                drop(len(stack) - 1)
         if tag in HEADINGS:
             heading = not m["close"]
         elif tag in ("li", "dt", "dd"):
             item, heading = not m["close"], False
-        elif tag not in VOID:
+        elif tag in LIGHT or tag in VOID:
+            heading = False
+        else:
             heading = item = False
-            if m["close"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        strong, weak, article = stack[-1][1:] if stack else (False, False, False)
-                        break
-            elif not m["attrs"].endswith("/"):
-                hints = _hints(m["attrs"]) if tag not in ("html", "body") else frozenset()
-                is_article = tag in ARTICLE or bool(hints & GOOD and not hints & (STRONG | WEAK))
-                strong = strong or tag in BOILER or (bool(hints & STRONG) and tag not in ARTICLE) or (tag == "header" and not article)
-                weak = weak or bool(hints & WEAK) or tag == "header"
-                article = article or is_article
+        if m["close"]:
+            if tag not in VOID:
+                close(tag)
+            continue
+        if tag in VOID or m["attrs"].endswith("/"):
+            continue
+        hidden, bad, weak_, good = _hints(m["attrs"]) if m["attrs"] and tag not in ("html", "body") else (False, False, False, False)
+        if tag in HEADINGS or tag in LIGHT:
+            if hidden or (bad and not good):
+                strong = True
                 stack.append((tag, strong, weak, article))
-        else:
-            heading = False
+            continue
+        is_article = tag in ARTICLE or (good and not bad and not weak_)
+        strong = strong or hidden or tag in BOILER or (bad and not good and tag not in ARTICLE) or (tag == "header" and not article)
+        weak = weak or weak_ or tag == "header"
+        article = article or is_article
+        stack.append((tag, strong, weak, article))
     if at < len(page):
         add(page[at:])
     end()
