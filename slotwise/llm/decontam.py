@@ -2,7 +2,8 @@
 
 Words are runs of digits, letters a-z and characters beyond ASCII, after lower-casing A-Z. The automaton takes the words of
 a document one by one and knows at each the longest suffix that occurs in some item. Items come in groups of at most
-`max_item_words` words, each with an automaton of its own, so that what is broadcast has a fixed bound.
+`max_item_words` words, each with an automaton of its own, so that what is broadcast has a fixed bound. Groups follow each other:
+what one has marked is written to the shared folder before the next is read, so neither the driver nor a task ever holds two automata.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _work
 from ._tokens import ALNUM, Words, slices, texts_of, tidy
 
 WINDOW = 13
@@ -201,9 +203,14 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     carry = [c for c in (carry or []) if c != text_col]
     out = docs.select(*carry, F.col(text_col))
     schema = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in out.columns) + ", n_words long, marks binary, items array<string>"
-    first = True
-    for group in item_groups(items, item_id, item_text, max_item_words):
-        out = out.mapInArrow(tidy(_marker(spark.sparkContext.broadcast(Automaton(group, window)), first)), schema)
+    first, held, work = True, None, ""
+    for number, group in enumerate(item_groups(items, item_id, item_text, max_item_words)):
+        if held is not None:
+            work = work or _work.shared_dir(spark)
+            out = _work.settle(out, f"{work}/{number}")
+            held.unpersist()
+        held = spark.sparkContext.broadcast(Automaton(group, window))
+        out = out.mapInArrow(tidy(_marker(held, first)), schema)
         first = False
     return out if not first else out.mapInArrow(_marker(spark.sparkContext.broadcast(Automaton([], window)), True), schema)
 
@@ -224,7 +231,10 @@ def _verdicts(min_percent: int, id_type: pa.DataType):
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", window: int = WINDOW, min_percent: int = 5, **options) -> DataFrame:
-    """One row for each row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated (hits reach min_percent of the words)."""
+    """One row for each row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated (hits reach min_percent of the words).
+
+    Rows are judged one by one, so repeated ids and rows each get their answer. Null texts have no words. Other columns of docs are ignored whatever their names.
+    """
     marked = mark(docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string")), items, window=window, carry=["id"], **options)
     out = marked.select("id", "n_words", "marks", "items").mapInArrow(_verdicts(min_percent, pa.int64()), "id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     return out.withColumnRenamed("id", id_col)
