@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Let the session send texts to Python in batches of at most so many rows and bytes; smaller settings stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = str(spark.conf.get(key, str(most)))
