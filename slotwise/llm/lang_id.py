@@ -169,18 +169,25 @@ def words_of(text: str) -> list[str]:
     return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
 
 
-def sample(rows: DataFrame, keys: list[str], label: str, sample_rows: int) -> DataFrame:
-    """At most sample_rows distinct rows of each label, by a hash of `keys`; rows that are equal in keys and label count once. One pass for all labels, and no label's rows ever meet in one task."""
-    order = [F.xxhash64(*keys), *[F.col(k) for k in keys]]
-    drawn = rows.select(*keys, label).distinct().withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return drawn.where(F.col("place") <= sample_rows).drop("place")
+def sample(rows: DataFrame, keys: list[str], label: str, sample_rows: int, by: list[str] | None = None) -> DataFrame:
+    """At most sample_rows distinct rows (keys, label) of each label: those with the smallest hashes of `by` (the keys if not given).
+
+    The labels' sizes say how small a hash has to be, so that about twice as many rows as are wanted come together for each label, however many
+    it has.
+    """
+    by = by or keys
+    own = rows.select(*keys, label, F.xxhash64(*by).alias("at"))
+    sizes = own.groupBy(label).agg(F.approx_count_distinct("at").alias("size_"))
+    few = own.join(sizes, label).where((F.col("at") / 2.0**64 + 0.5) * F.col("size_") < 2 * sample_rows + 100).drop("size_").distinct()
+    drawn = few.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy("at", *keys)))
+    return drawn.where(F.col("place") <= sample_rows).drop("at")
 
 
 def fit(docs: DataFrame, usable: Column, vocab: str, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn every language there is, each from at most sample_rows texts among rows where `usable` (a Column over id_col) holds and id, language and text are known."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(lang_col).cast("string").alias("y"), F.col(text_col).cast("string").alias("body")).where(usable & F.col("y").isNotNull() & F.col("body").isNotNull())
     rows = rows.select(F.col(id_col).alias("i"), "y", F.xxhash64("body").alias("h"), "body").where("i is not null")
-    drawn = rows.join(F.broadcast(sample(rows, ["i", "h"], "y", sample_rows)), ["i", "h", "y"])  # sample_rows ids a language
+    drawn = rows.join(F.broadcast(sample(rows, ["i", "h"], "y", sample_rows).drop("place")), ["i", "h", "y"])  # sample_rows ids a language
     drawn = drawn.groupBy("i", "h", "y").agg(F.first("body").alias("body"))  # rows that repeat one count once
     counts: dict[str, Counter] = {}
 

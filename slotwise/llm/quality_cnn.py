@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tokens import slices, texts_of, tidy
+from .lang_id import sample
 
 WIDTH, STRIDE, CHUNK, STEP, FILTERS = 8, 2, 128, 96, 16
 #: Labelled rows of each label that training takes, at most.
@@ -186,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "qu
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).withColumnRenamed("id", id_col).where(usable)
     known = known.withColumnRenamed(id_col, "i").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("body")).where("body is not null")
-    there = rows.select("i", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size")).join(known, "i").distinct()
-    drawn = there.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", "h"))).where(F.col("place") <= sample_rows)
+    there = rows.select("i", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size")).join(known, "i")
+    drawn = sample(there, ["i", "h", "size"], "y", sample_rows, ["i"])
     # The sample is bounded by now; of it, texts are taken in turn until their bytes are used up.
     drawn = drawn.withColumn("upto", F.sum("size").over(Window.orderBy("place", "y"))).where(F.col("upto") <= sample_bytes).select("i", "h", "y")
     picked = rows.withColumn("h", F.xxhash64("body")).join(F.broadcast(drawn), ["i", "h"]).groupBy("i", "h", "y").agg(F.first("body").alias("body"))
