@@ -159,6 +159,17 @@ again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h, s) AS n
 gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM again),
 kept AS (SELECT doc.r, string_agg(w[q], ' ' ORDER BY q) AS body, count(*) AS n FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS q FROM doc) doc ANTI JOIN gone ON doc.r = gone.r AND doc.q = gone.q GROUP BY doc.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (r)""",
+        "op8_near_dedup": f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + least(len(w), 4) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS p FROM doc WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
+least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+FROM doc LEFT JOIN sizes USING (doc_id) LEFT JOIN least_ ON a = doc_id""",
         "op9_mix": _op9_sql(),
         "op10_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {lower} AS body FROM documents)
