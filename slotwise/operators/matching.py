@@ -2,7 +2,9 @@
 
 Keywords match at an overlap of 2 and a similarity of 0.24 if the shorter list has at most 5 of them, else at 3 and 0.30. Every
 match by keywords therefore shares at least two of them, and lists hold 12 at most, so rows and anchors meet on pairs of
-keywords (66 each at most) instead of each with each. Rows of equal keywords are matched once.
+keywords (66 each at most) instead of each with each. Lists are put in one order, common keywords last: the first two that lists
+share must leave enough behind them in both, so pairs of common keywords seldom lead to a comparison. Rows of equal keywords are
+matched once.
 """
 
 from __future__ import annotations
@@ -11,15 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import shared
 
 # Fixed values.
 SHORT, SHORT_OVERLAP, SHORT_SCORE, LONG_OVERLAP, LONG_SCORE = 5, 2, 0.24, 3, 0.30
+#: How many of the commonest keywords stand behind all others, the commonest last; they are broadcast.
+COMMON = 20_000
 
 
 def keywords_match(a: Column, b: Column) -> Column:
     score, overlap = text.jaccard(a, b)
-    short = F.least(F.size(a), F.size(b)) <= SHORT
-    return F.when(short, (overlap >= SHORT_OVERLAP) & (score >= SHORT_SCORE)).otherwise((overlap >= LONG_OVERLAP) & (score >= LONG_SCORE))
+    return _enough(F.least(F.size(a), F.size(b)), overlap, score)
+
+
+def _enough(shorter: Column, overlap: Column, score: Column) -> Column:
+    return F.when(shorter <= SHORT, (overlap >= SHORT_OVERLAP) & (score >= SHORT_SCORE)).otherwise((overlap >= LONG_OVERLAP) & (score >= LONG_SCORE))
 
 
 def matches_cluster(row: dict[str, Column], anchor: dict[str, Column]) -> Column:
@@ -28,27 +36,54 @@ def matches_cluster(row: dict[str, Column], anchor: dict[str, Column]) -> Column
     return F.coalesce(same("canonical_url"), F.lit(False)) | F.coalesce(same("fingerprint"), F.lit(False)) | F.coalesce(keywords_match(row["keywords"], anchor["keywords"]), F.lit(False))
 
 
-def _pairs(c: Column) -> Column:
-    s = F.array_sort(c)
-    return F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda y: F.concat_ws(" ", x, y))))
+def _kid(k: str) -> Column:
+    """16 bytes that stand for a class of equal keywords."""
+    return F.unhex(F.md5(F.col(k).cast("binary")))
+
+
+def _ordered(classes: DataFrame) -> DataFrame:
+    """kid and words: hashes of each class's distinct keywords, rare ones first, ties by hash."""
+    each = classes.select("kid", F.explode(F.array_distinct("keywords")).alias("w"))
+    common = each.groupBy("w").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "w").limit(COMMON)
+    ranked = each.join(F.broadcast(common), "w", "left")  # COMMON rows
+    words = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.xxhash64("w").alias("h"))))
+    return ranked.groupBy("kid").agg(F.transform(words, lambda x: x["h"]).alias("words"))
+
+
+def _pairs(ordered: DataFrame) -> DataFrame:
+    """kid, size, and for each two keywords that may be the first two of a match: their hash (pair) and how many stand behind them (behind)."""
+    # Lists of nine and more match at an overlap of three at least, so their last keyword is none of the first two.
+    ends = F.sequence(F.lit(2), F.col("size") - F.when(F.col("size") >= 9, 1).otherwise(0))
+    each = ordered.withColumn("size", F.size("words")).where("size >= 2").withColumn("j", F.explode(ends))
+    each = each.withColumn("first", F.explode(F.slice("words", F.lit(1), F.col("j") - 1)))
+    return each.select("kid", "size", F.xxhash64("first", F.element_at("words", F.col("j"))).alias("pair"), (F.col("size") - F.col("j")).alias("behind"))
 
 
 def similar(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """rows (id, keywords) against anchors (id, keywords): for each row that matches any anchor but itself: id, n_anchors, best_anchor (most similar, then smallest id), best_score.
 
-    Only classes of equal keywords meet, and only those that share two keywords. A class's anchors are counted, not listed.
+    Only classes of equal keywords meet, and only those that share two keywords with enough others behind them. Hashes choose who
+    meets; the keywords decide. A class's anchors are counted, not listed. Keywords are written once to the shared folder.
     """
-    joined = lambda d: d.withColumn("k", F.array_join(F.array_sort("keywords"), " ")).where("k <> ''")
-    r, a = joined(rows), joined(anchors)
+    kid = _kid("k")
+    key = F.array_join(F.array_sort("keywords"), " ")
+    joined = lambda d, name: shared.settle(d.select("id", "keywords"), name).select("id", "keywords", key.alias("k")).where("k <> ''")
+    r, a = joined(rows, "rows"), joined(anchors, "anchors")
     anchor_classes = a.groupBy("k").agg(F.first("keywords").alias("kb"), F.count("*").alias("n"), F.min("id").alias("lo"))
     second = a.join(anchor_classes.select("k", "lo"), "k").where("id > lo").groupBy("k").agg(F.min("id").alias("second"))
     anchor_classes = anchor_classes.join(second, "k", "left")
     row_classes = r.groupBy("k").agg(F.first("keywords").alias("ka"))
-    left = row_classes.withColumn("pair", F.explode(_pairs(F.col("ka")))).select("k", "ka", "pair")
-    right = anchor_classes.withColumn("pair", F.explode(_pairs(F.col("kb")))).select(F.col("k").alias("kk"), "kb", "n", "lo", "second", "pair")
-    met = left.join(right, "pair").select("k", "ka", "kk", "kb", "n", "lo", "second").distinct()
+    classes = r.select("k", "keywords", F.lit(0).alias("side")).unionByName(a.select("k", "keywords", F.lit(1).alias("side")))
+    classes = shared.settle(classes.groupBy("k").agg(F.first("keywords").alias("keywords"), (F.min("side") == 0).alias("is_row"), (F.max("side") == 1).alias("is_anchor")).withColumn("kid", kid), "classes")
+    pairs = shared.settle(_pairs(_ordered(classes)).join(classes.select("kid", "is_row", "is_anchor"), "kid"), "pairs")
+    left = pairs.where("is_row").select("pair", "kid", F.col("size").alias("sa"), F.col("behind").alias("ba"))
+    right = pairs.where("is_anchor").select("pair", F.col("kid").alias("kkid"), F.col("size").alias("sb"), F.col("behind").alias("bb"))
+    most = F.least("ba", "bb") + 2
+    hopeful = _enough(F.least("sa", "sb"), most, most / (F.col("sa") + F.col("sb") - most))
+    near = left.join(right, "pair").where(hopeful).select("kid", "kkid").distinct()
+    met = near.join(row_classes.withColumn("kid", kid), "kid").join(anchor_classes.withColumnRenamed("k", "kk").withColumn("kkid", _kid("kk")), "kkid")
     score, _ = text.jaccard(F.col("ka"), F.col("kb"))
-    met = met.where(keywords_match(F.col("ka"), F.col("kb"))).withColumn("score", F.round(score, 9))
+    met = met.where(keywords_match(F.col("ka"), F.col("kb"))).select("k", "kk", "n", "lo", "second", F.round(score, 9).alias("score"))
     ids = a.select(F.col("id"), F.lit(1).alias("is_anchor"))
     out = r.select("id", "k").join(ids, "id", "left").join(met, "k")
     own = (F.col("k") == F.col("kk")) & F.col("is_anchor").isNotNull()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import story, text, urls
 from ..operators import diff, extract, frames, heroes, history, matching, scoring
-from ..sources import readers, registry, sinks
+from ..sources import readers, registry, shared, sinks
 from ..streaming import streams
 from . import views
 from .views import CANDIDATES_SQL, OBSERVATIONS_SQL, PAGE_STORIES_SQL, SNAPSHOTS_SQL, WHOLE_TEXTS_SQL
@@ -712,22 +712,9 @@ def _as_observations(e: DataFrame) -> DataFrame:
     )
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share; a local session without one, as in tests, takes its own disk."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="slotwise-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {OBSERVATIONS_SQL} SELECT time_bucket(INTERVAL '5 minutes', observed_at) AS bucket, source_id, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok FROM obs GROUP BY ALL""")
 def stream_buckets(spark, d):
-    at = _folder(spark)
+    at = shared.folder(spark, "stream")
     got = streams.run_to_files(streams.buckets(streams.distinct_events(_as_observations(_stream(spark, d))), watermark=None), at, f"{at}/checkpoint", "update")
     last = got.groupBy("bucket", "source_id").agg(F.max_by(F.struct("n", "n_ok"), "n").alias("x"))  # counts only grow
     return last.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "source_id", "x.*")
@@ -735,7 +722,7 @@ def stream_buckets(spark, d):
 
 @query(f"WITH {OBSERVATIONS_SQL}, {BY_STORY} SELECT source_id, island::BIGINT AS island, url, title, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, count(*) AS seen_count FROM isl GROUP BY source_id, island, url, title")
 def stream_history(spark, d):
-    at = _folder(spark)
+    at = shared.folder(spark, "stream")
     got = streams.run_to_files(streams.history(_as_observations(_stream(spark, d))), at, f"{at}/checkpoint", "update")
     return streams.latest_history(got).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
 
