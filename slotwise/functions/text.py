@@ -32,8 +32,9 @@ def _text(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """White space, no-break space too, collapsed and trimmed. Null is ''."""
-    return F.trim(F.regexp_replace(_text(c), WS + "+", " "))
+    """White space, no-break space too, collapsed and trimmed. Null is ''. A space that stands alone is not matched, as it stays."""
+    other = WS.replace(" ", "")
+    return F.trim(F.regexp_replace(_text(c), f"{other}{WS}*| {WS}+", " "))
 
 
 def strip_noise(c: Column) -> Column:
@@ -45,8 +46,8 @@ def strip_noise(c: Column) -> Column:
 
 
 def normalize_title(c: Column) -> Column:
-    """Lower case, ASCII letters and digits only, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(clean_text(c)), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    """Lower case, ASCII letters and digits only, single spaces: white space of any kind is among what becomes a space, so it needs no cleaning first."""
+    return F.trim(F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", " "))
 
 
 def keywords(title_norm: Column, most: int = MOST_KEYWORDS) -> Column:
