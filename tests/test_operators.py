@@ -8,7 +8,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.functions import story
+from slotwise.functions import story, text
 from slotwise.operators import diff, extract, frames, heroes, history, matching, scoring
 from slotwise.plans import catalog, ingest, publish
 from slotwise.sources import readers, registry, sinks
@@ -119,6 +119,43 @@ def test_similar_with_repeats(spark):
     assert got == {0: (1, 20, 1.0), 20: (1, 0, 1.0), 1: (2, 0, 1.0), 3: (2, 0, 0.5)}
 
 
+def test_similar_equals_brute_force(spark):
+    """Lists of all lengths over words of very uneven frequency, with repeated lists."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    lists = [list(dict.fromkeys(rng.choices(words, weights, k=30)))[: rng.randint(0, 12)] for _ in range(240)]
+    rows = list(enumerate(lists + lists[:40]))
+    df = spark.createDataFrame(rows, "id long, keywords array<string>")
+
+    def matched(a, b):
+        o, u = len(set(a) & set(b)), len(set(a) | set(b))
+        return u > 0 and ((o >= 2 and o / u >= 0.24) if min(len(a), len(b)) <= 5 else (o >= 3 and o / u >= 0.30))
+
+    want = {}
+    for i, a in rows:
+        met = [(round(len(set(a) & set(b)) / len(set(a) | set(b)), 9), -j) for j, b in rows if j % 20 == 0 and i != j and matched(a, b)]
+        if met:
+            want[i] = (len(met), -max(met)[1], max(met)[0])
+    got = {r.id: (r.n_anchors, r.best_anchor, r.best_score) for r in matching.similar(df, df.where("id % 20 = 0")).collect()}
+    assert len(want) > 100 and got == want
+
+
+def test_normal_form_and_cleaning(spark):
+    """As if white space were cleaned first, and as if every run of it were replaced."""
+    import re
+
+    texts = ["  A\u00a0\u2003b \t c ", " ", "", None, "x y  z", "\ufeffEinÜber Große\u2028Tür—nein ", "a \u00a0", "one\u3000two three"]
+    space = "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", text.clean_text(F.col("t")).alias("c"), text.normalize_title(F.col("t")).alias("n")).collect():
+        clean = re.sub(space, " ", texts[r.i] or "").strip(" ")
+        assert r.c == clean
+        assert r.n == re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", clean.lower(), flags=re.ASCII)).strip(" ")
+
+
 CAND = "page_id int, pos int, title string, url string, top_y double, boundary_y double, score double, lead boolean"
 
 
