@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _work, decontam, exact_index, html_extract, hyperminhash, lang_id, mixing, pst, quality_cnn, recompress, token_rollup
+from . import _work, decontam, exact_index, html_extract, hyperminhash, keyed_upsert, lang_id, mixing, pst, quality_cnn, recompress, token_rollup
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -96,9 +96,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_index.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, changes = _read(spark, sf_dir, "clients"), _read(spark, sf_dir, "client_changes")
+    folder = _work.shared_dir(spark)
+    crc = lambda c: F.crc32(c.cast("string"))
+
+    def verdict(home_first: Column) -> Column:
+        h = crc(home_first) % 10
+        return F.when(h > 7, "ignore").when(F.coalesce(F.col("op") == "D", F.lit(False)) | F.coalesce(crc(F.col("change_id")) % 8 < h, F.lit(False)), "delete").otherwise("set")
+
+    size = 1 + clients.count() // 1500
+    files = keyed_upsert.upsert(clients.where(crc(F.col("client_id")) % 7 > 3), changes, "client_id", ["seq", "change_id"], ["source", "segment", "city", "balance"], folder, size, verdict)
+    text = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("source", "segment", "city")])
+    cents = F.coalesce(F.expr("try_cast(floor(100 * balance + 0.5) as bigint)"), F.lit(0))
+    out = keyed_upsert.describe(files, clients.schema, folder, "client_id", {"cents": cents, "rows_crc": F.crc32(text)})
+    return out.select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", "columns", "path", "rewritten")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_language_id, op2_html_text, op3_quality, op4_substring_dedup, op5_lm_score, op6_decontaminate, op7_token_counts, op8_near_dedup, op9_mix, op10_exact_dedup,
+        op1_language_id, op2_html_text, op3_quality, op4_substring_dedup, op5_lm_score, op6_decontaminate, op7_token_counts, op8_near_dedup, op9_mix, op10_exact_dedup, op11_keyed_upsert,
     )}
 
 
