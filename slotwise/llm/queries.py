@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _work, decontam, exact_index, html_extract, hyperminhash, keyed_upsert, lang_id, mixing, pst, quality_cnn, recompress, token_rollup
+from . import _work, decontam, exact_index, html_extract, hyperminhash, keyed_upsert, lang_id, mixing, pst, quality_cnn, recompress, token_align, token_rollup
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BYTE_BPE_JSON = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER = "byte_bpe_50k"
 
 
@@ -113,9 +114,14 @@ def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", "columns", "path", "rewritten")
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str, a_file: str = BYTE_BPE_JSON, b_file: str = PIECES) -> DataFrame:
+    return token_align.align(_read(spark, sf_dir, "documents"), a_file, b_file)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_language_id, op2_html_text, op3_quality, op4_substring_dedup, op5_lm_score, op6_decontaminate, op7_token_counts, op8_near_dedup, op9_mix, op10_exact_dedup, op11_keyed_upsert,
+        op12_token_align,
     )}
 
 
