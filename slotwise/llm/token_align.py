@@ -209,7 +209,10 @@ class _Result:
         return self.n_a, self.n_b, self.groups, self.links, self.digest.hexdigest(), pairs, times
 
 
-_tokenizers = lru_cache(1)(_Tokenizers)
+@lru_cache(1)
+def _tokenizers(a_file: str, b_file: str) -> _Tokenizers:
+    return _Tokenizers(a_file, b_file)
+
 
 _DOC = "row long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
