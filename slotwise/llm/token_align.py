@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,10 +30,10 @@ from ._tokens import tidy
 
 #: Pairs whose counts go to every task: 13 bytes each, 14 MB at most.
 MOST_COMMON = 1 << 20
-#: Parts that a worker remembers, and the length in characters from which it does not.
-REMEMBERED, LONG_PART = 100_000, 64
-#: Parts that are scanned at a time.
-SLICE_PARTS = 50_000
+#: Parts that a worker remembers, and the number of tokens from which it does not.
+REMEMBERED, LONG_PART = 300_000, 64
+#: Parts that are encoded at once, parts that are scanned at a time, and texts whose parts are looked up together.
+CHUNK, SLICE_PARTS, TEXTS = 400, 20_000, 250
 #: Links of one group beyond which they are counted by distinct ids.
 LARGE_GROUP = 4096
 POWERS = 10 ** np.arange(8)
@@ -48,6 +47,8 @@ LABELS = np.frombuffer(b".ab|", np.uint8)
 SPAN = re.compile(rb"[^|]*\|")
 #: How a byte-level tokenizer takes texts apart (fixed value of the public vocabulary).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of classes that are the same in all versions of Unicode that the engines know.
+QUICK = re.compile("[\0-\u024F]*")
 #: Places where a text may be taken apart.
 APART = re.compile(r"(?<=\S) (?=\S)")
 
@@ -63,7 +64,7 @@ def byte_level(vocab: dict[str, int]) -> list[bytes]:
 
 
 class _Tokenizers:
-    """Both tokenizers, the bytes and decimal forms of their ids, and the parts seen."""
+    """Both tokenizers and the tokens of the parts seen: a part's row, and for each row its stretches of A's and B's ids."""
 
     def __init__(self, a_file: str, b_file: str) -> None:
         import sentencepiece
@@ -72,77 +73,105 @@ class _Tokenizers:
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         vocab = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = byte_level(vocab)
-        self.ascii = self._ascii_encoder(json.loads(self.a.to_str()), vocab)
+        a_bytes = byte_level(vocab)
+        self.quick = self._quick_encoder(json.loads(self.a.to_str()), vocab, a_bytes)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.seen: dict[str, tuple[bytes, bytes] | None] = {}
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = (a_bytes, b_bytes)
+        self.len = tuple(np.array([len(x) for x in t], np.int64) for t in self.bytes)
+        self.forget()
 
-    def _ascii_encoder(self, spec: dict, vocab: dict[str, int]) -> Callable[[str], list[int]] | None:
-        """A quicker encoder of the same vocabulary, for ASCII, over which all engines agree on letters and spaces; only where merges and ids stand in one order."""
+    def _quick_encoder(self, spec: dict, vocab: dict[str, int], a_bytes: list[bytes]) -> Callable[[str], list[int]] | None:
+        """A quicker encoder of the same vocabulary; only where merges and ids stand in one order, and for QUICK characters, whose classes no engine has changed."""
         merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         first = len(vocab) - len(merges) - len(spec["added_tokens"])
         if (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"] or [vocab.get(m) for m in merges] != list(range(first, first + len(merges))):
             return None
         import tiktoken
 
-        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks={self.a_bytes[i]: i for i in range(first + len(merges))}, special_tokens={}).encode_ordinary
-
-    def learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """The ids of A and of B for each part, as int32; None if the tokens' bytes aren't the part's."""
-        plain = [p for p in parts if self.ascii and p.isascii()]
-        other = [p for p in parts if not (self.ascii and p.isascii())]
-        parts = plain + other
-        a = [array("i", self.ascii(" " + p)).tobytes() for p in plain]
-        a += [array("i", x.ids).tobytes() for x in self.a.encode_batch_fast([" " + p for p in other], add_special_tokens=False)]
-        b = [array("i", x).tobytes() for x in self.b.encode(parts, num_threads=1)]
-        texts = [(" " + p).encode() for p in parts]
+        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks={a_bytes[i]: i for i in range(first + len(merges))}, special_tokens={}).encode_ordinary
+
+    def forget(self) -> None:
+        """Drop what the last texts did not use, or all if that is too little."""
+        keep = np.zeros(0, np.int64)
+        if getattr(self, "row_of", None):
+            keep = np.flatnonzero(self.used & (self.n[0] + self.n[1] < LONG_PART))
+            keep = keep if len(keep) < REMEMBERED // 2 else keep[:0]
+        if len(keep):
+            new = np.full(len(self.used), -1, np.int64)
+            new[keep] = np.arange(len(keep))
+            at = new.tolist()
+            self.row_of = {p: at[r] for p, r in self.row_of.items() if at[r] >= 0}
+            self.ids = [self._gather(i, keep) for i in (0, 1)]
+            self.n, self.whole = [n[keep] for n in self.n], self.whole[keep]
+        else:
+            self.row_of: dict[str, int] = {}
+            self.ids, self.n, self.whole = [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2, np.zeros(0, bool)
+        self.start = [np.cumsum(n) - n for n in self.n]
+        self.used = np.zeros(len(self.whole), bool)
+
+    def _gather(self, i: int, rows: np.ndarray) -> np.ndarray:
+        n = self.n[i][rows]
+        return self.ids[i][np.repeat(self.start[i][rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember the tokens of parts; many are encoded at once, with a space between them, and told apart by their lengths in bytes."""
+        parts.sort(key=lambda p: QUICK.fullmatch(p) is None)  # quick ones first
+        n_quick = sum(QUICK.fullmatch(p) is not None for p in parts) if self.quick else 0
+        chunks = [" ".join(parts[i:to]) for lo, hi in ((0, n_quick), (n_quick, len(parts))) for i in range(lo, hi, CHUNK) for to in (min(hi, i + CHUNK),)]
+        n_chunks = -(-n_quick // CHUNK)
+        a = [self.quick(" " + c) for c in chunks[:n_chunks]] + [x.ids for x in self.a.encode_batch_fast([" " + c for c in chunks[n_chunks:]], add_special_tokens=False)]
+        text = "".join([" " + c for c in chunks]).encode()
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts)))
+        flat = [np.fromiter(chain.from_iterable(x), np.int32) for x in (a, self.b.encode(chunks, num_threads=1))]
+        cuts, plain = [], True
+        for i in (0, 1):
+            reach = np.cumsum(self.len[i][flat[i]])
+            cut = np.searchsorted(reach, ends)
+            plain = plain and len(reach) and cut[-1] < len(reach) and np.array_equal(reach[cut], ends) and b"".join([self.bytes[i][x] for x in flat[i].tolist()]) == text
+            cuts.append(np.diff(cut + 1, prepend=0))
         whole = np.ones(len(parts), bool)
-        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            said = b"".join([table[i] for i in np.frombuffer(b"".join(ids), np.int32).tolist()])
-            if said != b"".join(texts) or not self._lengths(ids, texts, table):
-                whole &= [b"".join([table[i] for i in np.frombuffer(x, np.int32).tolist()]) == t for x, t in zip(ids, texts, strict=True)]
-        return {p: (x, y) if ok else None for p, x, y, ok in zip(parts, a, b, whole.tolist(), strict=True)}
-
-    def _lengths(self, ids: list[bytes], texts: list[bytes], table: list[bytes]) -> bool:
-        sizes = np.cumsum((self.a_len if table is self.a_bytes else self.b_len)[np.frombuffer(b"".join(ids), np.int32)])
-        to = np.cumsum([len(x) // 4 for x in ids]) - 1
-        return bool(len(to) == 0 or (to[0] >= 0 and np.array_equal(sizes[to], np.cumsum([len(t) for t in texts]))))
+        if not plain:  # some part's tokens have other bytes: one by one
+            ids = [[x.ids for x in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)], self.b.encode(parts, num_threads=1)]
+            whole = np.array([all(b"".join([t[x] for x in y]) == (" " + p).encode() for t, y in zip(self.bytes, pair, strict=True)) for p, pair in zip(parts, zip(*ids, strict=True), strict=True)])
+            flat, cuts = [np.fromiter(chain.from_iterable(x), np.int32) for x in ids], [np.fromiter(map(len, x), np.int64) for x in ids]
+        self.row_of |= dict(zip(parts, range(len(self.whole), len(self.whole) + len(parts)), strict=True))
+        self.ids, self.n = [np.concatenate(x) for x in zip(self.ids, flat, strict=True)], [np.concatenate(x) for x in zip(self.n, cuts, strict=True)]
+        self.whole = np.concatenate([self.whole, whole])
+        self.start = [np.cumsum(n) - n for n in self.n]
+        self.used = np.concatenate([self.used, np.zeros(len(parts), bool)])
 
     def align(self, texts: list[str]) -> list[tuple]:
         """For each text (tokens of A, of B, groups, links, the groups' digest, distinct pairs, their numbers of links)."""
         apart = [APART.split(t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(apart)) - self.seen.keys())
-        learned = self.learn(new)
-        known = learned | self.seen
+        if len(self.whole) > REMEMBERED or len(self.ids[0]) + len(self.ids[1]) > 16 * REMEMBERED:
+            self.forget()
+        if new := list(set(chain.from_iterable(apart)) - self.row_of.keys()):
+            self.learn(new)
         results = [_Result() for _ in texts]
         held, size = [], 0
         for result, parts in zip(results, apart, strict=True):
-            ids = [known[p] for p in parts]
-            if None in ids:
+            rows = np.fromiter(map(self.row_of.__getitem__, parts), np.int64, len(parts))
+            self.used[rows] = True
+            if not self.whole[rows].all():
                 continue
             for start in range(0, len(parts), SLICE_PARTS):
-                some = ids[start : start + SLICE_PARTS]
-                held.append((result, b"".join([x[0] for x in some]), b"".join([x[1] for x in some])))
-                size += len(some)
+                held.append((result, rows[start : start + SLICE_PARTS]))
+                size += len(held[-1][1])
                 if size >= SLICE_PARTS:
                     self.scan(held)
                     held, size = [], 0
         if held:
             self.scan(held)
-        short = [p for p in learned if len(p) < LONG_PART][:REMEMBERED]
-        if len(self.seen) + len(short) > REMEMBERED:
-            self.seen = {}
-        self.seen |= {p: learned[p] for p in short}
         return [r.row() for r in results]
 
     def scan(self, held: list[tuple]) -> None:
-        """Add stretches of texts, each (result, ids of A, ids of B) and between places where both tokenizers end, to their results."""
-        n_a, n_b = (np.array([len(x[i]) // 4 for x in held]) for i in (1, 2))
-        a, b = (np.frombuffer(b"".join([x[i] for x in held]), np.int32).astype(np.int64) for i in (1, 2))
-        a_at, b_at = np.cumsum(self.a_len[a]) - 1, np.cumsum(self.b_len[b]) - 1
+        """Add stretches of texts, each (result, rows of its parts), to their results."""
+        rows, first = np.concatenate([x[1] for x in held]), np.cumsum([0] + [len(x[1]) for x in held[:-1]])
+        n_a, n_b = (np.add.reduceat(self.n[i][rows], first) for i in (0, 1))
+        a, b = (self._gather(i, rows).astype(np.int64) for i in (0, 1))
+        a_at, b_at = np.cumsum(self.len[0][a]) - 1, np.cumsum(self.len[1][b]) - 1
         ends = np.zeros(a_at[-1] + 1, np.uint8)
         ends[a_at] = 1
         ends[b_at] += 2
@@ -178,7 +207,7 @@ class _Tokenizers:
         pairs = (owner[g] << 2 * ID_BITS) + (a[(a_to - n)[g] + within // m[g]] << ID_BITS) + b[(b_to - m)[g] + within % m[g]]
         pairs, times = np.unique(pairs, return_counts=True)
         cuts = np.searchsorted(pairs, np.arange(len(held) + 1) << 2 * ID_BITS).tolist()
-        for i, (result, _, _) in enumerate(held):
+        for i, (result, _) in enumerate(held):
             part = slice(cuts[i], cuts[i + 1])
             result.add(int(n_a[i]), int(n_b[i]), int(groups[i]), int(links[i]), text[text_to[i - 1] if i else 0 : text_to[i] - 1], pairs[part] & (1 << 2 * ID_BITS) - 1, times[part])
         for i in np.flatnonzero(large):  # distinct ids with distinct ids: no list of all links
@@ -223,7 +252,7 @@ def _aligner(a_file: str, b_file: str) -> Callable[[Iterator[pa.RecordBatch]], I
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = both.align([t or "" for t in texts])
+            found = [x for i in range(0, len(texts), TEXTS) for x in both.align([t or "" for t in texts[i : i + TEXTS]])]
             cols = list(zip(*found, strict=True)) or [()] * 7
             rows = [range(row, row + len(ids)), ids, *cols[:5], [p.tobytes() for p in cols[5]], [t.tobytes() for t in cols[6]]]
             row += len(ids)
