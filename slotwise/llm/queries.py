@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _work, decontam, exact_index, html_extract, hyperminhash, keyed_upsert, lang_id, mixing, pst, quality_cnn, recompress, token_align, token_rollup
+from . import _work, decontam, exact_index, html_extract, hyperminhash, keyed_upsert, lang_id, license_scan, mixing, pst, quality_cnn, recompress, token_align, token_rollup
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -118,10 +118,14 @@ def op12_token_align(spark: SparkSession, sf_dir: str, a_file: str = BYTE_BPE_JS
     return token_align.align(_read(spark, sf_dir, "documents"), a_file, b_file)
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_language_id, op2_html_text, op3_quality, op4_substring_dedup, op5_lm_score, op6_decontaminate, op7_token_counts, op8_near_dedup, op9_mix, op10_exact_dedup, op11_keyed_upsert,
-        op12_token_align,
+        op12_token_align, op13_license_scan,
     )}
 
 
@@ -158,6 +162,32 @@ heads AS (
 SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, passes + CASE WHEN start < rest THEN 2 ELSE 1 END))::BIGINT AS epoch FROM heads"""
 
 
+def _op13_sql(lower: str, words: str) -> str:
+    """Every separator is doubled, so that a match takes one space on either side and the next one still has its own; a detection goes if another contains it."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ",\n".join(f"({r.no}, {quoted(r.label)}, {r.priority}, {r.confidence}, {quoted(f' {r.keyword} ')}, {quoted(' (?:' + r.pattern.replace(' ', '  ') + ') ')})" for r in license_scan.rules())
+    phrases = ", ".join(f"(['{chr(39).join(p.split(' ')).replace(chr(39), chr(39) + ', ' + chr(39))}'], '{name}')" for p, name in license_scan.BASE.items())
+    return f"""
+WITH rule(no, label, priority, confidence, keyword, pattern) AS (VALUES {table}),
+phrase(p, label) AS (VALUES {phrases}),
+doc AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({lower}, '{words}') AS w FROM documents),
+norm AS (SELECT r, w, ' ' || array_to_string(w, ' ') || ' ' AS body FROM doc),
+base AS (SELECT r, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(p) - 1] = p)) - 1 AS place FROM doc, phrase),
+bases AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+tried AS (SELECT r, no, label, priority, confidence, string_split_regex(body, pattern) AS between, regexp_extract_all(body, pattern) AS met
+  FROM (SELECT r, replace(body, ' ', '  ') AS body, rule.* FROM norm, rule WHERE contains(body, keyword)) WHERE regexp_matches(body, pattern)),
+places AS (SELECT * EXCLUDE (between, met), unnest(range(1, len(met) + 1)) AS i, between, met FROM tried),
+sized AS (SELECT r, no, label, priority, confidence, i, len(regexp_extract_all(between[i], '[^ ]+')) AS b, len(regexp_extract_all(met[i], '[^ ]+')) AS m FROM places),
+spans AS (SELECT *, sum(b) OVER o + sum(m) OVER o - m AS s, sum(b) OVER o + sum(m) OVER o AS e FROM sized WINDOW o AS (PARTITION BY r, no ORDER BY i ROWS UNBOUNDED PRECEDING)),
+stay AS (SELECT * FROM spans x WHERE NOT EXISTS (SELECT 1 FROM spans y WHERE y.r = x.r AND y.priority >= x.priority AND y.s <= x.s AND y.e >= x.e
+  AND (y.s < x.s OR y.e > x.e OR y.priority > x.priority OR y.no < x.no))),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM stay UNION ALL SELECT r, label FROM base) GROUP BY r),
+sure AS (SELECT r, max(confidence)::DOUBLE AS c FROM stay GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, greatest(CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END::DOUBLE, coalesce(c, 0)) AS score
+FROM doc LEFT JOIN bases USING (r) LEFT JOIN named USING (r) LEFT JOIN sure USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -194,6 +224,7 @@ least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
 FROM doc LEFT JOIN sizes USING (doc_id) LEFT JOIN least_ ON a = doc_id""",
         "op9_mix": _op9_sql(),
+        "op13_license_scan": _op13_sql(lower, words),
         "op10_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {lower} AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body)::BIGINT AS group_size,
