@@ -170,8 +170,8 @@ cc0-1.0 ; 2 ; 100 ; identifier cc0 ; spdx license identifier cc0 1 0
 unlicense ; 2 ; 100 ; identifier unlicense ; spdx license identifier unlicense
 zlib ; 2 ; 100 ; identifier zlib ; spdx license identifier zlib
 bsl-1.0 ; 2 ; 100 ; identifier bsl ; spdx license identifier bsl 1 0
-mit ; 2 ; 85 ; license mit ; (license|licence|licenses) mit
-apache-2.0 ; 2 ; 90 ; license apache 2 ; (license|licence) apache 2( 0)?
+mit ; 2 ; 85 ; license mit ; license mit
+apache-2.0 ; 2 ; 90 ; apache 2 ; (license|licence) apache 2( 0)?
 gpl-2.0 ; 2 ; 85 ; license gpl ; license gpl v?2( 0)?
 gpl-3.0 ; 2 ; 85 ; license gpl ; license gpl v?3( 0)?
 bsd ; 2 ; 80 ; license bsd ; license bsd
@@ -288,7 +288,7 @@ artistic ; 1 ; 40 ; artistic license ; artistic license
 sspl ; 1 ; 45 ; server side public license ; server side public license
 busl ; 1 ; 45 ; business source license ; business source license
 all-rights-reserved ; 1 ; 20 ; all rights reserved ; all rights reserved
-permissive ; 1 ; 30 ; permissive license ; permissive (open source )?license
+permissive ; 1 ; 30 ; permissive ; permissive (open source )?license
 copyleft ; 1 ; 30 ; copyleft ; copyleft( license)?
 eula ; 1 ; 40 ; end user license agreement ; end user license agreement
 """
