@@ -155,8 +155,9 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, order: list[str], sets
 
     ranked = changes.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.struct(*order, *[c for c in changes.columns if c not in order]).alias("_row"))
     best = ranked.groupBy("_key").agg(F.max("_row").alias("_row"))
-    best = best.select("_row.*", "_key", place(F.col("_key"), first).alias("_home"), _first_of(F.col("_key"), first).alias("_first"))
-    winners = best.select(F.col("_key").alias("key"), F.col("_home").alias("home"), verdict(F.col("_first")).alias("act"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(sets)]).where("act in ('set', 'delete')")
+    own = {n: n + "_" * max(map(len, changes.columns)) for n in ("key", "home", "first")}  # longer than any name of changes
+    best = best.select("_row.*", F.col("_key").alias(own["key"]), place(F.col("_key"), first).alias(own["home"]), _first_of(F.col("_key"), first).alias(own["first"]))
+    winners = best.select(F.col(own["key"]).alias("key"), F.col(own["home"]).alias("home"), verdict(F.col(own["first"])).alias("act"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(sets)]).where("act in ('set', 'delete')")
     winners = _work.settle(winners, f"{work}/winners")
 
     # Homes that take very many changes are cut further for the join.
