@@ -4,7 +4,7 @@ Keywords match at an overlap of 2 and a similarity of 0.24 if the shorter list h
 match by keywords therefore shares at least two of them, and lists hold 12 at most, so rows and anchors meet on pairs of
 keywords (66 each at most) instead of each with each. Lists are put in one order, common keywords last: the first two that lists
 share must leave enough behind them in both, so pairs of common keywords seldom lead to a comparison. Rows of equal keywords are
-matched once.
+matched once, and near copies among the anchors are counted by what they have in common.
 """
 
 from __future__ import annotations
@@ -50,44 +50,85 @@ def _ordered(classes: DataFrame) -> DataFrame:
     return ranked.groupBy("kid").agg(F.transform(words, lambda x: x["h"]).alias("words"))
 
 
-def _pairs(ordered: DataFrame) -> DataFrame:
-    """kid, size, and for each two keywords that may be the first two of a match: their hash (pair) and how many stand behind them (behind)."""
-    # Lists of nine and more match at an overlap of three at least, so their last keyword is none of the first two.
-    ends = F.sequence(F.lit(2), F.col("size") - F.when(F.col("size") >= 9, 1).otherwise(0))
-    each = ordered.withColumn("size", F.size("words")).where("size >= 2").withColumn("j", F.explode(ends))
-    each = each.withColumn("first", F.explode(F.slice("words", F.lit(1), F.col("j") - 1)))
-    return each.select("kid", "size", F.xxhash64("first", F.element_at("words", F.col("j"))).alias("pair"), (F.col("size") - F.col("j")).alias("behind"))
+def _pairs(lists: DataFrame, key: str) -> DataFrame:
+    """key, size, and for each two words of a list: their hash (pair), the words before the second but the first of the two (early), how many stand behind them (behind), and whether they may be the first two of a match (lead)."""
+    each = lists.where(F.size("words") >= 2).withColumn("j", F.explode(F.sequence(F.lit(2), F.size("words"))))
+    each = each.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("j") - 1)))
+    word = lambda n: F.element_at("words", F.col(n))
+    early = F.array_remove(F.slice("words", F.lit(1), F.col("j") - 1), word("i"))
+    # Lists of nine and more match at an overlap of three at least, so their last word is none of the first two.
+    lead = (F.col("j") < F.size("words")) | (F.col("size") < 9)
+    return each.select(key, "size", F.xxhash64(word("i"), word("j")).alias("pair"), early.alias("early"), (F.size("words") - F.col("j")).alias("behind"), lead.alias("lead"), word("i").alias("w1"), word("j").alias("w2"))
+
+
+def _cores(anchors: DataFrame) -> DataFrame:
+    """anchors (kid, keywords, words) with core, a part of their keywords, and words cut to it.
+
+    Lists that share the word of the smallest hash form a cluster. Where words that a sixteenth of a cluster's lists have make up three quarters of all its words, as in a group of
+    near copies, those are the core (at most 192 words); a list's other words are its extras. Elsewhere all words are core.
+    """
+    own = anchors.withColumn("cluster", F.array_min(F.transform("words", lambda h: F.xxhash64(h))))
+    df = own.select("cluster", F.explode("words").alias("w")).groupBy("cluster", "w").agg(F.count("*").alias("f"))
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("m"))
+    shared_ = df.join(sizes, "cluster").withColumn("often", F.col("f") * 16 >= F.col("m"))
+    tight = F.sum(F.when(F.col("often"), F.col("f"))) * 4 >= F.sum("f") * 3
+    cores = shared_.groupBy("cluster").agg(F.collect_list(F.when(F.col("often"), F.col("w"))).alias("core_words"), tight.alias("tight"), F.bool_and("often").alias("whole")).where("tight and not whole").drop("tight", "whole")
+    out = own.join(cores, "cluster", "left")
+    cut = lambda words, of: F.when(F.col("core_words").isNull(), words).otherwise(F.filter(words, lambda w: F.array_contains("core_words", of(w))))
+    return out.select("kid", "keywords", "size", cut(F.col("keywords"), F.xxhash64).alias("core"), cut(F.col("words"), lambda h: h).alias("words"), F.col("words").alias("all_words"))
 
 
 def similar(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """rows (id, keywords) against anchors (id, keywords): for each row that matches any anchor but itself: id, n_anchors, best_anchor (most similar, then smallest id), best_score.
 
-    Only classes of equal keywords meet, and only those that share two keywords with enough others behind them. Hashes choose who
-    meets; the keywords decide. A class's anchors are counted, not listed. Keywords are written once to the shared folder.
+    Matches are counted by groups. Anchors of equal core (see `_cores`) and size are one bucket; a row that shares no extra word with an anchor overlaps it as it does the bucket's
+    core, so a bucket counts at once for all its anchors. For anchors that do share an extra word with the row, few and found by pairs of words that hold one, the difference is made good.
+    The best anchor is right too: what a bucket's core gives is never more than an anchor's own similarity, and equal where no extra word is shared.
+    Lists meet on the first two words that they share, so each row and bucket meet once. Hashes choose who meets; the keywords decide. Keywords are written once to the shared folder.
     """
-    kid = _kid("k")
     key = F.array_join(F.array_sort("keywords"), " ")
-    joined = lambda d, name: shared.settle(d.select("id", "keywords"), name).select("id", "keywords", key.alias("k")).where("k <> ''")
+    joined = lambda d, name: shared.settle(d.select("id", F.array_distinct("keywords").alias("keywords")), name).select("id", "keywords", key.alias("k")).where("k <> ''").withColumn("kid", _kid("k"))
     r, a = joined(rows, "rows"), joined(anchors, "anchors")
-    anchor_classes = a.groupBy("k").agg(F.first("keywords").alias("kb"), F.count("*").alias("n"), F.min("id").alias("lo"))
-    second = a.join(anchor_classes.select("k", "lo"), "k").where("id > lo").groupBy("k").agg(F.min("id").alias("second"))
-    anchor_classes = anchor_classes.join(second, "k", "left")
-    row_classes = r.groupBy("k").agg(F.first("keywords").alias("ka"))
-    classes = r.select("k", "keywords", F.lit(0).alias("side")).unionByName(a.select("k", "keywords", F.lit(1).alias("side")))
-    classes = shared.settle(classes.groupBy("k").agg(F.first("keywords").alias("keywords"), (F.min("side") == 0).alias("is_row"), (F.max("side") == 1).alias("is_anchor")).withColumn("kid", kid), "classes")
-    pairs = shared.settle(_pairs(_ordered(classes)).join(classes.select("kid", "is_row", "is_anchor"), "kid"), "pairs")
-    left = pairs.where("is_row").select("pair", "kid", F.col("size").alias("sa"), F.col("behind").alias("ba"))
-    right = pairs.where("is_anchor").select("pair", F.col("kid").alias("kkid"), F.col("size").alias("sb"), F.col("behind").alias("bb"))
+    classes = r.select("kid", "keywords", F.lit(0).alias("side")).unionByName(a.select("kid", "keywords", F.lit(1).alias("side")))
+    classes = shared.settle(classes.groupBy("kid").agg(F.first("keywords").alias("keywords"), (F.min("side") == 0).alias("is_row"), (F.max("side") == 1).alias("is_anchor")), "classes")
+    lists = shared.settle(_ordered(classes).join(classes, "kid").withColumn("size", F.size("words")), "lists")
+    row_lists = lists.where("is_row").select("kid", F.col("keywords").alias("ka"), F.col("size").alias("sa"))
+
+    # Anchors by class, then by bucket: how many, the smallest id and the next.
+    firsts = a.groupBy("kid").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    second = a.join(firsts.select("kid", "lo"), "kid").where("id > lo").groupBy("kid").agg(F.min("id").alias("second"))
+    cored = _cores(lists.where("is_anchor")).withColumn("bid", F.unhex(F.md5(F.concat_ws(",", F.array_join(F.array_sort("core"), " "), F.col("size").cast("string")).cast("binary"))))
+    cored = shared.settle(cored.join(firsts, "kid").join(second, "kid", "left"), "cored")
+    buckets = cored.groupBy("bid").agg(F.first("core").alias("core"), F.first("words").alias("words"), F.first("size").alias("size"), F.sum("n").alias("n"), F.min("lo").alias("lo"))
+    after = cored.select("bid", F.col("lo").alias("l"), "second").join(buckets.select("bid", "lo"), "bid").groupBy("bid").agg(F.min(F.when(F.col("l") == F.col("lo"), F.col("second")).otherwise(F.col("l"))).alias("second"))
+    buckets = shared.settle(buckets.join(after, "bid"), "buckets")
+
+    pairs = shared.settle(_pairs(lists.where("is_row"), "kid"), "pairs")
+    left = pairs.where("lead").select("pair", "kid", F.col("size").alias("sa"), F.col("behind").alias("ba"), F.col("early").alias("ea"))
+    right = _pairs(buckets, "bid").where("lead").select("pair", "bid", F.col("size").alias("sb"), F.col("behind").alias("bb"), F.col("early").alias("eb"))
     most = F.least("ba", "bb") + 2
-    hopeful = _enough(F.least("sa", "sb"), most, most / (F.col("sa") + F.col("sb") - most))
-    near = left.join(right, "pair").where(hopeful).select("kid", "kkid").distinct()
-    met = near.join(row_classes.withColumn("kid", kid), "kid").join(anchor_classes.withColumnRenamed("k", "kk").withColumn("kkid", _kid("kk")), "kkid")
-    score, _ = text.jaccard(F.col("ka"), F.col("kb"))
-    met = met.where(keywords_match(F.col("ka"), F.col("kb"))).select("k", "kk", "n", "lo", "second", F.round(score, 9).alias("score"))
-    ids = a.select(F.col("id"), F.lit(1).alias("is_anchor"))
-    out = r.select("id", "k").join(ids, "id", "left").join(met, "k")
-    own = (F.col("k") == F.col("kk")) & F.col("is_anchor").isNotNull()
-    n = F.col("n") - F.when(own, 1).otherwise(0)
+    hopeful = _enough(F.least("sa", "sb"), most, most / (F.col("sa") + F.col("sb") - most)) & ~F.arrays_overlap("ea", "eb")
+    enough = lambda ov, sb: _enough(F.least(F.col("sa"), sb), ov, ov / (F.col("sa") + sb - ov))
+    score = lambda ov, sb: F.round(ov / (F.col("sa") + sb - ov), 9)
+    met = left.join(right, "pair").where(hopeful).select("kid", "bid").join(row_lists, "kid").join(buckets.select("bid", "core", F.col("size").alias("sb"), "n", "lo", "second"), "bid")
+    met = met.withColumn("ov", F.size(F.array_intersect("ka", "core"))).where(enough(F.col("ov"), F.col("sb")))
+    met = met.select("kid", "bid", F.lit(None).cast("binary").alias("kkid"), F.lit(1).alias("sign"), "n", "lo", "second", score(F.col("ov"), F.col("sb")).alias("score"))
+
+    # Rows and anchors that share an extra word and another.
+    extra = _pairs(cored.where(F.size("words") < F.size("all_words")).select("kid", "size", F.col("words").alias("core_words"), F.col("all_words").alias("words")), "kid").join(cored.select("kid", F.col("words").alias("core_words")), "kid")
+    extra = extra.where(~F.array_contains("core_words", F.col("w1")) | ~F.array_contains("core_words", F.col("w2"))).select("pair", F.col("kid").alias("kkid"))
+    more = pairs.select("pair", "kid").join(extra, "pair").select("kid", "kkid").distinct().join(row_lists, "kid")
+    more = more.join(cored.select(F.col("kid").alias("kkid"), "bid", F.col("keywords").alias("kb"), "core", F.col("size").alias("sb"), "n", "lo", "second"), "kkid")
+    more = more.withColumn("ov", F.size(F.array_intersect("ka", "kb"))).withColumn("was", F.size(F.array_intersect("ka", "core"))).where(enough(F.col("ov"), F.col("sb")))
+    more = more.select("kid", "bid", "kkid", F.when(enough(F.col("was"), F.col("sb")), 0).otherwise(1).alias("sign"), "n", "lo", "second", score(F.col("ov"), F.col("sb")).alias("score"))
+
+    # A row that is an anchor too is not its own match: one less in its own bucket and its own class.
+    found = met.unionByName(more)
+    ids = a.join(cored.select("kid", F.col("bid").alias("own_bid")), "kid").select("id", "own_bid")
+    out = r.select("id", "kid").join(ids, "id", "left").join(found, "kid")
+    own = F.col("own_bid").isNotNull() & F.when(F.col("kkid").isNull(), F.col("bid") == F.col("own_bid")).otherwise(F.col("kkid") == F.col("kid"))
+    others = F.col("n") - F.when(own, 1).otherwise(0)
     best = F.when(own & (F.col("lo") == F.col("id")), F.col("second")).otherwise(F.col("lo"))
-    out = out.withColumn("m", n).where("m > 0").withColumn("best", best)
-    return out.groupBy("id").agg(F.sum("m").alias("n_anchors"), F.max_by("best", F.struct("score", -F.col("best"))).alias("best_anchor"), F.max("score").alias("best_score"))
+    out = out.withColumn("m", others).where("m > 0").withColumn("best", best)
+    out = out.groupBy("id").agg(F.sum(F.col("m") * F.col("sign")).alias("n_anchors"), F.max_by("best", F.struct("score", -F.col("best"))).alias("best_anchor"), F.max("score").alias("best_score"))
+    return out
