@@ -50,29 +50,32 @@ def _ordered(classes: DataFrame) -> DataFrame:
     return ranked.groupBy("kid").agg(F.transform(words, lambda x: x["h"]).alias("words"))
 
 
-def _pairs(lists: DataFrame, key: str) -> DataFrame:
-    """key, size, and for each two words of a list: their hash (pair), the words before the second but the first of the two (early), how many stand behind them (behind), and whether they may be the first two of a match (lead)."""
+def _pairs(lists: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, size, and for each two words of a list: their hash (pair), their places i < j, the words before the second but the first of the two (early), how many stand behind them (behind), and whether they may be the first two of a match (lead)."""
     each = lists.where(F.size("words") >= 2).withColumn("j", F.explode(F.sequence(F.lit(2), F.size("words"))))
     each = each.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("j") - 1)))
     word = lambda n: F.element_at("words", F.col(n))
     early = F.array_remove(F.slice("words", F.lit(1), F.col("j") - 1), word("i"))
     # Lists of nine and more match at an overlap of three at least, so their last word is none of the first two.
     lead = (F.col("j") < F.size("words")) | (F.col("size") < 9)
-    return each.select(key, "size", F.xxhash64(word("i"), word("j")).alias("pair"), early.alias("early"), (F.size("words") - F.col("j")).alias("behind"), lead.alias("lead"), word("i").alias("w1"), word("j").alias("w2"))
+    return each.select(key, "size", F.xxhash64(word("i"), word("j")).alias("pair"), "i", "j", early.alias("early"), (F.size("words") - F.col("j")).alias("behind"), lead.alias("lead"), *more)
 
 
 def _cores(anchors: DataFrame) -> DataFrame:
-    """anchors (kid, keywords, words) with core, a part of their keywords, and words cut to it.
+    """anchors (kid, keywords, words, size) with core, a part of their keywords, words cut to it, and all_words.
 
-    Lists that share the word of the smallest hash form a cluster. Where words that a sixteenth of a cluster's lists have make up three quarters of all its words, as in a group of
-    near copies, those are the core (at most 192 words); a list's other words are its extras. Elsewhere all words are core.
+    A list joins the cluster of that pair of its words that most lists have. Where words that a sixteenth of a cluster's lists have make up half of all its words, as in a group of
+    near copies or of texts that begin with one passage, those are the core (at most 192 words); a list's other words are its extras. Elsewhere all words are core.
     """
-    own = anchors.withColumn("cluster", F.array_min(F.transform("words", lambda h: F.xxhash64(h))))
-    df = own.select("cluster", F.explode("words").alias("w")).groupBy("cluster", "w").agg(F.count("*").alias("f"))
+    pairs = _pairs(anchors, "kid").select("kid", "pair")
+    often = pairs.groupBy("pair").agg(F.count("*").alias("f"))
+    chosen = pairs.join(often, "pair").groupBy("kid").agg(F.max_by("pair", F.struct("f", "pair")).alias("cluster"))
+    own = anchors.join(chosen, "kid", "left")
+    df = own.where("cluster is not null").select("cluster", F.explode("words").alias("w")).groupBy("cluster", "w").agg(F.count("*").alias("f"))
     sizes = own.groupBy("cluster").agg(F.count("*").alias("m"))
-    shared_ = df.join(sizes, "cluster").withColumn("often", F.col("f") * 16 >= F.col("m"))
-    tight = F.sum(F.when(F.col("often"), F.col("f"))) * 4 >= F.sum("f") * 3
-    cores = shared_.groupBy("cluster").agg(F.collect_list(F.when(F.col("often"), F.col("w"))).alias("core_words"), tight.alias("tight"), F.bool_and("often").alias("whole")).where("tight and not whole").drop("tight", "whole")
+    marked = df.join(sizes, "cluster").withColumn("often", F.col("f") * 16 >= F.col("m"))
+    tight = F.sum(F.when(F.col("often"), F.col("f"))) * 2 >= F.sum("f")
+    cores = marked.groupBy("cluster").agg(F.collect_list(F.when(F.col("often"), F.col("w"))).alias("core_words"), tight.alias("tight"), F.bool_and("often").alias("whole")).where("tight and not whole").drop("tight", "whole")
     out = own.join(cores, "cluster", "left")
     cut = lambda words, of: F.when(F.col("core_words").isNull(), words).otherwise(F.filter(words, lambda w: F.array_contains("core_words", of(w))))
     return out.select("kid", "keywords", "size", cut(F.col("keywords"), F.xxhash64).alias("core"), cut(F.col("words"), lambda h: h).alias("words"), F.col("words").alias("all_words"))
@@ -115,9 +118,15 @@ def similar(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     met = met.select("kid", "bid", F.lit(None).cast("binary").alias("kkid"), F.lit(1).alias("sign"), "n", "lo", "second", score(F.col("ov"), F.col("sb")).alias("score"))
 
     # Rows and anchors that share an extra word and another.
-    extra = _pairs(cored.where(F.size("words") < F.size("all_words")).select("kid", "size", F.col("words").alias("core_words"), F.col("all_words").alias("words")), "kid").join(cored.select("kid", F.col("words").alias("core_words")), "kid")
-    extra = extra.where(~F.array_contains("core_words", F.col("w1")) | ~F.array_contains("core_words", F.col("w2"))).select("pair", F.col("kid").alias("kkid"))
-    more = pairs.select("pair", "kid").join(extra, "pair").select("kid", "kkid").distinct().join(row_lists, "kid")
+    extra = _pairs(cored.where(F.size("words") < F.size("all_words")).select("kid", "size", F.col("words").alias("core_words"), F.col("all_words").alias("words")), "kid", "words", "core_words")
+    is_extra = lambda n: ~F.array_contains("core_words", F.element_at("words", F.col(n)))
+    extra = extra.withColumns({"x1": is_extra("i"), "x2": is_extra("j")}).where("x1 or x2")
+    extra = extra.select("pair", F.col("kid").alias("kkid"), F.col("i").alias("ib"), F.col("early").alias("eb"), F.array_except("early", "core_words").alias("xb"), "x1")
+    # Each row and anchor meet once: on the first extra word that they share and the first other word.
+    apart = lambda x, y: ~F.arrays_overlap(x, y)
+    before = apart(F.slice("early", F.lit(1), F.col("i") - 1), F.slice("eb", F.lit(1), F.col("ib") - 1))
+    once = before & F.when(F.col("x1"), apart("early", "eb")).otherwise(apart("early", "xb"))
+    more = pairs.select("pair", "kid", "i", "early").join(extra, "pair").where(once).select("kid", "kkid").join(row_lists, "kid")
     more = more.join(cored.select(F.col("kid").alias("kkid"), "bid", F.col("keywords").alias("kb"), "core", F.col("size").alias("sb"), "n", "lo", "second"), "kkid")
     more = more.withColumn("ov", F.size(F.array_intersect("ka", "kb"))).withColumn("was", F.size(F.array_intersect("ka", "core"))).where(enough(F.col("ov"), F.col("sb")))
     more = more.select("kid", "bid", "kkid", F.when(enough(F.col("was"), F.col("sb")), 0).otherwise(1).alias("sign"), "n", "lo", "second", score(F.col("ov"), F.col("sb")).alias("score"))
