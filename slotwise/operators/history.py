@@ -1,4 +1,7 @@
-"""Run-length history, "since", change capture and carried state, over observation rows ordered by (observed_at, id)."""
+"""Run-length history, "since", change capture and carried state, over observation rows ordered by (observed_at, id).
+
+Rows without a source are a source of their own; rows without a time come before all others of their source.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +29,12 @@ def _by_day(rows: DataFrame, value: Column, group: str) -> tuple[DataFrame, Data
     return rows, days
 
 
+def _with_days(rows: DataFrame, days: DataFrame, group: str) -> DataFrame:
+    """rows with their day's columns; rows without group or time are of one group or day of their own."""
+    own = days.withColumnsRenamed({group: "_g", DAY: "_d"})
+    return rows.join(own, F.col(group).eqNullSafe(F.col("_g")) & F.col(DAY).eqNullSafe(F.col("_d"))).drop("_g", "_d")
+
+
 def islands(obs: DataFrame, by: list[str], attributes: list[str] = (), group: str = "source_id") -> DataFrame:
     """One row for each run of equal `by` values: group, island, by, first_seen_at, last_seen_at, seen_count, attributes.
 
@@ -36,10 +45,10 @@ def islands(obs: DataFrame, by: list[str], attributes: list[str] = (), group: st
     step = F.when(F.col("_prev").isNotNull() & ~F.col("_prev").eqNullSafe(F.col("_now")), 1).otherwise(0)
     rows = rows.withColumn("_step", F.sum(step).over(Window.partitionBy(group, DAY).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)))
     steps = rows.groupBy(group, DAY).agg(F.max("_step").alias("_steps"))
-    days = days.join(steps, [group, DAY]).withColumn("_new", F.when(F.col("_edge").eqNullSafe(F.col("_first")), 0).otherwise(1))
+    days = _with_days(days, steps, group).withColumn("_new", F.when(F.col("_edge").eqNullSafe(F.col("_first")), 0).otherwise(1))
     upto = Window.partitionBy(group).orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0)
     days = days.select(group, DAY, (F.sum("_new").over(upto) + F.sum("_steps").over(upto) - F.col("_steps")).alias("_base"))
-    rows = rows.join(days, [group, DAY]).withColumn("island", (F.col("_base") + F.col("_step")).cast("long"))
+    rows = _with_days(rows, days, group).withColumn("island", (F.col("_base") + F.col("_step")).cast("long"))
     last = [F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.struct(*_order()))).alias(a) for a in attributes]
     return rows.groupBy(group, "island", *by).agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), F.count("*").alias("seen_count"), *last)
 
@@ -56,7 +65,7 @@ def changed_only(obs: DataFrame, cols: list[str], group: str = "source_id") -> D
     """Rows that differ from the one before them in any of cols; null and '' are the same."""
     plain = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
     rows, days = _by_day(obs, plain, group)
-    rows = rows.join(days.select(group, DAY, "_edge"), [group, DAY])
+    rows = _with_days(rows, days.select(group, DAY, "_edge"), group)
     before = F.coalesce("_prev", "_edge")
     return rows.where(before.isNull() | (before != F.col("_now"))).select(*obs.columns)
 

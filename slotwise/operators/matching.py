@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..sources import shared
+from ..functions import story, text
+from ..sources import registry, shared
 
 # Fixed values.
 SHORT, SHORT_OVERLAP, SHORT_SCORE, LONG_OVERLAP, LONG_SCORE = 5, 2, 0.24, 3, 0.30
@@ -141,3 +141,45 @@ def similar(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     out = out.withColumn("m", others).where("m > 0").withColumn("best", best)
     out = out.groupBy("id").agg(F.sum(F.col("m") * F.col("sign")).alias("n_anchors"), F.max_by("best", F.struct("score", -F.col("best"))).alias("best_anchor"), F.max("score").alias("best_score"))
     return out
+
+
+def moments(events: DataFrame, anchors: DataFrame, lookback_minutes: int, forward_minutes: int) -> DataFrame:
+    """Frames of many anchor stories at once: for each row of anchors (anchor_id, observed_at, title, url) the rows of events (id, observed_at, source_id, slot_key, title, url) in lead and
+    ranked slots, from lookback before it to forward behind it, that match its story: anchor_id, t0, id, observed_at, source_id, slot_key, title, url, rank, source_name.
+
+    Time is cut into buckets as long as the whole window, so an anchor lies in two at most and an event in one, and rows meet by bucket and canonical URL, bucket and
+    fingerprint, or bucket and the first two keywords that they share; exact bounds and keywords decide. Distinct lists of keywords meet, not rows. Events or anchors without a
+    time match nothing; rows that repeat as a whole give one frame.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    back, ahead = lookback_minutes * 60_000_000, forward_minutes * 60_000_000
+    width = max(back + ahead, 60_000_000)
+    own = ["id", "observed_at", "source_id", "slot_key", "title", "url"]
+    bucket = lambda c: F.floor(c / width)
+    facts = lambda d: d.withColumn("s", story.story(F.col("url"), F.col("title"))).withColumns({"cu": F.col("s.canonical_url"), "fp": F.col("s.fingerprint"), "kw": F.array_distinct(F.coalesce("s.keywords", F.array().cast("array<string>")))}).drop("s").withColumn("kid", _kid_of("kw"))
+    slots = events.where((F.col("slot_key") == "hero:1") | F.col("slot_key").rlike(story.SLOT_TOP))
+    ev = shared.settle(facts(slots.select(*own).withColumn("t", micros("observed_at")).where("t is not null")).withColumn("b", bucket(F.col("t"))), "moment-events")
+    an = anchors.select("anchor_id", F.col("observed_at").alias("t0"), "title", "url").withColumn("at", micros("t0")).where("at is not null")
+    an = facts(an).withColumn("b", F.explode(F.sequence(bucket(F.col("at") - back), bucket(F.col("at") + ahead)))).drop("title", "url")
+    an = shared.settle(an, "moment-anchors")
+    near = F.col("t").between(F.col("at") - back, F.col("at") + ahead)
+    out = ["anchor_id", "t0", *own]
+
+    keys = F.explode(F.array_distinct(F.filter(F.array(F.concat(F.lit("u"), F.nullif("cu", F.lit(""))), F.concat(F.lit("f"), F.nullif("fp", F.lit("")))), lambda k: k.isNotNull()))).alias("key")
+    same = ev.select(*own, "t", "b", keys).join(an.select("anchor_id", "t0", "at", "b", keys), ["b", "key"]).where(near).select(*out)
+
+    lists = ev.select("kid", "kw").unionByName(an.select("kid", "kw")).groupBy("kid").agg(F.first("kw").alias("keywords"))
+    lists = shared.settle(_ordered(lists).join(lists, "kid").withColumn("size", F.size("words")), "moment-lists")
+    pairs = shared.settle(_pairs(lists, "kid").where("lead").select("kid", "size", "pair", "behind", "early"), "moment-pairs")
+    side = lambda d, x: d.select("b", "kid").distinct().join(pairs, "kid").select("b", "pair", F.col("kid").alias(f"kid{x}"), F.col("size").alias(f"s{x}"), F.col("behind").alias(f"b{x}"), F.col("early").alias(f"e{x}"))
+    most = F.least("ba", "bb") + 2
+    hopeful = _enough(F.least("sa", "sb"), most, most / (F.col("sa") + F.col("sb") - most)) & ~F.arrays_overlap("ea", "eb")
+    words = lambda x: lists.select(F.col("kid").alias(f"kid{x}"), F.col("keywords").alias(f"k{x}"))
+    met = side(ev, "a").join(side(an, "b"), ["b", "pair"]).where(hopeful).select("b", "kida", "kidb").join(words("a"), "kida").join(words("b"), "kidb").where(keywords_match(F.col("ka"), F.col("kb"))).select("b", "kida", "kidb")
+    alike = met.join(ev.withColumnRenamed("kid", "kida"), ["b", "kida"]).join(an.select("anchor_id", "t0", "at", "b", F.col("kid").alias("kidb")), ["b", "kidb"]).where(near).select(*out)
+    frames = same.unionByName(alike).distinct()
+    return registry.with_name(frames.withColumn("rank", story.slot_rank(F.col("slot_key"))))
+
+
+def _kid_of(keywords: str) -> Column:
+    return F.unhex(F.md5(F.array_join(F.array_sort(keywords), " ").cast("binary")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import story, text, urls
 from ..operators import diff, extract, frames, heroes, history, matching, scoring
 from ..sources import readers, registry, shared, sinks
-from ..streaming import streams
+from ..streaming import changes, streams
 from . import views
 from .views import CANDIDATES_SQL, OBSERVATIONS_SQL, PAGE_STORIES_SQL, SNAPSHOTS_SQL, WHOLE_TEXTS_SQL
 
@@ -467,6 +467,19 @@ def moment_build(spark, d):
     return moment(views.observations(spark, d), NOW, source_id="src3", url="https://www.news.example/story/1/?utm_source=x", lookback_minutes=9999, forward_minutes=9999)
 
 
+@query(f"""WITH {OBSERVATIONS_SQL}, src AS (SELECT id, observed_at, source_id, slot_key, title, url FROM obs), u AS ({_url_parts()}), n AS (SELECT * EXCLUDE (ps), {_NORMAL} AS cu, {_normal('title')} AS tn FROM u),
+s AS (SELECT *, {_keywords('tn')} AS kw, sha1(CASE WHEN cu <> '' AND tn <> '' THEN cu || '|' || tn WHEN cu <> '' THEN cu WHEN tn <> '' THEN tn ELSE 'unknown' END) AS fp FROM n),
+anchors AS (SELECT * FROM s WHERE slot_key = 'hero:1' AND observed_at >= {SINCE} 24 HOURS AND observed_at < '{NOW}'),
+x AS (SELECT a, b, len(list_intersect(a.kw, b.kw)) AS ov, greatest(len(list_distinct(list_concat(a.kw, b.kw))), 1) AS un FROM s a JOIN anchors b ON a.observed_at >= b.observed_at - INTERVAL 120 MINUTES AND a.observed_at <= b.observed_at + INTERVAL 30 MINUTES)
+SELECT b.id AS anchor_id, b.observed_at AS t0, a.id AS id, a.observed_at AS observed_at, a.source_id AS source_id, a.slot_key AS slot_key, a.title AS title, a.url AS url,
+  CASE WHEN a.slot_key = 'hero:1' THEN 1 ELSE CAST(substr(a.slot_key, 7) AS INT) END AS rank, a.source_id AS source_name FROM x WHERE (b.cu <> '' AND a.cu = b.cu) OR a.fp = b.fp OR {_MATCH}""")
+def moments_of_day(spark, d):
+    """Moments around every lead of the last day, two hours back and half an hour ahead."""
+    o = views.observations(spark, d)
+    leads = o.where((F.col("slot_key") == "hero:1") & (F.col("observed_at") >= ago("24 hours")) & (F.col("observed_at") < ntz(NOW)))
+    return matching.moments(o, leads.withColumnRenamed("id", "anchor_id"), 120, 30)
+
+
 @query(f"WITH {CANDIDATES_SQL} SELECT page_id, href, min(pos) AS pos, arg_min(title, pos) AS title FROM cand GROUP BY ALL")
 def first_wins_dedup(spark, d):
     return scoring.first_by_url(views.candidates(spark, d), url="href").select("page_id", "href", "pos", "title")
@@ -727,6 +740,18 @@ def stream_history(spark, d):
     return streams.latest_history(got).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
 
 
+@query(f"WITH {_diff_sql('fingerprint')} SELECT * FROM diff")
+def stream_snapshot_diff(spark, d):
+    """The ranked lists as a stream; a row of no source's run, two days behind the last, lets the watermark pass them all."""
+    at = shared.folder(spark, "stream")
+    lists = views.snapshots(spark, d)
+    tick = lists.agg((F.max("observed_at") + F.expr("interval 2 days")).alias("observed_at")).where("observed_at is not null").withColumn("source_id", F.lit("tick"))
+    lists.unionByName(tick, allowMissingColumns=True).write.parquet(f"{at}/lists")
+    stream = streams.read_events(spark, f"{at}/lists", lists.schema)
+    got = streams.run_to_files(changes.snapshot_diff(stream), at, f"{at}/checkpoint")
+    return got.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

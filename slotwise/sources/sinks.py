@@ -46,20 +46,26 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
 
 
 def append_changed(runs: DataFrame, path: str) -> None:
-    """Attempt rows that differ in title, url, ok or error from the one before: in the batch, or the source's latest row that is stored already."""
+    """Attempt rows that differ in title, url, ok or error from the one before them, be it of the batch or stored already.
+
+    For each source the batch's rows are compared with the stored rows from its earliest on and the last before that, so a late row finds its place between those stored. Rows that are stored stay.
+    """
     there = _stored(runs.sparkSession, path)
     rows = runs.withColumn("_kept", F.lit(False))
     if there is not None:
-        order = F.struct("observed_at", "id")
-        known = there.join(F.broadcast(runs.select("source_id").distinct()), "source_id", "left_semi")  # a row for each source
-        last = known.groupBy("source_id").agg(F.max_by(F.struct(*there.columns), order).alias("x")).select("x.*")
-        rows = rows.unionByName(last.select(*[c for c in runs.columns if c in there.columns]).withColumn("_kept", F.lit(True)), allowMissingColumns=True)
+        at = F.struct("observed_at", "id")
+        since = runs.groupBy(F.col("source_id").alias("_s")).agg(F.min(at).alias("_since"))
+        known = there.join(since, F.col("source_id").eqNullSafe(F.col("_s"))).withColumn("_before", at < F.col("_since"))
+        own = [c for c in runs.columns if c in there.columns]
+        last = known.where("_before").groupBy("_s").agg(F.max_by(F.struct(*own), at).alias("x")).select("x.*")
+        near = known.where("not _before").select(*own).unionByName(last)
+        rows = rows.unionByName(near.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
     append(history.changed_only(rows, ["title", "url", "ok", "error"]).where("not _kept").drop("_kept"), path)
 
 
 def diff_events(changes: DataFrame, swaps: DataFrame | None = None) -> DataFrame:
-    """Change events as rows to store, each under a key made of its run, code and story; swaps of the lead (`diff.hero_swaps`) are events of their own, HERO_SWAP."""
-    rows = changes.select("source_id", "run_id", "observed_at", "event_type", "key", "from_rank", "to_rank", "from_title", "to_title", "url", "seq")
+    """Change events as rows to store, each under a key made of its run, code and story, with the run it was compared with (from_run_id); swaps of the lead (`diff.hero_swaps`) are events of their own, HERO_SWAP."""
+    rows = changes.select("source_id", "run_id", F.col("prev_run_id").alias("from_run_id"), "observed_at", "event_type", "key", "from_rank", "to_rank", "from_title", "to_title", "url", "seq")
     if swaps is not None:
         lead = swaps.where("hero_swap").select("source_id", "run_id", "observed_at", F.lit("HERO_SWAP").alias("event_type"), F.col("hero_key").alias("key"), F.lit(3).cast("long").alias("seq"))
         rows = rows.unionByName(lead, allowMissingColumns=True)
