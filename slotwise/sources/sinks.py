@@ -30,6 +30,24 @@ def _stored(spark, path: str) -> DataFrame | None:
         return None
 
 
+def _at(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def drop_partition(spark, path: str, values: dict[str, object]) -> None:
+    """Remove one partition's folder, if it is there."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    name = lambda v: "__HIVE_DEFAULT_PARTITION__" if v is None else escape(str(v))
+    at, fs = _at(spark, "/".join([path, *(f"{k}={name(v)}" for k, v in values.items())]))
+    fs.delete(at, True)
+
+
 def unseen(df: DataFrame, path: str, key: str) -> DataFrame:
     """Rows whose key is not stored yet."""
     there = _stored(df.sparkSession, path)
