@@ -106,9 +106,15 @@ def similar(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     after = cored.select("bid", F.col("lo").alias("l"), "second").join(buckets.select("bid", "lo"), "bid").groupBy("bid").agg(F.min(F.when(F.col("l") == F.col("lo"), F.col("second")).otherwise(F.col("l"))).alias("second"))
     buckets = shared.settle(buckets.join(after, "bid"), "buckets")
 
-    pairs = shared.settle(_pairs(lists.where("is_row"), "kid"), "pairs")
+    right = shared.settle(_pairs(buckets, "bid").where("lead").select("pair", "bid", F.col("size").alias("sb"), F.col("behind").alias("bb"), F.col("early").alias("eb")), "bucket-pairs")
+    extra = _pairs(cored.where(F.size("words") < F.size("all_words")).select("kid", "size", F.col("words").alias("core_words"), F.col("all_words").alias("words")), "kid", "words", "core_words")
+    is_extra = lambda n: ~F.array_contains("core_words", F.element_at("words", F.col(n)))
+    extra = extra.withColumns({"x1": is_extra("i"), "x2": is_extra("j")}).where("x1 or x2")
+    extra = extra.select("pair", F.col("kid").alias("kkid"), F.col("i").alias("ib"), F.col("early").alias("eb"), F.array_except("early", "core_words").alias("xb"), "x1")
+    extra = shared.settle(extra, "extra-pairs")
+    # Of the rows' pairs only those go on that an anchor may have.
+    pairs = shared.settle(shared.possible(_pairs(lists.where("is_row"), "kid"), F.col("pair"), right.select("pair").unionByName(extra.select("pair")).distinct()), "pairs")
     left = pairs.where("lead").select("pair", "kid", F.col("size").alias("sa"), F.col("behind").alias("ba"), F.col("early").alias("ea"))
-    right = _pairs(buckets, "bid").where("lead").select("pair", "bid", F.col("size").alias("sb"), F.col("behind").alias("bb"), F.col("early").alias("eb"))
     most = F.least("ba", "bb") + 2
     hopeful = _enough(F.least("sa", "sb"), most, most / (F.col("sa") + F.col("sb") - most)) & ~F.arrays_overlap("ea", "eb")
     enough = lambda ov, sb: _enough(F.least(F.col("sa"), sb), ov, ov / (F.col("sa") + sb - ov))
@@ -118,10 +124,6 @@ def similar(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     met = met.select("kid", "bid", F.lit(None).cast("binary").alias("kkid"), F.lit(1).alias("sign"), "n", "lo", "second", score(F.col("ov"), F.col("sb")).alias("score"))
 
     # Rows and anchors that share an extra word and another.
-    extra = _pairs(cored.where(F.size("words") < F.size("all_words")).select("kid", "size", F.col("words").alias("core_words"), F.col("all_words").alias("words")), "kid", "words", "core_words")
-    is_extra = lambda n: ~F.array_contains("core_words", F.element_at("words", F.col(n)))
-    extra = extra.withColumns({"x1": is_extra("i"), "x2": is_extra("j")}).where("x1 or x2")
-    extra = extra.select("pair", F.col("kid").alias("kkid"), F.col("i").alias("ib"), F.col("early").alias("eb"), F.array_except("early", "core_words").alias("xb"), "x1")
     # Each row and anchor meet once: on the first extra word that they share and the first other word.
     apart = lambda x, y: ~F.arrays_overlap(x, y)
     before = apart(F.slice("early", F.lit(1), F.col("i") - 1), F.slice("eb", F.lit(1), F.col("ib") - 1))
