@@ -15,7 +15,7 @@ No pair ever becomes a row. Members of a band are compared in memory by their sk
 corrected for registers that agree by chance, and what may reach the threshold is joined; only a spanning forest of these joins
 leaves the task, fewer rows than the band has members. Its components are clusters. Each class then takes its full set to its
 cluster once, and there pairs that may be links are verified by counting common shingles, again joined as a forest. Groups
-beyond a block's size are compared in two rounds, see `_forest`.
+beyond a block's size are compared in rounds, and taken apart by the registers that their members share: see `_forest`.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _graph, _sieve, _work
@@ -245,13 +245,70 @@ def _pair_rows(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _forest(rows: DataFrame, sizes: DataFrame, kind: type, payload: list[str], work: str, threshold_pct: int) -> DataFrame:
+def least_common(n: np.ndarray, filled: np.ndarray, threshold_pct: int) -> np.ndarray:
+    """How many registers of a sketch, of `filled` filled ones and n shingles, must agree with those of any set that `near` may join with it and that is linked with it.
+
+    Of the registers that either fills, `near` asks for a share of t - SLACK * sqrt(t * (1 - t) / k), which rises with k beyond
+    9 * (1 - t) / t; and a linked set differs in (1 - t) / t * n shingles at most, each of which spoils one register.
+    """
+    t = threshold_pct / 100
+    k = np.maximum(filled, SLACK**2 / 4 * (1 - t) / t)
+    by_estimate = np.ceil(k * t - SLACK * np.sqrt(t * (1 - t) * k) - 1e-9)
+    by_size = filled - (100 - threshold_pct) * n // threshold_pct
+    return np.maximum(by_estimate, by_size).astype(np.int64)
+
+
+def _elements(threshold_pct: int):
+    """(grp, node, comp, main, who, n, sketch) to a row for each filled register; elem is its bucket and value, need how many of a member's rarest ones have one that agrees with any near set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                member, bucket = np.nonzero(sketch)
+                filled = (sketch > 0).sum(1)
+                common = least_common(batch.column("n").to_numpy(), filled, threshold_pct)
+                need = np.where(common > 0, filled - common + 1, -1)  # -1: this member may be near without a common register
+                elem = (bucket << 16) + sketch[member, bucket]
+                rows = batch.select(["grp", "node", "comp", "main", "who"]).take(pa.array(member))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(elem, pa.int64()), pa.array(need[member], pa.int64())], [*rows.schema.names, "elem", "need"])
+
+    return run
+
+
+def _narrowed(wide: DataFrame, totals: DataFrame, work: str, threshold_pct: int) -> DataFrame:
+    """Members of large groups by groups within these: (grp, elem, node, comp, who).
+
+    A prefix filter on registers: two near members agree in `least_common` registers at least, so the rarest ones of an outsider, all
+    but that many less one, hold one of these. Outsiders go to the groups of their rarest registers, the others to those that an outsider
+    has. Groups of one comp have nothing left to join. A group stays as it was where that makes fewer rows, or where some member may be near with no register in common.
+    """
+    every = wide.withColumn("main", F.col("comp") == F.col("main")).select("grp", "node", "comp", "main", "who", "n", "sketch")
+    every = every.mapInArrow(tidy(_elements(threshold_pct)), "grp long, node long, comp long, main boolean, who long, elem long, need long")
+    every = _work.settle(every, f"{work}/elements")
+    outside = every.where("not main")
+    common = outside.groupBy("grp", "elem").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("grp", "node", "who").orderBy("often", "elem")
+    rare = outside.join(common, ["grp", "elem"]).withColumn("at", F.dense_rank().over(order)).where("at <= need").drop("often", "at")
+    rare = _work.settle(rare.select("grp", "elem", "node", "comp", "who").distinct(), f"{work}/rare")
+    met = every.where("main").join(rare.select("grp", "elem").distinct(), ["grp", "elem"], "left_semi").select("grp", "elem", "node", "comp", "who").distinct()
+    both = rare.unionByName(met)
+    use = both.groupBy("grp", "elem").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp", "elem", "m")
+    unsure = every.where("need < 0").select("grp").distinct()
+    fewer = totals.join(use.groupBy("grp").agg(F.sum("m").alias("made")), "grp", "left").where("coalesce(made, 0) < direct").join(unsure, "grp", "left_anti").select("grp")
+    fewer = _work.settle(fewer, f"{work}/fewer")
+    return _work.settle(both.join(use.join(fewer, "grp", "left_semi"), ["grp", "elem"]).select("grp", "elem", "node", "comp", "who"), f"{work}/narrowed")
+
+
+def _forest(rows: DataFrame, sizes: DataFrame, kind: type, payload: list[str], work: str, threshold_pct: int, again: int = 2) -> DataFrame:
     """Pairs (a, b) of nodes that join, within each group, the members that `kind` holds to be near.
 
-    rows: grp, node, payload; sizes: grp, lead (the smallest node), chunks. A group of one chunk is compared whole. Members of
-    a larger one are dealt to chunks; at first each chunk is compared by itself and with the group's smallest member. What is
-    in the component of that one after this is done with each other; members outside it then meet all others, chunk by chunk. So
-    a large group of near copies costs rows in proportion, and only members that it doesn't hold together are sent to all its chunks.
+    rows: grp, node, payload, and comp (what a node is joined with already) or none; sizes: grp, lead (the smallest node), chunks. A group of
+    one chunk is compared whole. Members of a larger one are dealt to chunks; at first each chunk is compared by itself and with the group's
+    smallest member. What is in the component of that one after this is done with each other. Members outside it, if they fit two
+    chunks, meet all others, chunk by chunk: rows in proportion. If they are more, the group is taken apart by the registers that its members share
+    (`_narrowed`), and the parts are groups like these, twice at most; a part that is too large even then meets chunk by chunk.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -262,24 +319,41 @@ def _forest(rows: DataFrame, sizes: DataFrame, kind: type, payload: list[str], w
         return _work.settle(dealt.mapInArrow(tidy(_joiner(kind, threshold_pct)), "a long, b long").distinct(), f"{work}/{name}")
 
     zero = F.lit(0).cast("long")
+    if "comp" not in rows.columns:
+        rows = rows.withColumn("comp", F.col("node"))
     placed = rows.join(sizes, "grp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")))
     # A leader goes to the chunks that are not its own.
     to = F.when((F.col("node") == F.col("lead")) & (F.col("chunks") > 1), F.sequence(zero, F.col("chunks") - 1)).otherwise(F.array("i"))
-    first = joined(placed.withColumn("i", F.explode(to)).withColumn("j", zero).withColumn("comp", F.col("node")), "first")
+    first = joined(placed.withColumn("i", F.explode(to)).withColumn("j", zero), "first")
     large = sizes.where("chunks > 1")
     if large.isEmpty():
         return first
     placed = placed.where("chunks > 1")
-    comps = _graph.components(first, f"{work}/between").withColumnRenamed("node", "x").withColumnRenamed("comp", "y")
-    named = placed.join(comps, F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("y", "node")).drop("x", "y")
+    known = first.unionByName(placed.where("comp <> node").select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct())
+    comps = _graph.components(known, f"{work}/between").withColumnRenamed("node", "x").withColumnRenamed("comp", "y")
+    named = placed.drop("comp").join(comps, F.col("node") == F.col("x"), "left").withColumn("comp", F.coalesce("y", "node")).drop("x", "y")
     mains = large.select("grp", "lead").join(comps, F.col("lead") == F.col("x"), "left").select("grp", F.coalesce("y", "lead").alias("main"))
-    named = _work.settle(named.join(mains, "grp"), f"{work}/named")
-    outside = named.where("comp <> main")
+    named = _work.settle(named.join(mains, "grp").withColumn("who", F.xxhash64("node", "sketch")), f"{work}/named")
     # As many chunks of outsiders as their share of the group's members asks for.
-    share = named.groupBy("grp").agg(F.expr("ceil(max(chunks) * count_if(comp <> main) / count(*))").alias("out")).where("out > 0")
+    share = named.groupBy("grp").agg(F.count("*").alias("m"), F.max("chunks").alias("chunks"), F.count_if(F.expr("comp <> main")).alias("outs")).where("outs > 0")
+    share = _work.settle(share.withColumn("out", F.ceil(F.col("chunks") * F.col("outs") / F.col("m"))), f"{work}/share")
+    found = first
+    many = share.where("out > 2")
+    if again and not many.isEmpty():
+        totals = many.select("grp", (F.col("m") * F.col("out") + F.col("outs") * F.col("chunks")).alias("direct"))
+        within = _narrowed(named.join(many.select("grp"), "grp", "left_semi"), totals, f"{work}/within", threshold_pct)
+        part = F.xxhash64("grp", "elem")
+        filling = share.select("grp", (F.col("m") / F.col("chunks")).alias("filling"))
+        sub = within.join(filling, "grp").groupBy(part.alias("grp")).agg(F.min("node").alias("lead"), F.ceil(F.count("*") / F.min("filling")).alias("chunks"))
+        sub = _work.settle(sub, f"{work}/sub")
+        full = named.select("grp", "node", "who", *payload).distinct()
+        inner = within.join(full, ["grp", "node", "who"]).select(part.alias("grp"), "node", "comp", *payload)
+        found = found.unionByName(_forest(inner, sub, kind, payload, f"{work}/parts", threshold_pct, again - 1))
+        share = share.join(spark.read.schema("grp long").parquet(f"{work}/within/fewer"), "grp", "left_anti")
+    share = share.select("grp", "out")
     members = named.join(share, "grp").withColumn("j", F.explode(F.sequence(zero, F.col("out") - 1)))
-    probes = outside.join(share, "grp").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("out"))).withColumn("i", F.explode(F.sequence(zero, F.col("chunks") - 1)))
-    return first.unionByName(joined(members.select(*columns).unionByName(probes.select(*columns)), "second"))
+    probes = named.where("comp <> main").join(share, "grp").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("out"))).withColumn("i", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+    return found.unionByName(joined(members.select(*columns).unionByName(probes.select(*columns)), "second"))
 
 
 def _setter(size: int):

@@ -189,6 +189,67 @@ def test_near_dedup_large_groups(spark, options):
     assert rows(hyperminhash.near_dedup(table(spark, data), size=4, **options)) == want
 
 
+def pages_of_templates(n, families, rng):
+    """n texts of `families` templates: half of the words are the template's, each at its place, the others the text's own."""
+    out = []
+    for i in range(n):
+        f = i % families
+        out.append((i, " ".join([f"t{f}x{k}" for k in range(70)] + [f"o{i}x{k}" for k in range(int(rng.integers(65, 75)))]), "en", "s", 1))
+    return out
+
+
+def test_near_dedup_templates_grow_in_proportion(spark):
+    """Members of a band that share half of their words and are not near: rows with sketches that all rounds deal, for twice as many texts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    dealt = {}
+    sort = DataFrame.sortWithinPartitions
+    for n in (400, 800):
+
+        def counted(self, *columns, n=n):
+            dealt[n] = dealt.get(n, 0) + self.count()
+            return sort(self, *columns)
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(DataFrame, "sortWithinPartitions", counted)
+            got = hyperminhash.near_dedup(table(spark, pages_of_templates(n, 1, np.random.default_rng(3))), size=4, block_members=50).collect()
+        assert all(r.kept for r in got)
+    assert 0 < dealt[800] < 2.4 * dealt[400] and dealt[800] < 10 * 800
+
+
+def test_near_dedup_families_in_one_band(spark):
+    """A band of several families that don't meet, among them near copies: taken apart by registers, no link is lost."""
+    rng = np.random.default_rng(4)
+    data = pages_of_templates(120, 3, rng)
+    for i, (_, text, *_) in list(enumerate(data))[:60]:
+        words = text.split()
+        words[int(rng.integers(len(words)))] = "changed"
+        data.append((500 + i, " ".join(words), "en", "s", 1))
+    for i in range(200):  # short texts of few shingles
+        data.append((1000 + i, f"a b c d e f g{i % 90} h{i % 70}", "en", "s", 1))
+    want = brute_near(data)
+    assert len({c for *_, c, _ in want}) < len(want)
+    assert rows(hyperminhash.near_dedup(table(spark, data), size=4, block_members=5, block_bytes=4000)) == want
+
+
+def test_least_common_holds_for_linked_sets():
+    """No linked pair that the estimate lets through agrees in fewer registers than the prefix filter counts on."""
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 30), 60, 100, 300, 2000]:
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            y = np.union1d(x[int(rng.integers(0, n // 9 + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            both = len(np.intersect1d(x, y))
+            if 100 * both < 80 * (len(x) + len(y) - both):
+                continue
+            a, b = hyperminhash.registers(x), hyperminhash.registers(y)
+            same = int(((a == b) & (a > 0)).sum())
+            for u, r in ((x, a), (y, b)):
+                j, k = hyperminhash.estimate(a[None], b[None], np.array([float(len(x))]), np.array([float(len(y))]))
+                if j[0] >= 0.8 - hyperminhash.SLACK * math.sqrt(0.16 / k[0]):
+                    assert same >= hyperminhash.least_common(np.array([len(u)]), np.array([int((r > 0).sum())]), 80)[0]
+
+
 def test_near_dedup_repeated_ids(spark):
     """Rows of one id are one document, with the links of all its texts."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
