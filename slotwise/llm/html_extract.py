@@ -34,15 +34,16 @@ LIGHT = frozenset("p li dt dd tr td th thead tbody tfoot caption".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
 BOILER = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "fieldset"))
 ARTICLE = frozenset(("article", "main"))
-#: Words of class, id and role values. Strong ones mark boilerplate anywhere, weak ones only outside an article.
+#: Words of class, id and role values. Strong ones mark boilerplate anywhere, in an article too, weak ones only outside an article.
 STRONG = frozenset(
     "ad ads adv advert advertisement advertising adverts banner-ad sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr comment comments commentlist respond discussion disqus "
     "replies reply sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay "
-    "pagination pager copyright legal disclaimer widget widgets toolbar skip search form complementary contentinfo alert alerts".split()
+    "pagination pager copyright legal disclaimer widget widgets toolbar skip search form complementary contentinfo alert alerts "
+    "notice notices warning warnings banner banners message messages teaser teasers tags meta outbrain taboola adsense dfp partner partners".split()
 )
-WEAK = frozenset("header masthead banner notice notices topbar bar side meta top bottom message warning teaser tags".split())
+WEAK = frozenset("header masthead topbar bar side top bottom".split())
 #: Words that say what an element is made as, not what it holds: beside strong words they change nothing.
-MADE = frozenset("area box block wrap wrapper container list section inner outer panel links link item items buttons button icons group row col unit slot zone left right main site page global primary secondary bar header top bottom message banner notice title label form input small sticky fixed mobile desktop".split())
+MADE = frozenset("area box block wrap wrapper container list section inner outer panel links link item items buttons button icons group row col unit slot zone left right main site page global primary secondary bar header top bottom offer offers title label form input small sticky fixed mobile desktop".split())
 GOOD = frozenset("article content post entry story main maincontent body text articlebody prose".split())
 ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)(?!\s*=\s*[\"']?until-found)|(?:^|\s)aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -172,7 +173,8 @@ def _hints(attrs: str) -> tuple[bool, bool, bool, bool]:
     """What an element's attributes say of it: hidden, strong, weak, good.
 
     A name of several words, such as legal-analysis, is strong only if its last word is, or if its other words are strong, weak or
-    about the element's make: article text may be about comments, law or sharing.
+    about the element's make: article text may be about comments, law or sharing. A name that ends with a strong word and else says only
+    where it is, such as article-notice or post-meta, is not good.
     """
     hidden = bool(HIDDEN.search(attrs))
     strong = weak = good = False
@@ -186,7 +188,8 @@ def _hints(attrs: str) -> tuple[bool, bool, bool, bool]:
                 found = [w for w in parts if w in STRONG]
                 strong = strong or bool(found) and (parts[-1] in STRONG or all(w in STRONG or w in WEAK or w in MADE for w in parts))
                 weak = weak or any(w in WEAK for w in parts)
-                good = good or any(w in GOOD for w in parts)
+                placed = parts[-1] in STRONG and all(w in STRONG or w in WEAK or w in MADE or w in GOOD for w in parts)
+                good = good or (not placed and any(w in GOOD for w in parts))
     return hidden, strong, weak, good
 
 
@@ -200,6 +203,7 @@ def blocks(page: str) -> list[list]:
     stack: list[tuple[str, bool, bool, bool]] = []  # open elements that say something: tag, strong, weak, article
     strong = weak = article = heading = item = False
     links = words_linked = 0
+    inside = -1  # blocks open within the open link; -1 where a link ends with its block
 
     def end() -> None:
         nonlocal words_linked
@@ -243,6 +247,7 @@ def blocks(page: str) -> list[list]:
         tag = tag.lower()
         if tag == "a":
             links = 0 if m["close"] else 1
+            inside = 0 if links and "href" in m["attrs"].lower() else -1
         elif tag == "br":
             parts.append(" ")
         if tag in INLINE or tag == "br":
@@ -258,7 +263,12 @@ def blocks(page: str) -> list[list]:
                     stack.append((tag, strong, weak, article))
             continue
         end()
-        links = 0
+        if links and tag not in VOID:
+            # A link goes on over the blocks within it, and ends with the block that it stands in.
+            if inside < 0 or (m["close"] and not inside):
+                links = 0
+            elif not m["attrs"].endswith("/"):
+                inside += -1 if m["close"] else 1
         if not m["close"]:
             # A block ends an open paragraph, and some end what stands before them in their list or table.
             while stack and (stack[-1][0] in ENDS.get(tag, ()) or (stack[-1][0] == "p" and tag not in VOID) or (stack[-1][0] in INLINE and len(stack) > 1 and stack[-2][0] in ("p", *ENDS.get(tag, ())))):

@@ -631,6 +631,26 @@ def test_names_that_only_sound_like_boilerplate(markup):
     assert text in html_extract.extract(page)
 
 
+@pytest.mark.parametrize("name", "notice warning banner message teaser meta tags site-notice notice-box article-notice post-meta outbrain partner-offer".split())
+def test_notices_inside_an_article_go(name):
+    text = "word " * 30
+    for markup in (f"<div class='{name}'><p>These words must not be kept.</p></div>", f"<p class='{name}'>These words must not be kept.</p>"):
+        page = f"<article><h1>The title of it</h1><p>{text}</p>{markup}<p>{text}</p></article>"
+        assert html_extract.extract(page).split("\n") == ["The title of it", text.strip(), text.strip()]
+
+
+def test_links_around_blocks_count_as_links():
+    """A link goes on over the blocks in it and ends with the block that it stands in, closed or not."""
+    linked = lambda page: [(b[1], b[2]) for b in html_extract.blocks(page)]
+    assert linked("<div><a href='/s'><h3>Another story here</h3><p>and more</p></a><p>not of it</p></div>") == [(3, 3), (2, 2), (3, 0)]
+    assert linked("<p><a href='/s'>never closed</p><p>not of it</p>") == [(2, 2), (3, 0)]
+    assert linked("<a name='x'>an anchor<p>not of it</p>") == [(2, 2), (3, 0)]
+    assert linked("<a href='/s'><div><img src='x'><hr>all of it</div></a> not of it") == [(3, 3), (3, 0)]
+    text = "word " * 40
+    cards = "".join(f"<a href='/s{i}'><h3>Another long story of many words, number {i} of the site</h3></a>" for i in range(3))
+    assert html_extract.extract(f"<div><h1>The title of it</h1><p>{text}</p><p>{text}</p></div><div>{cards}</div>").count("Another") == 0
+
+
 def test_blocks_of_many_pages():
     """Precision and recall by block on 60 made pages of six layouts, whose blocks are labelled."""
     rng = np.random.default_rng(6)
