@@ -1,6 +1,7 @@
 """From front pages to observations, ranked events, changes and published documents.
 
-Pages come as rows (page_id, source_id, url, html, observed_at). Fetching them is outside the engine.
+Pages come as rows (page_id, source_id, url, html, observed_at) and, where the fetcher knows them, final_url, http_status, duration_ms,
+page_title and profile. Fetching them is outside the engine.
 """
 
 from __future__ import annotations
@@ -17,21 +18,40 @@ from . import publish
 HERO = "hero:1"
 
 
+#: What a fetcher may say of an attempt, by its type; columns that pages don't have are null.
+FETCHED = {"final_url": "string", "http_status": "int", "duration_ms": "bigint", "page_title": "string", "profile": "string"}
+
+
+def fetched(pages: DataFrame) -> list[Column]:
+    return [(F.col(c).try_cast(t) if c in pages.columns else F.lit(None).cast(t)).alias(c) for c, t in FETCHED.items()]
+
+
 def enriched(raw: DataFrame) -> DataFrame:
-    """raw with the story's meta data in a JSON bag: what the run says of itself beside canonical_url, title_norm, fingerprint, keywords and slot_rank."""
+    """raw with a JSON bag of what the attempt says of itself and of its story. Fields without a value are left out, but for blocked, has_item
+    and is_live_blog, which are always there; blocked is judged by status, address, page title and error, so an error may block a page that has a story."""
     meta = story.story(F.col("url"), F.col("title"), F.col("rank"))
+    given = lambda name: F.col(name) if name in raw.columns else F.lit(None).cast(FETCHED.get(name, "string"))
+    content = text.content_type(F.col("url"), F.col("title"))
+    reason = text.blocked_reason(given("http_status"), given("final_url"), given("page_title"), given("error"))
+    hero = F.col("slot_key") == HERO
+    fields = {
+        "source_id": given("source_id"), "run_id": given("run_id"), "run_kind": F.when(hero, "hero").otherwise("top10"), "module": F.when(hero, "homepage_hero").otherwise("top10"), "rank": F.col("rank"),
+        "duration_ms": given("duration_ms"), "final_url": given("final_url"), "http_status": given("http_status"), "blocked": reason.isNotNull(), "blocked_reason": reason, "profile": F.coalesce(given("profile"), F.lit("desktop")),
+        "has_item": F.coalesce(F.col("title"), F.col("url")).isNotNull(), "content_type": content, "is_live_blog": F.coalesce(content == "live", F.lit(False)), "scraper_error": given("error"),
+    }
     own = [F.col(c) for c in ("selector_used", "candidates") if c in raw.columns]
-    kind = F.when(F.col("slot_key") == HERO, "hero").otherwise("top10").alias("run_kind")
-    fields = [meta[c].alias(c) for c in ("canonical_url", "title_norm", "fingerprint", "keywords", "slot_rank")]
-    return raw.withColumn("raw", F.to_json(F.struct(kind, text.content_type(F.col("url"), F.col("title")).alias("content_type"), *fields, *own)))
+    story_fields = [meta[c].alias(c) for c in ("canonical_url", "title_norm", "fingerprint", "keywords", "slot_rank")]
+    return raw.withColumn("raw", F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()], *story_fields, *own)))
 
 
 def observations(pages: DataFrame) -> DataFrame:
     """One attempt for each page: id, run_id, source_id, observed_at, slot_key, title, url, ok, error, raw."""
-    found = heroes.heroes(pages).drop("slot_key", "source_id")
-    rows = pages.select("page_id", "source_id", "observed_at").join(found, "page_id").withColumn("slot_key", F.lit(HERO)).withColumn("rank", F.lit(1))
+    found = heroes.heroes(pages).drop("slot_key", "source_id", *FETCHED)
+    # A page that says nothing of redirects was read where it was asked for.
+    said = pages.select("page_id", "source_id", "observed_at", F.col("url").alias("asked"), *fetched(pages)).withColumn("final_url", F.coalesce("final_url", "asked")).drop("asked")
+    rows = said.join(found, "page_id").withColumn("slot_key", F.lit(HERO)).withColumn("rank", F.lit(1))
     key = sinks.run_key(F.col("source_id"), F.col("observed_at"))
-    return enriched(rows).select(key.alias("id"), key.alias("run_id"), "source_id", "observed_at", "slot_key", "title", "url", "ok", "error", "raw")
+    return enriched(rows.withColumn("run_id", key)).select(key.alias("id"), "run_id", "source_id", "observed_at", "slot_key", "title", "url", "ok", "error", "raw")
 
 
 def ranked(pages: DataFrame) -> DataFrame:

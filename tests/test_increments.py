@@ -156,3 +156,33 @@ def test_diff_events_name_both_runs(spark):
     rows = [("a", "r1", at(0), 1, "T", "u", "k"), ("a", "r2", at(1), 2, "T", "u", "k")]
     got = sinks.diff_events(diff.snapshot_diff(spark.createDataFrame(rows, ITEMS))).collect()
     assert sorted((r.event_type, r.from_run_id, r.run_id) for r in got) == [("ENTER", None, "r1"), ("MOVE", "r1", "r2")]
+
+
+def test_attempts_say_how_they_went(spark):
+    """The bag of an attempt holds what the reliability queries ask for; columns that pages lack are null, broken values too."""
+    import json
+
+    from slotwise.functions import text
+
+    front = "<head><meta property='og:title' content='The page itself has a long title'><link rel='canonical' href='https://www.npr.org/2024/01/05/{}/a-story'></head>"
+    rows = [
+        (1, "npr1", "https://www.npr.org/", front.format(1), START, "https://www.npr.org/home", "200", "1500", "News"), (2, "npr1", "https://www.npr.org/", "<p>nothing</p>", START + timedelta(hours=1), None, "403", "x", None),
+        (3, "npr1", "https://www.npr.org/", None, START + timedelta(hours=2), "https://www.npr.org/consent?next=1", None, "700", "Are you a robot? captcha"), (4, "npr1", "https://www.npr.org/", front.format(4), None, None, None, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, source_id string, url string, html string, observed_at timestamp, final_url string, http_status string, duration_ms string, page_title string")
+    seen = ingest.observations(pages)
+    bags = {json.loads(r.raw)["final_url"] + str(r.observed_at): json.loads(r.raw) for r in seen.collect()}
+    got = {k: (b.get("http_status"), b.get("duration_ms"), b["blocked"], b.get("blocked_reason"), b["has_item"], b["profile"]) for k, b in bags.items()}
+    assert got == {
+        f"https://www.npr.org/home{START}": (200, 1500, False, None, True, "desktop"),
+        f"https://www.npr.org/{START + timedelta(hours=1)}": (403, None, True, "http_403", False, "desktop"),
+        f"https://www.npr.org/consent?next=1{START + timedelta(hours=2)}": (None, 700, True, "captcha", False, "desktop"),
+        "https://www.npr.org/None": (None, None, False, None, True, "desktop"),
+    }
+    assert next(r for r, _ in text.BLOCKS) == "captcha"
+    # The documented queries on stored attempts: blocked rate, and average duration of those that say one.
+    bag = lambda k: F.get_json_object("raw", f"$.{k}")
+    r = seen.agg(F.avg(F.coalesce(bag("blocked").try_cast("boolean"), F.lit(False)).cast("int")), F.avg(bag("duration_ms").try_cast("double"))).first()
+    assert tuple(r) == (0.5, 1100.0)
+    bare = ingest.observations(pages.select("page_id", "source_id", "url", "html", "observed_at"))
+    assert {json.loads(r.raw)["final_url"] for r in bare.collect()} == {"https://www.npr.org/"} and bare.columns == seen.columns
