@@ -548,42 +548,69 @@ _FRONTS = (
 _FRONT = "(VALUES " + ", ".join(f"({i}, '{f[0]}', '{f[1]}', '{f[4]}')" for i, f in enumerate(_FRONTS)) + ") AS f(k, source_id, host, path)"
 
 
-@query(f"""SELECT page_id, source_id, v < 3 AS ok, CASE WHEN v = 3 THEN source_id || ': headline not found' END AS error,
-  CASE v WHEN 0 THEN 'The lead story number ' || page_id WHEN 1 THEN 'The second story number ' || page_id WHEN 2 THEN 'The page itself, number ' || page_id END AS title,
-  CASE WHEN v < 3 THEN 'https://' || regexp_replace(host, '^www\\.', '') || rtrim(replace(path, '#', page_id || CASE v WHEN 1 THEN '2' WHEN 2 THEN '3' ELSE '' END), '/') END AS url
-FROM (SELECT page_id, page_id % 12 AS k, page_id // 12 % 4 AS v FROM pages) JOIN {_FRONT} USING (k)""")
+_LABEL_RX = r"(?is)<title[^>]*>(.*?)</title>"
+#: The title as it is in the page; a character reference that its end cuts before the semicolon is one.
+_LABEL = f"regexp_replace(regexp_extract(coalesce(html, ''), '{_LABEL_RX}', 1), '&(amp|lt|gt|quot|#39|nbsp|copy|middot)$', '&\\1;')"
+_PARAGRAPH_RX = "<p>([^<]{16,})"
+_REFUSED = f"(length(t) < {text.SHORTEST_TITLE} OR regexp_matches(lower(t), '{text.REFUSED_TITLE}'))"
+
+
+@query(f"""WITH lab AS (SELECT page_id, page_id % 12 AS k, page_id // 12 % 4 AS v, regexp_extract(coalesce(url, ''), '\\?([^#]*)', 1) AS own_query, {_noise(views.plain_sql(_LABEL))} AS t FROM pages),
+  places AS (SELECT *, CASE WHEN v = 3 THEN 9 WHEN NOT {_REFUSED} THEN v WHEN v < 2 THEN 4 ELSE 9 END AS place FROM lab JOIN {_FRONT} USING (k)),
+  src AS (SELECT * EXCLUDE (host, path), 'https://' || host || replace(path, '#', page_id || CASE place WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 4 THEN '4' ELSE '' END) || '?' || own_query AS url FROM places), u AS ({_url_parts()})
+SELECT page_id, source_id, place < 9 AS ok, CASE WHEN place = 9 THEN source_id || ': headline not found' END AS error, CASE WHEN place < 3 THEN t WHEN place = 4 THEN 'The next story number ' || page_id END AS title, CASE WHEN place < 9 THEN {_NORMAL} END AS url
+FROM u""")
 def site_heroes(spark, d):
-    """The lead of a front page of each source: one whose first link is the lead (0), one whose first links are an account page and another site's (1), one that has only its own title (2), one without a story (3)."""
-    p = views.table(spark, d, "pages").select("page_id", (F.col("page_id") % 12).alias("k"), (F.floor(F.col("page_id") / 12) % 4).alias("v"))
-    link = lambda to, label: f"<a class='Link' data-key='main-story' data-testid='prism-linkbase' data-ylk='sec:strm;ct:story' data-link-name='group-0' href='{to}'>{label}</a>"
-    filled = lambda x: F.replace(F.lit(x), F.lit("#"), F.col("page_id").cast("string"))
-    pages = []
-    for name, host, before, behind, path in _FRONTS:
-        first = before + link(path + "?utm_source=x", "The lead story number # - 5 min ago") + behind
+    """The lead of every page, its whole html standing in a front page of each source in turn: its title leads the first link (0), stands behind an account page and another site's (1), is only the page's own title (2), or nothing leads (3).
+
+    A title that is no headline leaves the lead to the next link. The page's own links, outside of main, lead nowhere.
+    """
+    label = F.regexp_extract(F.coalesce("html", F.lit("")), _LABEL_RX, 1)
+    own_query = F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1)
+    link = lambda to, text_: f"<a class='Link' data-key='main-story' data-testid='prism-linkbase' data-ylk='sec:strm;ct:story' data-link-name='group-0' href='{to}?{{query}}'>{text_}</a>"
+    templates = []
+    for _, host, before, behind, path in _FRONTS:
+        then = before + link(path.replace("#", "#4"), "The next story number #") + behind
+        first = before + link(path, "{label} - 5 min ago") + behind + then
         skipped = before + link("/account/clip-#", "An account page, not it #") + link("https://other.example" + path, "A story of another site #") + link(path, "Too short") + behind
-        second = skipped + before + link(path.replace("#", "#2"), " The  second story number # | ") + behind
-        own = f"<head><meta property='og:title' content='The page itself, number #'><link rel='canonical' href='https://{host}{path.replace('#', '#3')}'></head>" + skipped
-        html = F.element_at(F.array(*map(filled, (first, second, own, skipped))), (F.col("v") + 1).cast("int"))
-        pages.append(F.struct(F.lit(name).alias("source_id"), F.lit(f"https://{host}/").alias("url"), html.alias("html")))
-    return heroes.heroes(p.select("page_id", F.element_at(F.array(*pages), (F.col("k") + 1).cast("int")).alias("x")).select("page_id", "x.*")).select("page_id", "source_id", "ok", "error", "title", "url")
-
-
-@query("""SELECT page_id, r::BIGINT AS rank, CASE WHEN r <= k THEN 'Story ' || r || ' of page ' || page_id ELSE 'A link number ' || (r - k) || ' of page ' || page_id END AS title,
-  'https://x.example/' || CASE WHEN r = 1 THEN 'live-blog/' || page_id || '?id=7' WHEN r <= k THEN 's/' || r ELSE 'l/' || (r - k) END AS url, CASE WHEN r = 1 THEN page_id % 3 ELSE 0 END::BIGINT AS n_related
-FROM (SELECT page_id, k, unnest(range(1, 11)) AS r FROM (SELECT page_id, page_id % 6 + 1 AS k FROM pages))""")
+        second = skipped + before + link(path.replace("#", "#2"), " {label} | ") + behind + then
+        own = f"<meta property='og:title' content='{{label}}'><link rel='canonical' href='https://{host}{path.replace('#', '#3')}?{{query}}'>" + skipped
+        templates += [first, second, own, skipped]
+    k, v = F.col("page_id") % 12, F.floor(F.col("page_id") / 12) % 4
+    at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    front = at(templates, k * 4 + v)
+    for name, value in (("#", F.col("page_id").cast("string")), ("{query}", F.replace(own_query, F.lit("&"), F.lit("&amp;"))), ("{label}", F.replace(label, F.lit("'"), F.lit("&#39;")))):
+        front = F.replace(front, F.lit(name), value)
+    fronts = views.table(spark, d, "pages").select("page_id", "html", at([f[0] for f in _FRONTS], k).alias("source_id"), at([f"https://{f[1]}/" for f in _FRONTS], k).alias("url"), front.alias("front"))
+    # Before the body's content; a page without a body is the front alone.
+    whole = F.when(F.contains("html", F.lit("<body>")), F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.col("front")))).otherwise(F.col("front"))
+    return heroes.heroes(fronts.select("page_id", "source_id", "url", whole.alias("html"))).select("page_id", "source_id", "ok", "error", "title", "url")
+
+
+@query(f"""WITH src AS (SELECT page_id, page_id % 6 + 1 AS k, url, list_transform(regexp_extract_all(coalesce(html, ''), '{_PARAGRAPH_RX}', 1), lambda x: {views.plain_sql('x')}) AS ts FROM pages), u AS ({_url_parts()}),
+  listed AS (SELECT page_id, i AS pos, 'Story ' || i || ' of page ' || page_id AS t, CASE WHEN i = 1 THEN '/live-blog/' || page_id || '?id=7' ELSE '/s/' || i END AS to_ FROM (SELECT page_id, unnest(range(1, k + 1)) AS i FROM u WHERE ok)),
+  links AS (SELECT page_id, 10 + i AS pos, CASE WHEN length(ts[i]) >= 16 AND NOT regexp_matches(lower(ts[i]), '{heroes.RANKED_REFUSED_TITLE}') AND {_noise('ts[i]')} <> '' THEN ts[i] ELSE 'The same link once more' END AS t, '/l/' || i AS to_ FROM (SELECT page_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM u WHERE ok)),
+  clean AS (SELECT page_id, pos, to_, {_noise('t')} AS t FROM (SELECT * FROM listed UNION ALL SELECT * FROM links)),
+  ranks AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM clean)
+SELECT page_id, rank::BIGINT AS rank, t AS title, scheme || '://' || regexp_replace(host, '^www\\.', '') || to_ AS url, CASE WHEN rank = 1 THEN page_id % 3 ELSE 0 END::BIGINT AS n_related FROM ranks JOIN u USING (page_id) WHERE rank <= 10""")
 def page_top10(spark, d):
-    """The ranked list of made-up pages: up to six stories in linked data beside an organisation, then links of main, with a navigation, a refused link and repeated ones among them, and entries of the first story."""
-    p = views.table(spark, d, "pages").select("page_id")
+    """The ranked list of every page at its own URL: up to six stories in linked data beside an organisation and entries of the first story, then its paragraphs as links of main, the page's own html around them.
+
+    A paragraph that is no headline leaves its link to the second place. Not ranked: the page's links outside of main, a link of main's header, a refused one. A page without a valid URL has no list.
+    """
+    p = views.table(spark, d, "pages").select("page_id", "url", "html")
     n = F.col("page_id").cast("string")
     k, more = (F.col("page_id") % 6 + 1).cast("int"), (F.col("page_id") % 3).cast("int")
     entry = lambda i: F.concat(F.lit('{"@type":"ListItem","item":{"name":"Story '), i.cast("string"), F.lit(" of page "), n, F.lit('","url":"/'), F.when(i == 1, F.concat(F.lit("live-blog/"), n, F.lit("?id=7"))).otherwise(F.concat(F.lit("s/"), i.cast("string"))), F.lit('"}}'))
     kin = lambda i: F.concat(F.lit("<a href='/live-blog/"), n, F.lit("?id=7&amp;entryId="), i.cast("string"), F.lit("'>An entry of the live blog, "), i.cast("string"), F.lit("</a>"))
-    link = lambda i: F.concat(F.lit("<a href='/l/"), i.cast("string"), F.lit("#c'>A <b>link</b> number "), i.cast("string"), F.lit(" of page "), n, F.lit("</a><a href='/l/"), i.cast("string"), F.lit("?utm_source=a'>The same link once more</a>"))
+    link = lambda x, i: F.concat(F.lit("<a href='/l/"), (i + 1).cast("string"), F.lit("#c'><b>"), x, F.lit("</b></a><a href='/l/"), (i + 1).cast("string"), F.lit("?utm_source=a'>The same link once more</a>"))
     listed = F.concat(F.lit('<script type="application/ld+json">[{"@type":"Organization","name":"An organisation of this name","url":"/o"},{"@type":["ItemList"],"itemListElement":['), F.array_join(F.transform(F.sequence(F.lit(1), k), entry), ","), F.lit("]}]</script>"))
-    around = "<nav><a href='/n'>A link of the navigation</a></nav><a href='/out'>A link outside of the main part</a><main><header><a href='/h'>A link of the header of main</a></header><a href='/video/1'>A link to some video here</a>"
+    around = "<main><header><a href='/h'>A link of the header of main</a></header><a href='/video/1'>A link to some video here</a>"
     entries = F.array_join(F.transform(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), more), kin), "")
-    page = F.concat(listed, F.lit(around), entries, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), link), ""), F.lit("</main>"))
-    out = heroes.top10(p.select("page_id", F.lit("https://www.x.example/").alias("url"), page.alias("html")))
+    links = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(_PARAGRAPH_RX), F.lit(1)), link), "")
+    front = F.concat(listed, F.lit(around), entries, F.coalesce(links, F.lit("")), F.lit("</main>"))
+    whole = F.when(F.contains("html", F.lit("<body>")), F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), front))).otherwise(front)
+    out = heroes.top10(p.select("page_id", "url", whole.alias("html")))
     return out.select("page_id", "rank", "title", "url", F.size("related_links").cast("long").alias("n_related"))
 
 
