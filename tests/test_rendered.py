@@ -1,15 +1,11 @@
-"""Leads of rendered pages: the cases of each site's chain, and all pages against a plain version."""
+"""Leads of rendered pages: each step of each site's chain, and odd input."""
 
 from __future__ import annotations
 
-import re
-
 import pytest
-from conftest import SMALL
 from pyspark.sql import functions as F
 
-from slotwise.operators import rendered, scoring
-from slotwise.plans import catalog
+from slotwise.operators import rendered
 
 PAGES = "page_id long, source_id string, page_text string, scripts array<string>"
 CANDIDATES = "page_id long, source_id string, family string, idx long, pos long, title string, url string, top_y double, boundary_y double, nav_last long, image string, selector long, features array<string>"
