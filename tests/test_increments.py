@@ -73,6 +73,17 @@ def test_moments_of_many_anchors(spark):
     assert matching.moments(events.limit(0), anchors, 90, 20).count() == 0 == matching.moments(events, anchors.limit(0), 90, 20).count()
 
 
+def test_frames_of_moments_are_made_once(spark):
+    """Frames come out of the last join as they are: none is compared with another. An anchor that comes with two stories gives each frame once."""
+    rows = [(i, START + timedelta(minutes=i), "cnn1", "hero:1", "Storm coast flood", f"https://x/{i % 2}") for i in range(6)]
+    events = spark.createDataFrame([*rows, rows[2]], "id long, observed_at timestamp_ntz, source_id string, slot_key string, title string, url string")
+    anchors = events.where("id = 3").withColumnRenamed("id", "anchor_id")
+    anchors = anchors.unionByName(anchors.withColumns({"url": F.lit("https://x/0"), "title": F.lit("Storm coast")}))
+    got = matching.moments(events, anchors, 60, 1)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
 def made_items(seed: int, days: int = 4) -> list:
     rng, out = random.Random(seed), []
     for source in ("abc1", "cnn1"):
