@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import story, text, urls
+from ..sources import shared
 from . import extract
 from .extract import Node, anchor_of, json_scripts, meta, select, tree
 
@@ -134,15 +135,16 @@ def places(page: str | None, source: str) -> Iterator[tuple]:
 
 
 def _rows(pages: DataFrame, id_col: str, make, columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """One batch of rows for each batch of pages (id, source, url, html): id, source, url and what `make` yields."""
+    """Pages (id, source, url, html), some at a time, to rows: id, source, url and what `make` yields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in extract.few_pages(batches):
             rows = [(i, s, u, *r) for i, s, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in make(h, s or "", u or "")]
             cols = list(zip(*rows, strict=True)) or [()] * (len(columns) + 3)
             kinds = [batch.schema.field(0).type, pa.string(), pa.string(), *(c[1] for c in columns)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "source", "base", *(c[0] for c in columns)])
 
+    shared.small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col("source_id").cast("string").alias("source"), F.col("url").cast("string").alias("base"), F.col("html").cast("string").alias("body"))
     return rows.mapInArrow(run, f"id {kind}, source string, base string, " + ", ".join(f"{n} {k}" for n, _, k in columns))
@@ -247,8 +249,10 @@ def top10(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     own, first = urls.param(F.col("url"), "id"), urls.param(F.col("lead"), "id")
     kin = urls.parsed(F.col("url")) & (key(F.col("url")) == key(F.col("lead"))) & urls.param(F.col("url"), "entryId").isNotNull() & F.coalesce(own == first, F.lit(False))
     rows = rows.withColumn("kin", kin).withColumn("rank", F.sum(F.when(F.col("kin"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    related = rows.where(F.col("kin") & (F.col("rank") < extract.RANKS)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "url"))).alias("k"))
-    related = related.select(F.col("id").alias("r_id"), F.lit(1).cast("long").alias("r_rank"), F.transform(F.slice("k", 1, extract.MOST_RELATED), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("related"))
-    ranked = rows.where(~F.col("kin") & (F.col("rank") <= extract.RANKS)).join(related, (F.col("id") == F.col("r_id")) & (F.col("rank") == F.col("r_rank")), "left")
     none = F.array().cast("array<struct<title:string,url:string>>")
-    return ranked.select(F.col("id").alias(id_col), "rank", "title", "url", story.fingerprint(F.col("url"), text.normalize_title(F.col("title"))).alias("fingerprint"), F.coalesce("related", none).alias("related_links"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    related = F.array_sort(F.collect_list(F.when(F.col("kin") & (F.col("rank") < extract.RANKS), F.struct("pos", "title", "url"))).over(whole))
+    rows = rows.withColumn("k", related).where(~F.col("kin") & (F.col("rank") <= extract.RANKS))
+    related = F.transform(F.slice("k", 1, extract.MOST_RELATED), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url")))
+    ranked = rows.withColumn("related", F.when(F.col("rank") == 1, related).otherwise(none))
+    return ranked.select(F.col("id").alias(id_col), "rank", "title", "url", story.fingerprint(F.col("url"), text.normalize_title(F.col("title"))).alias("fingerprint"), F.col("related").alias("related_links"))
